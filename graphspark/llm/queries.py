@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, tiff, token_store
+from . import bpe, htmlcut, packing, severity, tiff, token_store
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,16 @@ def op7_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op8_ordinal_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return severity.score(docs, severity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op9_html_min_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = htmlcut.extract_main_text(table(spark, sf_dir, "pages"))
+    return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op10_linear_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.bpe_encode(table(spark, sf_dir, "documents"), decode=True)
     joined = F.array_join(F.col("ids").cast("array<string>"), ",")
@@ -36,7 +46,7 @@ def op10_linear_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_tiff_pages, op4_repair_token_store, op7_pack_sequences, op10_linear_bpe)
+    f.__name__: f for f in (op1_tiff_pages, op4_repair_token_store, op7_pack_sequences, op8_ordinal_severity, op9_html_min_cut, op10_linear_bpe)
 }
 
 ORACLES: dict[str, str] = {}
