@@ -7,8 +7,8 @@ weight vector for all grades and ordered thresholds:
 
     P(grade <= k) = 1 / (1 + exp(w.x - t_k)),   t_0 < t_1 < ...
 
-Grades of training documents: 0 clean; toxic ones are parted by their share of marked words
-at the median into 1 (mild) and 2 (severe).  The expected grade is the severity; a document
+Grades of training documents: 0 clean; toxic ones are parted by the sum of their inputs at
+the median into 1 (mild) and 2 (severe).  The expected grade is the severity; a document
 is toxic if P(grade >= 1) reaches one half.
 
 Training reads at most ``SAMPLE`` labelled documents of each class, the ones with the least
@@ -24,6 +24,7 @@ not read.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -33,9 +34,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_size, documents
+from .common import by_size, documents, stored
 
-SAMPLE, MOST, SURE, SLICE = 8000, 4096, 3.2, 4 << 20
+SAMPLE, MOST, SURE, STRONG, SLICE = 8000, 4096, 3.2, 4.0, 4 << 20
 PREFIXES = (4, 5, 6)
 GRADES = 3
 _WORD = re.compile(r"[^\W\d_]+")
@@ -53,8 +54,8 @@ class Severity:
         self.of_word = {n[1:]: i for i, n in enumerate(self.names) if n[0] == "w"}
         self.of_prefix = [(k, {n[1:]: i for i, n in enumerate(self.names) if n[0] == "p" and len(n) == k + 1}) for k in PREFIXES]
 
-    def counts(self, text: str) -> tuple[dict[int, int], int]:
-        """Feature counts of a text, and its number of words."""
+    def counts(self, text: str) -> dict[int, int]:
+        """Feature counts of a text."""
         words = _WORD.findall(text.lower())
         out: Counter[int] = Counter()
         distinct = set(words)
@@ -70,12 +71,12 @@ class Severity:
                     for w in words:
                         if w in starts:
                             out[starts[w]] += 1
-        return out, len(words)
+        return out
 
     def scores(self, texts: list[str]) -> np.ndarray:
         z = np.zeros(len(texts))
         for row, text in enumerate(texts):
-            for i, n in self.counts(text)[0].items():
+            for i, n in self.counts(text).items():
                 z[row] += self.weights[i] * np.log1p(n)
         return z
 
@@ -89,6 +90,12 @@ class Severity:
 NOTHING = Severity([], np.zeros(0), np.array([60.0, 120.0]))
 
 
+def copy_key(text: str) -> int:
+    """The least hash of the text's pairs of words: near copies mostly share it."""
+    words = text.lower().split()
+    return min((zlib.crc32(f"{a} {b}".encode()) for a, b in zip(words, words[1:], strict=False)), default=zlib.crc32(text.encode()))
+
+
 def features(text: str) -> list[str]:
     words = set(_WORD.findall(text.lower()))
     out = ["w" + w for w in words]
@@ -130,24 +137,34 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", sample: in
     chosen = marks.where("y = 1").orderBy("h", "doc_id").limit(sample).unionByName(marks.where("y = 0").orderBy("h", "doc_id").limit(2 * sample)).select("doc_id", "y")
     # at most 3 * sample rows of two numbers
     picked = {r.doc_id: r.y for r in chosen.collect()}
-    n1 = sum(picked.values())
-    if not n1 or n1 == len(picked):
-        return NOTHING
-    n0 = len(picked) - n1
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [k for k, doc in enumerate(batch.column(0).to_pylist()) if doc in picked]
             if rows:
-                yield batch.take(pa.array(rows))
-
-    labelled = documents(docs).mapInArrow(texts, "doc_id long, text string")
+                some = batch.take(pa.array(rows))
+                keys = [copy_key(text) for text in some.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(keys, pa.int64())], ["doc_id", "text", "key"])
+
+    # near copies of a document would pass as independent witnesses: one of each group stays
+    sampled = stored(documents(docs).mapInArrow(texts, "doc_id long, text string, key long"), "severity-sample")
+    first: dict[tuple[int, int], int] = {}
+    for row in sampled.select("doc_id", "key").collect():
+        at = (picked[row.doc_id], row.key)
+        first[at] = min(first.get(at, row.doc_id), row.doc_id)
+    picked = {doc: y for (y, _), doc in first.items()}
+    n1 = sum(picked.values())
+    if not n1 or n1 == len(picked):
+        return NOTHING
+    n0 = len(picked) - n1
+    labelled = sampled.select("doc_id", "text")
 
     def tallies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both: tuple[Counter[str], Counter[str]] = (Counter(), Counter())
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                both[picked[doc]].update(features(text))
+                if doc in picked:
+                    both[picked[doc]].update(features(text))
         names = list(both[0].keys() | both[1].keys())
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([both[0][x] for x in names], pa.int64()), pa.array([both[1][x] for x in names], pa.int64())], ["name", "c0", "c1"])
 
@@ -155,7 +172,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", sample: in
     odds = F.log((F.col("c1") + 0.5) / (n1 + 1)) - F.log((F.col("c0") + 0.5) / (n0 + 1))
     z = odds / F.sqrt(1 / (F.col("c1") + 0.5) + 1 / (F.col("c0") + 0.5))
     # a feature that marks toxic documents is rare among clean ones
-    kept = tally.where((F.col("c1") >= 3) & (odds >= 2.0)).withColumn("z", z).where(F.col("z") >= SURE).orderBy(F.desc("z"), "name").limit(most)
+    kept = tally.where((F.col("c1") >= 3) & (odds >= STRONG)).withColumn("z", z).where(F.col("z") >= SURE).orderBy(F.desc("z"), "name").limit(most)
     names = [r["name"] for r in kept.collect()]
     if not names:
         return NOTHING
@@ -163,19 +180,19 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", sample: in
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [blank.counts(text) for text in batch.column(1).to_pylist()]
+            chosen = [(picked[doc], blank.counts(text)) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if doc in picked]
             yield pa.RecordBatch.from_arrays([
-                pa.array([picked[doc] for doc in batch.column(0).to_pylist()], pa.int32()), pa.array([n for _, n in found], pa.int64()),
-                pa.array([list(c) for c, _ in found], pa.list_(pa.int32())), pa.array([list(c.values()) for c, _ in found], pa.list_(pa.int32())),
-            ], ["y", "n", "at", "times"])
+                pa.array([y for y, _ in chosen], pa.int32()),
+                pa.array([list(c) for _, c in chosen], pa.list_(pa.int32())), pa.array([list(c.values()) for _, c in chosen], pa.list_(pa.int32())),
+            ], ["y", "at", "times"])
 
     # at most 3 * sample short vectors
-    rows = labelled.mapInArrow(vectors, "y int, n long, at array<int>, times array<int>").collect()
+    rows = labelled.mapInArrow(vectors, "y int, at array<int>, times array<int>").collect()
     x, y = np.zeros((len(rows), len(names)), np.float32), np.zeros(len(rows), np.int64)
     dose = np.zeros(len(rows))
     for r, row in enumerate(rows):
         x[r, row.at] = np.log1p(row.times)
-        y[r], dose[r] = row.y, sum(row.times) / max(row.n, 1)
+        y[r], dose[r] = row.y, x[r].sum()
     bad = y == 1
     y[bad & (dose > np.median(dose[bad]))] = 2
     weights, thresholds = fit_ordinal(x, y)
