@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, htmlcut, packing, severity, tiff, token_store
+from . import bpe, htmlcut, packing, quality, severity, tiff, token_store
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op1_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.page_digests(tiff.tiff_pages(media, "media", ["doc_id", "n_bytes", "media_bytes", "media_sha256"]))
 
 
+def op2_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents")).drop("failed_rule")
+
+
 def op4_repair_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = token_store.store_tokens(table(spark, sf_dir, "documents"))
     return tokens.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -46,7 +50,7 @@ def op10_linear_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_tiff_pages, op4_repair_token_store, op7_pack_sequences, op8_ordinal_severity, op9_html_min_cut, op10_linear_bpe)
+    f.__name__: f for f in (op1_tiff_pages, op2_rule_cascade, op4_repair_token_store, op7_pack_sequences, op8_ordinal_severity, op9_html_min_cut, op10_linear_bpe)
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_rule_cascade": quality.ORACLE}
