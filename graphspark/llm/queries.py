@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, htmlcut, packing, quality, severity, tiff, token_store
+from . import bpe, htmlcut, neardup, packing, quality, severity, tiff, token_store
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op4_repair_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op6_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=2)
+
+
 def op7_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack_documents(table(spark, sf_dir, "documents"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -50,7 +54,7 @@ def op10_linear_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_tiff_pages, op2_rule_cascade, op4_repair_token_store, op7_pack_sequences, op8_ordinal_severity, op9_html_min_cut, op10_linear_bpe)
+    f.__name__: f for f in (op1_tiff_pages, op2_rule_cascade, op4_repair_token_store, op6_superminhash, op7_pack_sequences, op8_ordinal_severity, op9_html_min_cut, op10_linear_bpe)
 }
 
 ORACLES: dict[str, str] = {"op2_rule_cascade": quality.ORACLE}
