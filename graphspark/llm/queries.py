@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, htmlcut, neardup, packing, quality, severity, tiff, token_store
+from . import bpe, htmlcut, neardup, packing, quality, severity, substrings, tiff, token_store
+
+from .common import documents
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +25,11 @@ def op2_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).drop("failed_rule")
 
 
+def op3_cover_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substrings.dedup_passages(documents(table(spark, sf_dir, "documents")))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op4_repair_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = token_store.store_tokens(table(spark, sf_dir, "documents"))
     return tokens.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -54,7 +61,7 @@ def op10_linear_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_tiff_pages, op2_rule_cascade, op4_repair_token_store, op6_superminhash, op7_pack_sequences, op8_ordinal_severity, op9_html_min_cut, op10_linear_bpe)
+    f.__name__: f for f in (op1_tiff_pages, op2_rule_cascade, op3_cover_anchors, op4_repair_token_store, op6_superminhash, op7_pack_sequences, op8_ordinal_severity, op9_html_min_cut, op10_linear_bpe)
 }
 
 ORACLES: dict[str, str] = {"op2_rule_cascade": quality.ORACLE}
