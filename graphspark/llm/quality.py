@@ -73,25 +73,22 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     split = base.withColumns({
         "words": F.filter(F.split("text", GAP), lambda w: w != ""),
         "lines": F.filter(F.split("text", "\n"), lambda line: line.rlike(WORD)),
+        "_at": F.spark_partition_id(),
     })
+    # a filter on a count would be pushed below the words and split the text again for every
+    # word; it stays here, as every count refers to a column that isn't deterministic
+    once = lambda value: F.when(F.col("_at") >= 0, value)
     return split.select(
         "doc_id", "text", "_row",
-        F.size("words").cast("long").alias("n_words"),
-        F.aggregate("words", F.lit(0).cast("long"), lambda a, w: a + F.length(w)).alias("word_chars"),
+        once(F.size("words").cast("long")).alias("n_words"),
+        once(F.aggregate("words", F.lit(0).cast("long"), lambda a, w: a + F.length(w))).alias("word_chars"),
         F.regexp_count("text", F.lit(SYMBOL)).cast("long").alias("n_symbols"),
-        F.size("lines").cast("long").alias("n_lines"),
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        repeated_words(F.col("words")).alias("n_repeat_words"),
-        F.spark_partition_id().alias("_at"),
+        once(F.size("lines").cast("long")).alias("n_lines"),
+        once((F.size("lines") - F.size(F.array_distinct("lines"))).cast("long")).alias("n_dup_lines"),
+        once(repeated_words(F.col("words"))).alias("n_repeat_words"),
     )
 
 
-def only(condition: Column) -> Column:
-    """A filter over ``measured`` that isn't pushed below it, where the optimizer would put
-    every count's expression in place of its name; ``_at`` isn't deterministic."""
-    return (F.col("_at") >= 0) & condition
-
-
 def base_failed() -> Column:
     return (F.col("n_words") < FEWEST) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
 
@@ -99,7 +96,7 @@ def base_failed() -> Column:
 def plan_cascade(docs: DataFrame, rules: dict[str, str] = RULES, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> list[str]:
     """The names of the rules in the order of rejections per second on a sample."""
     some = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    facts = stored(measured(some).drop("_row").where(only(~base_failed())), "quality-sample")
+    facts = stored(measured(some).drop("_row").where(~base_failed()), "quality-sample")
     n = facts.count()
     if not n:
         return list(rules)
@@ -130,7 +127,7 @@ def judge(docs: DataFrame, order: list[str] | None = None) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns as they are, that no rule rejects."""
-    return measured(docs).where(only(verdict(plan_cascade(docs)).isNull())).select("_row.*")
+    return measured(docs).where(verdict(plan_cascade(docs)).isNull()).select("_row.*")
 
 
 ORACLE = r"""
