@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, htmlcut, neardup, packing, quality, severity, substrings, tiff, token_store
+from . import bpe, htmlcut, lpf, neardup, packing, quality, severity, substrings, tiff, token_store
 
 from .common import documents
 
@@ -35,6 +35,11 @@ def op4_repair_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op5_previous_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = lpf.dedup_bytes(documents(table(spark, sf_dir, "documents")))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=2)
 
@@ -61,7 +66,7 @@ def op10_linear_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_tiff_pages, op2_rule_cascade, op3_cover_anchors, op4_repair_token_store, op6_superminhash, op7_pack_sequences, op8_ordinal_severity, op9_html_min_cut, op10_linear_bpe)
+    f.__name__: f for f in (op1_tiff_pages, op2_rule_cascade, op3_cover_anchors, op4_repair_token_store, op5_previous_factors, op6_superminhash, op7_pack_sequences, op8_ordinal_severity, op9_html_min_cut, op10_linear_bpe)
 }
 
 ORACLES: dict[str, str] = {"op2_rule_cascade": quality.ORACLE}
