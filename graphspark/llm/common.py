@@ -47,9 +47,9 @@ def partitions(spark: SparkSession) -> int:
 
 
 def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Only (doc_id, text), with a null text as the empty text."""
+    """Only (doc_id, text), with a null text as the empty text and a null id as -1."""
     return docs.select(
-        F.col(id_col).cast("long").alias("doc_id"),
+        F.coalesce(F.col(id_col).cast("long"), F.lit(-1).cast("long")).alias("doc_id"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
     )
 

@@ -15,7 +15,7 @@
 
 Defined cases: a null or empty text, or one without words, has an empty set, is linked with
 nothing and stays; a text of fewer words than a shingle is one shingle; rows that share a
-doc_id share its component; an empty table gives an empty result; extra columns are not read
+doc_id share its component; a null doc_id counts as -1, and such rows always stay; an empty table gives an empty result; extra columns are not read
 by ``near_duplicates`` and are kept as they are by ``keep_first``.
 """
 
@@ -197,5 +197,5 @@ def near_duplicates(docs: DataFrame, width: int = 5, share: int = 80, bands: int
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", **parameters: int) -> DataFrame:
     """The rows of ``docs``, all columns as they are, whose document is the first of its component."""
-    kept = near_duplicates(docs, **parameters).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, F.col(id_col) == F.col("_kept_id"), "left_semi")
+    later = near_duplicates(docs, **parameters).where("NOT kept").select(F.col("doc_id").alias("_later_id")).distinct()
+    return docs.join(later, docs[id_col] == later["_later_id"], "left_anti")

@@ -39,7 +39,7 @@ RULES: dict[str, str] = {
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use`` of a value that is computed once, however often it is referred to."""
-    return F.transform(F.array(value), use).getItem(0)
+    return F.transform(F.array(value), use)[0]
 
 
 def repeated_words(words: Column) -> Column:
@@ -50,20 +50,20 @@ def repeated_words(words: Column) -> Column:
 
         def twins(s: Column) -> Column:
             # items are read by place: functions that allow any place hold their arguments twice, nested ones ever more often
-            before = lambda k: F.when(k > 0, s.getItem(k - 1)["h"])
-            after = lambda k: F.when(k < F.size(s) - 1, s.getItem(k + 1)["h"])
+            before = lambda k: F.when(k > 0, s[k - 1]["h"])
+            after = lambda k: F.when(k < F.size(s) - 1, s[k + 1]["h"])
             alike = lambda x, k: F.coalesce(x["h"] == before(k), F.lit(False)) | F.coalesce(x["h"] == after(k), F.lit(False))
             kept = F.filter(s, alike)
             return F.sort_array(F.transform(kept, lambda x: x["i"]))
 
         def length(places: Column) -> Column:
-            steps = F.transform(places, lambda p, j: F.when(j < F.size(places) - 1, F.least(F.lit(WINDOW), places.getItem(j + 1) - p)).otherwise(WINDOW))
+            steps = F.transform(places, lambda p, j: F.when(j < F.size(places) - 1, F.least(F.lit(WINDOW), places[j + 1] - p)).otherwise(WINDOW))
             return F.aggregate(steps, F.lit(0), lambda a, x: a + x)
 
         # most documents have no window twice: they never sort
         return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), 0).otherwise(let(let(pairs, twins), length))
 
-    hashes = F.transform(F.sequence(F.lit(0), F.size(words) - WINDOW), lambda i: F.xxhash64(*(words.getItem(i + k) for k in range(WINDOW))))
+    hashes = F.transform(F.sequence(F.lit(0), F.size(words) - WINDOW), lambda i: F.xxhash64(*(words[i + k] for k in range(WINDOW))))
     return F.when(F.size(words) < WINDOW, 0).otherwise(let(hashes, covered)).cast("long")
 
 

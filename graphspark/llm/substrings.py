@@ -110,9 +110,12 @@ class WordBlock:
         return data[mask], held[self.offsets], lost[self.first[1:]] - lost[self.first[:-1]]
 
 
-def dedup_passages(docs: DataFrame, text_col: str = "text", window: int = WINDOW) -> DataFrame:
+def dedup_passages(docs: DataFrame, text_col: str = "text", window: int = WINDOW, counts: bool = True) -> DataFrame:
     """The columns of ``docs`` with the text replaced by its kept words, joined by single
-    spaces, and then n_words and n_removed (both long)."""
+    spaces; with ``counts`` also n_words and n_removed (both long), in place of any columns
+    of these names."""
+    if counts:
+        docs = docs.drop("n_words", "n_removed")
     blocks = text_blocks(docs, text_col)
     buckets = bucket_count(blocks)
 
@@ -141,7 +144,7 @@ def dedup_passages(docs: DataFrame, text_col: str = "text", window: int = WINDOW
     second = census(over_blocks(with_answers(blocks, first), send_windows, MESSAGE_DDL), FULL)
 
     fields = docs.schema.fields
-    schema = T.StructType([T.StructField(f.name, T.StringType() if f.name == text_col else f.dataType) for f in fields] + [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
+    schema = T.StructType([T.StructField(f.name, T.StringType() if f.name == text_col else f.dataType) for f in fields] + [T.StructField(n, T.LongType()) for n in ("n_words", "n_removed") if counts])
 
     def remove(number: int, rows: pa.Table, replies: list) -> Iterator[pa.RecordBatch]:
         block, starts, (_, bucket, times, place) = windows(rows, replies[0])
@@ -150,6 +153,7 @@ def dedup_passages(docs: DataFrame, text_col: str = "text", window: int = WINDOW
         text = binary_column(data, offsets).cast(pa.string())
         out = [text if name == text_col else rows.column(name).combine_chunks() for name in rows.column_names]
         out = [x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for x in out]
-        yield pa.RecordBatch.from_arrays([*out, pa.array(block.counts), pa.array(removed)], names=schema.names)
+        out += [pa.array(block.counts), pa.array(removed)] if counts else []
+        yield pa.RecordBatch.from_arrays(out, names=schema.names)
 
     return over_blocks(with_answers(blocks, first, second), remove, schema)
