@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_size, column_bytes, partitions, stored
+from .common import by_size, column_bytes, partitions, release, stored
 
 BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 8 << 20
 
@@ -51,7 +51,7 @@ def text_blocks(docs: DataFrame, text_col: str, block_bytes: int = BLOCK_BYTES)
 
         for whole in batches:
             at = whole.schema.get_field_index(text_col)
-            for batch in by_size(whole, text_col, block_bytes):
+            for batch in by_size(whole, text_col, block_bytes // 8):
                 held.append(batch)
                 size += int(column_bytes(batch.column(at))[1][-1])
                 if size >= block_bytes:
@@ -121,6 +121,7 @@ def census(sent: DataFrame, width: int) -> DataFrame:
         found[order] = twin
         ends = np.cumsum(sizes)
         bits = [np.packbits(found[e - n : e]).tobytes() for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+        release()
         return pa.table({"block": rows.column("block"), "bucket": rows.column("bucket"), "bits": pa.array(bits, pa.binary())})
 
     answers = sent.groupBy("bucket").applyInArrow(answer, "block long, bucket int, bits binary")
@@ -154,5 +155,6 @@ def over_blocks(blocks: DataFrame, use: Callable[[int, pa.Table, list[pa.Scalar]
         for batch in batches:
             for k in range(batch.num_rows):
                 yield from use(batch.column(0)[k].as_py(), unpack(batch.column(1)[k]), [batch.column(2 + e)[k] for e in range(extra)])
+                release()
 
     return blocks.mapInArrow(run, schema)

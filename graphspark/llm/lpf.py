@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import MESSAGE_DDL, answered, bucket_count, bucket_of, census, keyed, messages, over_blocks, text_blocks, with_answers
-from .common import binary_column, column_bytes, stored
+from .common import binary_column, column_bytes, release, stored
 from .words import BYTE, mix, window_hashes
 
 WINDOW, KMER, BLOCK_BYTES, SHORT = 100, 32, 2 << 20, 5
@@ -96,9 +96,9 @@ def nearest_smaller(values: np.ndarray) -> np.ndarray:
 
 def longest_previous_factor(data: np.ndarray, starts: np.ndarray, position: np.ndarray, most: int, exact: bool = False) -> np.ndarray:
     """The longest previous factor of each start, cut off at ``most`` bytes.  position: the
-    starts' order, all different.  Unless ``exact``, a factor shorter than ``most`` is 0."""
+    starts' order, all different and below 2**32.  Unless ``exact``, a factor shorter than ``most`` is 0."""
     rank = ranks(data, starts, most)
-    order = np.lexsort((position, rank))
+    order = np.argsort((rank.astype(np.uint64) << np.uint64(32)) | position.astype(np.uint64))
     by_suffix = position[order]
     previous = nearest_smaller(by_suffix)
     following = len(order) - 1 - nearest_smaller(by_suffix[::-1])[::-1]
@@ -193,25 +193,27 @@ def dedup_bytes(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, block_b
         wanted = np.sort((bucket[shared].astype(np.uint64) << np.uint64(8 * SHORT)) | distinct[shared])
         at = np.flatnonzero(block.whole)
         values = block.least[at]
-        keys = (bucket_of(values, buckets).astype(np.uint64) << np.uint64(8 * SHORT)) | (values & np.uint64(256**SHORT - 1))
-        turn = np.ones(len(keys), bool)
-        turn[1:] = keys[1:] != keys[:-1]
+        turn = np.ones(len(values), bool)
+        turn[1:] = values[1:] != values[:-1]
         heads = np.flatnonzero(turn)
-        spot = np.searchsorted(wanted, keys[heads])
+        keys = (bucket_of(values[heads], buckets).astype(np.uint64) << np.uint64(8 * SHORT)) | (values[heads] & np.uint64(256**SHORT - 1))
+        spot = np.searchsorted(wanted, keys)
         hit = np.zeros(len(heads), bool)
         ok = spot < len(wanted)
-        hit[ok] = wanted[spot[ok]] == keys[heads[ok]]
-        chosen = np.repeat(hit, np.diff(np.append(heads, len(keys))))
+        hit[ok] = wanted[spot[ok]] == keys[ok]
+        chosen = np.repeat(hit, np.diff(np.append(heads, len(values))))
         starts, values = at[chosen], values[chosen]
         ids = rows.column("doc_id").to_numpy()
-        rank = np.empty(len(ids), np.int64)
-        rank[np.argsort(ids, kind="stable")] = np.arange(len(ids))
+        by_id = np.argsort(ids, kind="stable")
+        before = np.empty(len(ids), np.int64)
+        sizes = np.diff(block.offsets)[by_id]
+        before[by_id] = np.cumsum(sizes) - sizes
         owner = np.searchsorted(block.offsets, starts, "right") - 1
         # empty texts begin where the next one does
         begin, count = runs_of(starts)
         local, placed = gather(block.data, begin, count + window - 1)
         where = spread(placed, count)
-        order = rank[owner] * (len(block.data) + 1) + (starts - block.offsets[owner])
+        order = before[owner] + (starts - block.offsets[owner])
         again = longest_previous_factor(local, where, order, window) >= window if len(starts) else np.zeros(0, bool)
         settled = np.stack(runs_of(starts[again]), axis=1).astype("<i4").tobytes()
         names, blobs = [-1], [pa.compress(settled, "zstd", asbytes=True) if settled else b""]
@@ -264,6 +266,7 @@ def dedup_bytes(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, block_b
             raw = np.stack(runs_of(spots[mine == k]), axis=1).astype("<i4").tobytes() if len(spots) else b""
             out.append(pa.compress(raw, "zstd", asbytes=True) if raw else b"")
             sizes.append(len(raw))
+        release()
         return pa.table({"block": pa.array(numbers), "size": pa.array(sizes, pa.int32()), "blob": pa.array(out, pa.binary())})
 
     replies = passed.where("bucket >= 0").groupBy("bucket").applyInArrow(meet, "block long, size int, blob binary")

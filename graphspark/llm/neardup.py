@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_size, column_bytes, documents, stored
+from .common import by_size, column_bytes, documents, release, stored
 from .components import components
 from .superminhash import band_hashes, signatures
 from .words import LOWER, mix, window_hashes, word_hashes, word_spans
@@ -82,6 +82,7 @@ def signed(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
                     batch.column(0), pa.array(n.astype(np.int64)), pa.array(prints[0]), pa.array(prints[1]),
                     pa.ListArray.from_arrays(pa.array(ends), pa.array(marks[full].reshape(-1))),
                 ], ["doc_id", "n_shingles", "f1", "f2", "bands"])
+            release()
 
     return docs.mapInArrow(sign, "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>")
 
@@ -157,6 +158,7 @@ def verify(members: DataFrame, share: int) -> DataFrame:
         i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
         root = linked(sets, np.flatnonzero(blocks == i), np.flatnonzero(blocks == j), share)
         tied = root != np.arange(len(ids))
+        release()
         return pa.table({"u": pa.array(ids[tied]), "v": pa.array(ids[root[tied]])})
 
     return members.groupBy("grp", "i", "j").applyInArrow(links, "u long, v long")

@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import binary_column, by_size, documents, ordered_by_id, scratch
@@ -38,7 +38,7 @@ SHARD_IDS = 1 << 20
 #: Bytes of text that are tokenised together.
 SLICE = 4 << 20
 
-SHARD_SCHEMA = "part int, shard int, first_doc long, n_docs int, n_ids long, payload binary"
+SHARD_SCHEMA = "part int, shard int, before long, first_doc long, n_docs int, n_ids long, payload binary"
 
 
 def compress(ids: np.ndarray, offsets: np.ndarray, rounds: int = ROUNDS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -195,16 +195,16 @@ def write_token_shards(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_5
         encode, end = encoder(file, True).encode_all, np.array([end_id], "<u4").tobytes()
         names: list[int] = []
         parts: list[bytes] = []
-        held = 0
+        held = before = 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal shard, names, parts, held
+            nonlocal shard, names, parts, held, before
             ids = np.frombuffer(b"".join(parts), "<u4")
             offsets = np.zeros(len(parts) + 1, np.int64)
             np.cumsum([len(x) // 4 for x in parts], out=offsets[1:])
             payload = pack_shard(np.array(names, np.int64), ids, offsets)
-            out = pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "shard": pa.array([shard], pa.int32()), "first_doc": pa.array([names[0]], pa.int64()), "n_docs": pa.array([len(names)], pa.int32()), "n_ids": pa.array([len(ids)], pa.int64()), "payload": pa.array([payload], pa.binary())})
-            shard, names, parts, held = shard + 1, [], [], 0
+            out = pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "shard": pa.array([shard], pa.int32()), "before": pa.array([before], pa.int64()), "first_doc": pa.array([names[0]], pa.int64()), "n_docs": pa.array([len(names)], pa.int32()), "n_ids": pa.array([len(ids)], pa.int64()), "payload": pa.array([payload], pa.binary())})
+            shard, names, parts, held, before = shard + 1, [], [], 0, before + len(ids)
             return out
 
         for whole in batches:
@@ -224,22 +224,23 @@ def write_token_shards(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_5
 def read_token_shards(spark, path: str) -> DataFrame:
     """One row per document of the shards at ``path``: doc_id, start, n_tokens, ids
     (binary, little-endian unsigned 32-bit).  ``start`` counts the ids of all documents
-    before it; only the shards' sizes are summed for it, never rows."""
+    before it: a shard tells those of its own range of ids, and one sum per range (as many
+    as the ranges the writer made, never rows or shards) is added from the driver."""
     shards = spark.read.schema(SHARD_SCHEMA).parquet(path)
-    before = shards.select("part", "shard", "n_ids").select(
-        "part", "shard", (F.sum("n_ids").over(Window.orderBy("part", "shard")) - F.col("n_ids")).alias("base")
-    )
+    base, total = {}, 0
+    for row in shards.groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").collect():
+        base[row.part], total = total, total + row.n
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for payload, base in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+            for payload, part, before in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 shard = Shard(payload.as_buffer().to_pybytes())
                 ids, offs = shard.all(), shard.offsets
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(shard.doc_ids), pa.array(base + offs[:-1]), pa.array(np.diff(offs)), binary_column(ids.astype("<u4"), 4 * offs),
+                    pa.array(shard.doc_ids), pa.array(base[part] + before + offs[:-1]), pa.array(np.diff(offs)), binary_column(ids.astype("<u4"), 4 * offs),
                 ], ["doc_id", "start", "n_tokens", "ids"])
 
-    return shards.join(before, ["part", "shard"]).select("payload", "base").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids binary")
+    return shards.select("payload", "part", "before").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def store_tokens(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", end_id: int = 0) -> DataFrame:

@@ -76,7 +76,7 @@ class UnitEncoder:
         plain = [u for u in new if MARK not in u and (not self.spaced or BARE.search(u))]
         for at in range(0, len(plain), 20_000):
             some = plain[at : at + 20_000]
-            ids = np.array(self.tokenizer.encode(self.glue.join(some), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.tokenizer.encode_batch_fast([self.glue.join(some)], add_special_tokens=False)[0].ids, "<u4")
             m = len(self.mark)
             hit = ids[: max(0, len(ids) - m + 1)] == self.mark[0]
             for k in range(1, m):

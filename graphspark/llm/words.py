@@ -20,7 +20,7 @@ def powers(n: int, base: int = BASE) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64, for i below n at least."""
     held = _POWERS.get(base)
     if held is None or len(held[0]) < n:
-        size = max(n, 1 << 16, 2 * len(held[0]) if held is not None else 0)
+        size = max(n, 1 << 17)
         inverse = pow(base, -1, 1 << 64)
         out = []
         for b in (base, inverse):
@@ -52,13 +52,18 @@ def spans_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int
     return (sums[ends] - sums[starts]) * powers(len(sums), base)[1][starts]
 
 
-def window_hashes(values: np.ndarray, width: int, base: int = BASE) -> np.ndarray:
-    """The hash of every run of ``width`` values."""
+def window_hashes(values: np.ndarray, width: int, base: int = BASE, step: int = 1 << 16) -> np.ndarray:
+    """The hash of every run of ``width`` values, ``step`` runs at a time."""
     n = len(values) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    sums = prefix_sums(values, base)
-    return (sums[width:] - sums[:n]) * powers(n, base)[1][:n]
+    out = np.empty(n, np.uint64)
+    for a in range(0, n, step):
+        part = values[a : a + step + width - 1]
+        m = len(part) - width + 1
+        sums = prefix_sums(part, base)
+        np.multiply(sums[width:] - sums[:m], powers(m, base)[1][:m], out=out[a : a + m])
+    return out
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
