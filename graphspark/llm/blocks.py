@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_size, column_bytes, partitions, release, stored
+from .common import by_size, column_bytes, partitions, release, short_batches, stored
 
 BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 8 << 20
 
@@ -39,6 +39,8 @@ def text_blocks(docs: DataFrame, text_col: str, block_bytes: int = BLOCK_BYTES)
     """block, n_bytes, payload: the rows of ``docs``, all columns, in blocks of about
     ``block_bytes`` of text, in the order in which they are read; written once."""
 
+    short_batches(docs.sparkSession)
+
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 

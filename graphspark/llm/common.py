@@ -47,8 +47,16 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def short_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Texts are long: fewer rows travel to Python at a time than Spark's default of 10,000."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows:
+        spark.conf.set(key, str(rows))
+
+
 def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only (doc_id, text), with a null text as the empty text and a null id as -1."""
+    short_batches(docs.sparkSession)
     return docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(-1).cast("long")).alias("doc_id"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
@@ -95,6 +103,7 @@ def by_size(batch: pa.RecordBatch, column: str, most: int):
         to = max(at + 1, int(np.searchsorted(offs, offs[at] + most, "right")) - 1)
         yield batch.slice(at, to - at)
         at = to
+    release()
 
 
 def ordered_by_id(docs: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_size
+from .common import by_size, short_batches
 
 SLICE = 4 << 20
 
@@ -252,6 +252,7 @@ def main_text(page: str | None) -> str:
 
 def extract_main_text(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """The columns of ``keep`` and the main text of every page."""
+    short_batches(pages.sparkSession)
     chosen = pages.select(*keep, F.coalesce(F.col(html_col), F.lit("")).alias("_html"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1])
 

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_size, documents, stored
+from .common import by_size, documents, short_batches, stored
 
 SAMPLE, MOST, SURE, STRONG, SLICE = 8000, 4096, 3.2, 4.0, 4 << 20
 PREFIXES = (4, 5, 6)
@@ -219,6 +219,7 @@ def score(docs: DataFrame, model: Severity) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, model: Severity, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns as they are, that the model doesn't call toxic."""
+    short_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

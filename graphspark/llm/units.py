@@ -20,7 +20,7 @@ SPACED = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 BARE = re.compile(f"[^{SPACE}]+")
 #: White space to str.split(), but not to Unicode.
 ODD = re.compile("[\x1c-\x1f]")
-CACHE = 500_000
+CACHE = 300_000
 #: A private-use character; units that hold it are encoded one by one.
 MARK = "\ue000"
 
