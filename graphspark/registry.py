@@ -24,5 +24,5 @@ def query(ids: str, sql: str | None = None) -> Callable:
     return add
 
 
-for _name in ():
+for _name in ("graph_queries", "path_queries", "rule_queries"):
     importlib.import_module(f"graphspark.domain.{_name}")
