@@ -144,7 +144,12 @@ class ByteBlock:
         seen = np.where(self.whole, self.least, np.uint64(0))
         edge = np.zeros(self.width - 1, np.uint64)
         most = sliding(np.concatenate([edge, seen, edge]), self.width, np.maximum)
-        return self.kmers[most == self.kmers]
+        return spread_out(self.kmers[most == self.kmers])
+
+
+def spread_out(minimizers: np.ndarray) -> np.ndarray:
+    """Minimizers are small by choice; mixed again they fill the range that buckets divide."""
+    return mix(minimizers + np.uint64(0xA0761D6478BD642F))
 
 
 def runs_of(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -196,7 +201,8 @@ def dedup_bytes(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, block_b
         turn = np.ones(len(values), bool)
         turn[1:] = values[1:] != values[:-1]
         heads = np.flatnonzero(turn)
-        keys = (bucket_of(values[heads], buckets).astype(np.uint64) << np.uint64(8 * SHORT)) | (values[heads] & np.uint64(256**SHORT - 1))
+        mixed = spread_out(values[heads])
+        keys = (bucket_of(mixed, buckets).astype(np.uint64) << np.uint64(8 * SHORT)) | (mixed & np.uint64(256**SHORT - 1))
         spot = np.searchsorted(wanted, keys)
         hit = np.zeros(len(heads), bool)
         ok = spot < len(wanted)
@@ -226,7 +232,7 @@ def dedup_bytes(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, block_b
             table = np.zeros(len(head), _HEAD)
             table["doc"], table["row"], table["at"] = ids[owner[head]], owner[head], starts[head]
             table["start"], table["n"] = starts[head] - block.offsets[owner[head]], np.diff(np.append(head, len(starts)))
-            to = bucket_of(values[head], buckets)
+            to = bucket_of(spread_out(values[head]), buckets)
             by = np.argsort(to, kind="stable")
             table, to = table[by], to[by]
             cuts = np.append(np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])), len(to))

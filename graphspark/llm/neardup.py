@@ -188,7 +188,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, share: int = 80, bands: int
                 sets = [raw[8 * a : 8 * b] for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), pa.array(sets, pa.binary())], ["doc_id", "grp", "n_blocks", "block", "shingles"])
 
-    sets = docs.join(parts, "doc_id").select("doc_id", "grp", "n_blocks", "block", "text").mapInArrow(with_sets, "doc_id long, grp long, n_blocks int, block int, shingles binary")
+    # sorted on both sides at any size, so that what is moved grows with the input and no faster
+    sets = docs.hint("merge").join(parts, "doc_id").select("doc_id", "grp", "n_blocks", "block", "text").mapInArrow(with_sets, "doc_id long, grp long, n_blocks int, block int, shingles binary")
     dealt = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
     dealt = dealt.select("grp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "shingles")
     roots = components(verify(dealt, share))
