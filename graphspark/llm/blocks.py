@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import by_size, column_bytes, partitions, release, short_batches, stored
 
-BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 8 << 20
+BLOCK_BYTES, BUCKET_BYTES = 2 << 20, 8 << 20
 
 
 def pack(batches: list[pa.RecordBatch]) -> bytes:

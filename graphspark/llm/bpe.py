@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import binary_column, by_size, documents, ids_column
+from .common import binary_column, by_size, documents, ids_column, release
 from .units import CACHE, SPACE, SPACED, resolve, trim
 
 SLICE = 2 << 20
@@ -183,6 +183,9 @@ def bpe_encode(docs: DataFrame, vocabulary: str = "byte_bpe_multi_50k.tiktoken",
                     out.append(binary_column(b"".join(texts), ends))
                     names.append("decoded")
                 yield pa.RecordBatch.from_arrays(out, names)
+        bpe.known.clear()
+        bpe.pairs.clear()
+        release()
 
     return documents(docs).mapInArrow(encoded, "doc_id long, ids array<int>" + ", decoded binary" * decode)
 

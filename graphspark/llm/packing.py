@@ -172,5 +172,6 @@ def pack_documents(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_i
                 for doc, ids in zip(batch.column(0).to_pylist(), enc.encode_all(batch.column(1).to_pylist()), strict=True):
                     yield from packer.add(doc, np.frombuffer(ids + end, "<u4"))
         yield from packer.finish()
+        enc.forget()
 
     return ordered_by_id(documents(docs)).mapInArrow(pieces, PIECE_SCHEMA)

@@ -192,7 +192,7 @@ def write_token_shards(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_5
         from pyspark import TaskContext
 
         part, shard = TaskContext.get().partitionId(), 0
-        encode, end = encoder(file, True).encode_all, np.array([end_id], "<u4").tobytes()
+        enc, end = encoder(file, True), np.array([end_id], "<u4").tobytes()
         names: list[int] = []
         parts: list[bytes] = []
         held = before = 0
@@ -209,7 +209,7 @@ def write_token_shards(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_5
 
         for whole in batches:
             for batch in by_size(whole, "text", SLICE):
-                for doc, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist()), strict=True):
+                for doc, ids in zip(batch.column(0).to_pylist(), enc.encode_all(batch.column(1).to_pylist()), strict=True):
                     names.append(doc)
                     parts.append(ids + end)
                     held += len(parts[-1]) // 4
@@ -217,6 +217,7 @@ def write_token_shards(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_5
                         yield flush()
         if names:
             yield flush()
+        enc.forget()
 
     ordered_by_id(documents(docs)).mapInArrow(shards, SHARD_SCHEMA).write.parquet(path)
 

@@ -13,6 +13,8 @@ import re
 
 import numpy as np
 
+from .common import release
+
 #: Unicode White_Space: fixed values.
 SPACE = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: A leading space goes with the run after it; of a longer run the last character stays behind.
@@ -71,6 +73,11 @@ class UnitEncoder:
         get = known.__getitem__
         return [b"".join(map(get, row)) for row in rows]
 
+    def forget(self) -> None:
+        """At the end of a task: the worker may serve other work next."""
+        self.known.clear()
+        release()
+
     def learn(self, new: set[str]) -> None:
         """Encode units, many in one text with a mark between them that no unit holds."""
         plain = [u for u in new if MARK not in u and (not self.spaced or BARE.search(u))]
