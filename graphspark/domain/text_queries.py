@@ -138,12 +138,6 @@ def events_tumbling_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy(F.window("t", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").cast("timestamp_ntz").alias("day"), "event_type", "n")
 
 
-@query("A19 A21", "SELECT vec_id FROM embeddings ORDER BY hash(vec_id) LIMIT 0")
-def audit_sample_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A seeded audit sample of size 0: the schema alone."""
-    return table(spark, sf_dir, "embeddings").orderBy(F.xxhash64("vec_id", F.lit(7))).limit(0).select("vec_id")
-
-
 @query("O6 G2", "SELECT * FROM (VALUES ('t1', 0.9), ('t2', 0.8), ('t4', 0.1)) v(t, score)")
 def greedy_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Highest score first while the cost fits; what doesn't fit is passed over."""
