@@ -35,7 +35,7 @@ from .blocks import MESSAGE_DDL, answered, bucket_count, bucket_of, census, keye
 from .common import binary_column, column_bytes, release, stored
 from .words import BYTE, mix, window_hashes
 
-WINDOW, KMER, BLOCK_BYTES, SHORT = 100, 32, 2 << 20, 5
+WINDOW, KMER, BLOCK_BYTES, SHORT = 100, 24, 2 << 20, 5
 LARGEST = np.uint64(2**64 - 1)
 
 
@@ -52,14 +52,13 @@ def ranks(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
     """The rank of the first ``length`` bytes at each start among all of them, equal for
     equal strings, in suffix order.  Ranks of longer prefixes follow from those of shorter
     ones by sorting pairs.  ``data`` must hold ``length`` bytes after every start."""
-    wide = np.concatenate([data, np.zeros(8, np.uint8)])
     n = len(data)
 
     def dense(keys: np.ndarray) -> np.ndarray:
         order = np.argsort(keys)
         sorted_ = keys[order]
         step = np.zeros(len(keys), np.uint32)
-        step[1:] = sorted_[1:] != sorted_[:-1]
+        np.not_equal(sorted_[1:], sorted_[:-1], out=step[1:], casting="unsafe")
         out = np.empty(len(keys), np.uint32)
         out[order] = np.cumsum(step, dtype=np.uint32)
         return out
@@ -67,16 +66,20 @@ def ranks(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
     span = 1
     while 2 * span <= min(length, 8):
         span *= 2
-    first = np.zeros(n, np.uint64)
-    for k in range(span):
-        first = (first << np.uint64(8)) | wide[k : k + n]
-    rank = dense(first)
+    wide = np.zeros(n + 16, np.uint8)
+    wide[:n] = data
+    first = np.empty(n, np.uint64)
+    for k in range(8):  # eight bytes from each place, the first one the most significant
+        part = first[k::8]
+        part[:] = wide[k : k + 8 * len(part)].view(">u8")
+    rank = dense(first >> np.uint64(8 * (8 - span)))
     while span < length:
         step = min(span, length - span)
-        at = np.arange(n - step) if span + step < length else starts
-        pairs = (rank[at].astype(np.uint64) << np.uint64(32)) | rank[at + step]
         if span + step >= length:
-            return dense(pairs)
+            return dense((rank[starts].astype(np.uint64) << np.uint64(32)) | rank[starts + step])
+        pairs = rank[: n - step].astype(np.uint64)
+        pairs <<= np.uint64(32)
+        pairs |= rank[step:]
         new = np.zeros(n, np.uint32)
         new[: n - step] = dense(pairs)
         rank, span = new, span + step
@@ -195,7 +198,8 @@ def dedup_bytes(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, block_b
         distinct, bucket, times, _ = keyed(found, bucket_of(found, buckets), SHORT)
         shared = (times > 1) | answered(replies[0], bucket)
         # distinct values are in order within a bucket, buckets in order: one key finds them
-        wanted = np.sort((bucket[shared].astype(np.uint64) << np.uint64(8 * SHORT)) | distinct[shared])
+        wanted = (bucket[shared].astype(np.uint64) << np.uint64(8 * SHORT)) | distinct[shared]
+        twice = times[shared] > 1
         at = np.flatnonzero(block.whole)
         values = block.least[at]
         turn = np.ones(len(values), bool)
@@ -207,6 +211,8 @@ def dedup_bytes(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, block_b
         hit = np.zeros(len(heads), bool)
         ok = spot < len(wanted)
         hit[ok] = wanted[spot[ok]] == keys[ok]
+        doubled = np.zeros(len(heads), bool)
+        doubled[hit] = twice[spot[hit]]
         chosen = np.repeat(hit, np.diff(np.append(heads, len(values))))
         starts, values = at[chosen], values[chosen]
         ids = rows.column("doc_id").to_numpy()
@@ -214,13 +220,16 @@ def dedup_bytes(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, block_b
         before = np.empty(len(ids), np.int64)
         sizes = np.diff(block.offsets)[by_id]
         before[by_id] = np.cumsum(sizes) - sizes
-        owner = np.searchsorted(block.offsets, starts, "right") - 1
         # empty texts begin where the next one does
-        begin, count = runs_of(starts)
+        owner = np.searchsorted(block.offsets, starts, "right") - 1
+        # only a minimizer that the block has twice can stand in two equal windows of it
+        inner = np.flatnonzero(np.repeat(doubled, np.diff(np.append(heads, len(at))))[chosen])
+        begin, count = runs_of(starts[inner])
         local, placed = gather(block.data, begin, count + window - 1)
         where = spread(placed, count)
-        order = before[owner] + (starts - block.offsets[owner])
-        again = longest_previous_factor(local, where, order, window) >= window if len(starts) else np.zeros(0, bool)
+        order = before[owner[inner]] + (starts[inner] - block.offsets[owner[inner]])
+        again = np.zeros(len(starts), bool)
+        again[inner] = longest_previous_factor(local, where, order, window) >= window
         settled = np.stack(runs_of(starts[again]), axis=1).astype("<i4").tobytes()
         names, blobs = [-1], [pa.compress(settled, "zstd", asbytes=True) if settled else b""]
         sizes = [len(settled)]
