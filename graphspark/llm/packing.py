@@ -165,12 +165,12 @@ def pack_documents(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_i
         from pyspark import TaskContext
 
         enc = encoder(file, False)
-        end = np.array([end_id], "<u4").tobytes()
         packer = Packer(TaskContext.get().partitionId() << 33, size, sentence_table(enc))
         for whole in batches:
             for batch in by_size(whole, "text", SLICE):
-                for doc, ids in zip(batch.column(0).to_pylist(), enc.encode_all(batch.column(1).to_pylist()), strict=True):
-                    yield from packer.add(doc, np.frombuffer(ids + end, "<u4"))
+                ids, ends = enc.encode_column(batch.column(1), end_id)
+                for doc, a, b in zip(batch.column(0).to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                    yield from packer.add(doc, ids[a:b])
         yield from packer.finish()
         enc.forget()
 

@@ -192,16 +192,16 @@ def write_token_shards(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_5
         from pyspark import TaskContext
 
         part, shard = TaskContext.get().partitionId(), 0
-        enc, end = encoder(file, True), np.array([end_id], "<u4").tobytes()
+        enc = encoder(file, True)
         names: list[int] = []
-        parts: list[bytes] = []
+        parts: list[np.ndarray] = []
         held = before = 0
 
         def flush() -> pa.RecordBatch:
             nonlocal shard, names, parts, held, before
-            ids = np.frombuffer(b"".join(parts), "<u4")
+            ids = np.concatenate(parts)
             offsets = np.zeros(len(parts) + 1, np.int64)
-            np.cumsum([len(x) // 4 for x in parts], out=offsets[1:])
+            np.cumsum([len(x) for x in parts], out=offsets[1:])
             payload = pack_shard(np.array(names, np.int64), ids, offsets)
             out = pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "shard": pa.array([shard], pa.int32()), "before": pa.array([before], pa.int64()), "first_doc": pa.array([names[0]], pa.int64()), "n_docs": pa.array([len(names)], pa.int32()), "n_ids": pa.array([len(ids)], pa.int64()), "payload": pa.array([payload], pa.binary())})
             shard, names, parts, held, before = shard + 1, [], [], 0, before + len(ids)
@@ -209,10 +209,11 @@ def write_token_shards(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_5
 
         for whole in batches:
             for batch in by_size(whole, "text", SLICE):
-                for doc, ids in zip(batch.column(0).to_pylist(), enc.encode_all(batch.column(1).to_pylist()), strict=True):
+                ids, ends = enc.encode_column(batch.column(1), end_id)
+                for doc, a, b in zip(batch.column(0).to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
                     names.append(doc)
-                    parts.append(ids + end)
-                    held += len(parts[-1]) // 4
+                    parts.append(ids[a:b])
+                    held += b - a
                     if held >= shard_ids:
                         yield flush()
         if names:

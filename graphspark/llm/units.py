@@ -12,8 +12,10 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
 
-from .common import release
+from .common import column_bytes, release
+from .words import LOWER, SPACES, spans, word_hashes
 
 #: Unicode White_Space: fixed values.
 SPACE = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -21,7 +23,9 @@ SPACE = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u20
 SPACED = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 BARE = re.compile(f"[^{SPACE}]+")
 #: White space to str.split(), but not to Unicode.
-ODD = re.compile("[\x1c-\x1f]")
+SEPARATORS = re.compile("[\x1c-\x1f]")
+#: White space beyond ASCII, as UTF-8.
+ODD = re.compile(b"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 CACHE = 300_000
 #: A private-use character; units that hold it are encoded one by one.
 MARK = "\ue000"
@@ -43,7 +47,7 @@ class UnitEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.spaced, self.known = spaced, {}
+        self.spaced, self.known, self.table = spaced, {}, None
         #: A line feed is a token of its own before and after any unit that may begin with a space.
         self.glue = "\n" if spaced else f" {MARK} "
         self.mark = np.array(self.tokenizer.encode("\n" if spaced else MARK, add_special_tokens=False).ids, "<u4")
@@ -51,7 +55,7 @@ class UnitEncoder:
     def units(self, text: str) -> list[str]:
         if self.spaced:
             return SPACED.findall(text)
-        return BARE.findall(text) if ODD.search(text) else text.split()
+        return BARE.findall(text) if SEPARATORS.search(text) else text.split()
 
     def encode(self, text: str) -> bytes:
         return self.encode_all([text])[0]
@@ -76,29 +80,125 @@ class UnitEncoder:
     def forget(self) -> None:
         """At the end of a task: the worker may serve other work next."""
         self.known.clear()
+        self.table = None
         release()
 
+    def cut(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of units in UTF-8 bytes whose only white space is ASCII; a full
+        stop or comma that ends a word after a letter is a unit of its own."""
+        blank = SPACES[data]
+        starts, ends = spans(~blank, offsets)
+        last = data[ends - 1]
+        letters = LOWER[data[np.maximum(ends - 2, 0)]]
+        split = ((last == 46) | (last == 44)) & (ends - starts > 1) & (letters >= 97) & (letters <= 122)
+        marks = ends[split] - 1
+        ends = ends - split
+        if self.spaced:
+            texts = np.zeros(len(data) + 1, bool)
+            texts[offsets] = True
+            led = (starts > 0) & ~texts[starts] & (data[np.maximum(starts - 1, 0)] == 32)
+            free = blank.copy()
+            free[starts[led] - 1] = False
+            # what a leading space leaves of its run is one unit; so is a run at a text's end
+            g, h = spans(free, offsets)
+            before = np.zeros(len(data) + 1, bool)
+            before[starts[~led]] = True
+            parted = before[h] & ~texts[h] & (h - g > 1)
+            starts = starts - led
+            starts, ends = np.concatenate([starts, g, h[parted] - 1]), np.concatenate([ends, h - parted, h[parted]])
+        starts, ends = np.concatenate([starts, marks]), np.concatenate([ends, marks + 1])
+        order = np.argsort(starts)
+        return starts[order], ends[order]
+
+    def encode_column(self, column: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts of a column, each with the end id, and where each begins."""
+        data, offsets = column_bytes(column)
+        if ODD.search(data.tobytes()):
+            rows = self.encode_all([x or "" for x in column.to_pylist()])
+            ids, ends = np.frombuffer(b"".join(rows), "<u4"), np.cumsum([0, *(len(x) // 4 for x in rows)])
+        else:
+            starts, stops = self.cut(data, offsets)
+            hashes = word_hashes(data, starts, stops)
+            distinct, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+            at, size, pool = self.lookup(data, distinct, starts[first], stops[first])
+            sizes = size[which]
+            reach = np.zeros(len(sizes) + 1, np.int64)
+            np.cumsum(sizes, out=reach[1:])
+            ids = pool[np.arange(int(reach[-1])) + np.repeat(at[which] - reach[:-1], sizes)]
+            ends = reach[np.searchsorted(starts, offsets)]
+        return np.insert(ids, ends[1:], np.uint32(end_id)), ends + np.arange(len(ends))
+
+    def lookup(self, data: np.ndarray, distinct: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where the ids of each distinct unit begin in a pool, how many they are, and the
+        pool.  The table of known units is kept in the order of their hashes."""
+        if self.table is None:
+            self.table = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32))
+        keys, at, size, pool = self.table
+        spot = np.searchsorted(keys, distinct)
+        have = np.zeros(len(distinct), bool)
+        inside = spot < len(keys)
+        have[inside] = keys[spot[inside]] == distinct[inside]
+        new = np.flatnonzero(~have)
+        raw = data.tobytes()
+        units = [raw[a:b].decode() for a, b in zip(starts[new].tolist(), stops[new].tolist(), strict=True)]
+        new_ids, new_sizes = self.encode_units(units)
+        new_at = len(pool) + np.cumsum(new_sizes) - new_sizes
+        pool = np.concatenate([pool, new_ids])
+        out_at, out_size = np.empty(len(distinct), np.int64), np.empty(len(distinct), np.int64)
+        out_at[have], out_size[have] = at[spot[have]], size[spot[have]]
+        out_at[new], out_size[new] = new_at, new_sizes
+        if len(keys) + len(new) > CACHE:  # only what was known and is used again stays
+            keys, at, size = distinct[have], out_at[have], out_size[have]
+            kept = pool[np.arange(int(size.sum())) + np.repeat(at - (np.cumsum(size) - size), size)]
+            self.table = (keys, np.cumsum(size) - size, size, kept)
+        else:
+            keys = np.concatenate([keys, distinct[new]])
+            order = np.argsort(keys)
+            self.table = (keys[order], np.concatenate([at, new_at])[order], np.concatenate([size, new_sizes])[order], pool)
+        return out_at, out_size, pool
+
+    def encode_units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of units, one after the other, and how many each has."""
+        easy = [MARK not in u and (not self.spaced or BARE.search(u) is not None) for u in units]
+        chunks, sizes = [], np.zeros(len(units), np.int64)
+        places = np.flatnonzero(easy)
+        parts: dict[int, np.ndarray] = {}
+        for begin in range(0, len(places), 20_000):
+            some = places[begin : begin + 20_000]
+            ids, cuts = self.marked([units[k] for k in some.tolist()])
+            sizes[some] = np.diff(np.append(cuts, len(ids)))
+            chunks.append(ids)
+        for k in np.flatnonzero(~np.array(easy, bool)).tolist():
+            parts[k] = np.array(self.tokenizer.encode(units[k], add_special_tokens=False).ids, np.uint32)
+        flat = np.concatenate(chunks) if chunks else np.zeros(0, np.uint32)
+        if parts:
+            where = np.cumsum(sizes) - sizes
+            keys = sorted(parts)
+            flat = np.insert(flat, np.repeat(where[keys], [len(parts[k]) for k in keys]), np.concatenate([parts[k] for k in keys]))
+            sizes[keys] = [len(parts[k]) for k in keys]
+        return flat, sizes
+
+    def marked(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of units laid into one text with marks between, without the marks', and
+        where each unit's begin."""
+        ids = np.array(self.tokenizer.encode_batch_fast([self.glue.join(units)], add_special_tokens=False)[0].ids, np.uint32)
+        m = len(self.mark)
+        hit = ids[: max(0, len(ids) - m + 1)] == self.mark[0]
+        for k in range(1, m):
+            hit &= ids[k : len(ids) - m + 1 + k] == self.mark[k]
+        cuts = np.flatnonzero(hit)
+        if len(cuts) != len(units) - 1:
+            raise ValueError("the mark between units was not found in the ids")
+        keep = np.ones(len(ids), bool)
+        for k in range(m):
+            keep[cuts + k] = False
+        return ids[keep], np.concatenate([[0], cuts - m * np.arange(len(cuts))]).astype(np.int64)
+
     def learn(self, new: set[str]) -> None:
-        """Encode units, many in one text with a mark between them that no unit holds."""
-        plain = [u for u in new if MARK not in u and (not self.spaced or BARE.search(u))]
-        for at in range(0, len(plain), 20_000):
-            some = plain[at : at + 20_000]
-            ids = np.array(self.tokenizer.encode_batch_fast([self.glue.join(some)], add_special_tokens=False)[0].ids, "<u4")
-            m = len(self.mark)
-            hit = ids[: max(0, len(ids) - m + 1)] == self.mark[0]
-            for k in range(1, m):
-                hit &= ids[k : len(ids) - m + 1 + k] == self.mark[k]
-            cuts = np.flatnonzero(hit)
-            if len(cuts) != len(some) - 1:
-                raise ValueError("the mark between units was not found in the ids")
-            raw, begin = ids.tobytes(), 0
-            for u, cut in zip(some, [*(4 * cuts).tolist(), len(raw)], strict=True):
-                self.known[u] = raw[begin:cut]
-                begin = cut + 4 * m
-        if len(plain) < len(new):
-            for u in new:
-                if u not in self.known:
-                    self.known[u] = np.array(self.tokenizer.encode(u, add_special_tokens=False).ids, "<u4").tobytes()
+        units = list(new)
+        ids, sizes = self.encode_units(units)
+        raw, ends = ids.astype("<u4").tobytes(), (4 * np.cumsum(sizes)).tolist()
+        self.known.update((u, raw[a:b]) for u, a, b in zip(units, [0, *ends], ends, strict=False))
 
 
 _ENCODERS: dict[tuple[str, bool], UnitEncoder] = {}

@@ -66,20 +66,25 @@ def window_hashes(values: np.ndarray, width: int, base: int = BASE, step: int =
     return out
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of words in the texts' bytes, and each text's first word (one more
-    than texts).  Words don't cross texts."""
-    n = len(data)
-    inside = np.zeros(n + 2, bool)
-    inside[1:-1] = ~SPACES[data]
-    begin = inside[1:-1] & ~inside[:-2]
-    finish = inside[1:-1] & ~inside[2:]
+def spans(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the stretches of True, cut at the offsets."""
+    n = len(inside)
+    wide = np.zeros(n + 2, bool)
+    wide[1:-1] = inside
+    begin = inside & ~wide[:-2]
+    finish = inside & ~wide[2:]
     cuts = offsets[1:-1]
     cuts = cuts[(cuts > 0) & (cuts < n)]
-    cuts = cuts[inside[cuts] & inside[cuts + 1]]
+    cuts = cuts[inside[cuts] & inside[cuts - 1]]
     begin[cuts] = True
     finish[cuts - 1] = True
-    starts, ends = np.flatnonzero(begin), np.flatnonzero(finish) + 1
+    return np.flatnonzero(begin), np.flatnonzero(finish) + 1
+
+
+def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of words in the texts' bytes, and each text's first word (one more
+    than texts).  Words don't cross texts."""
+    starts, ends = spans(~SPACES[data], offsets)
     return starts, ends, np.searchsorted(starts, offsets)
 
 
