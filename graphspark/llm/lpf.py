@@ -72,17 +72,30 @@ def ranks(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
     for k in range(8):  # eight bytes from each place, the first one the most significant
         part = first[k::8]
         part[:] = wide[k : k + 8 * len(part)].view(">u8")
-    rank = dense(first >> np.uint64(8 * (8 - span)))
+    steps = []  # spans of ranks and how far the second of a pair lies
     while span < length:
-        step = min(span, length - span)
-        if span + step >= length:
-            return dense((rank[starts].astype(np.uint64) << np.uint64(32)) | rank[starts + step])
-        pairs = rank[: n - step].astype(np.uint64)
+        steps.append((span, min(span, length - span)))
+        span += steps[-1][1]
+    # which places' ranks the next longer ranks refer to, from the last step backwards
+    wanted = np.zeros(n, bool)
+    wanted[starts] = True
+    needs = []
+    for _, step in steps[::-1]:
+        wanted = wanted.copy()
+        wanted[step:] |= wanted[:-step].copy()
+        needs.append(np.flatnonzero(wanted))
+    needs = needs[::-1] or [starts]
+    rank = np.zeros(n, np.uint32)
+    rank[needs[0]] = dense(first[needs[0]] >> np.uint64(8 * (8 - (steps[0][0] if steps else length))))
+    for k, (_, step) in enumerate(steps):
+        at = needs[k + 1] if k + 1 < len(steps) else starts
+        pairs = rank[at].astype(np.uint64)
         pairs <<= np.uint64(32)
-        pairs |= rank[step:]
-        new = np.zeros(n, np.uint32)
-        new[: n - step] = dense(pairs)
-        rank, span = new, span + step
+        pairs |= rank[at + step]
+        if k + 1 == len(steps):
+            return dense(pairs)
+        rank = np.zeros(n, np.uint32)
+        rank[at] = dense(pairs)
     return rank[starts]
 
 
@@ -183,7 +196,7 @@ _HEAD = np.dtype([("doc", "<i8"), ("row", "<i4"), ("at", "<i4"), ("start", "<i4"
 def dedup_bytes(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and the remaining bytes of ``docs`` (doc_id, text)."""
     blocks = text_blocks(docs, "text", block_bytes)
-    buckets = bucket_count(blocks)
+    buckets = 2 * bucket_count(blocks)
 
     def send_minimizers(number: int, rows: pa.Table, _: list) -> Iterator[pa.RecordBatch]:
         h = ByteBlock(rows.column("text"), window, kmer).minimizers()
