@@ -61,13 +61,21 @@ def best_cuts(places: np.ndarray, penalty: np.ndarray, size: int, last: bool) ->
     """Indices of ``places`` to cut at, 0 first.  If not ``last``, the end is the best
     place among those of the last ``size`` ids, else it is the last place."""
     p, c, n = places.tolist(), penalty.tolist(), len(places)
-    free: dict[int, list[int]] = {}
+    # places a power of two before a place, where one may be cut: no padding between them
+    number = np.full(int(places[-1]) + 1, -1, np.int32)
+    number[places] = np.arange(n)
+    pairs = []
     k = 1
     while k <= size:
-        at = np.searchsorted(places, places - k)
-        for j in np.flatnonzero((places >= k) & (places[np.minimum(at, n - 1)] == places - k)).tolist():
-            free.setdefault(j, []).append(int(at[j]))
+        first = int(np.searchsorted(places, k))
+        before = number[places[first:] - k]
+        hit = np.flatnonzero(before >= 0)
+        pairs.append(np.stack([hit + first, before[hit]]))
         k *= 2
+    later, earlier = np.concatenate(pairs, axis=1)
+    order = np.argsort(later, kind="stable")
+    earlier = earlier[order].tolist()
+    bounds = np.searchsorted(later[order], np.arange(n + 1)).tolist()
     f, back = [0] * n, [0] * n
     queue: deque[tuple[int, int]] = deque([(p[0], 0)])
     for j in range(1, n):
@@ -76,10 +84,9 @@ def best_cuts(places: np.ndarray, penalty: np.ndarray, size: int, last: bool) ->
             queue.popleft()
         best, i = queue[0]
         best += size - p[j]
-        if j in free:
-            for h in free[j]:
-                if f[h] < best:
-                    best, i = f[h], h
+        for h in earlier[bounds[j] : bounds[j + 1]]:
+            if f[h] < best:
+                best, i = f[h], h
         f[j], back[j] = best + c[j], i
         g = f[j] + p[j]
         while queue and queue[-1][0] >= g:

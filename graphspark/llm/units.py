@@ -24,6 +24,7 @@ SPACED = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 BARE = re.compile(f"[^{SPACE}]+")
 #: White space to str.split(), but not to Unicode.
 SEPARATORS = re.compile("[\x1c-\x1f]")
+WIDE = re.compile("[^\x00-\xff]")
 #: White space beyond ASCII, as UTF-8.
 ODD = re.compile(b"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 CACHE = 300_000
@@ -50,6 +51,14 @@ class UnitEncoder:
         self.spaced, self.known, self.table = spaced, {}, None
         #: A line feed is a token of its own before and after any unit that may begin with a space.
         self.glue = "\n" if spaced else f" {MARK} "
+        #: Latin-1 is in normal form and is lower-cased letter by letter: such units need no normaliser.
+        self.plain = None
+        if not spaced:
+            from tokenizers.normalizers import Sequence
+
+            self.plain = Tokenizer.from_file(path)
+            self.plain.encode_special_tokens = True
+            self.plain.normalizer = Sequence([])
         self.mark = np.array(self.tokenizer.encode("\n" if spaced else MARK, add_special_tokens=False).ids, "<u4")
 
     def units(self, text: str) -> list[str]:
@@ -121,11 +130,15 @@ class UnitEncoder:
             hashes = word_hashes(data, starts, stops)
             distinct, first, which = np.unique(hashes, return_index=True, return_inverse=True)
             at, size, pool = self.lookup(data, distinct, starts[first], stops[first])
+            # the end id is one more unit after each text
+            last = np.searchsorted(starts, offsets[1:])
+            which = np.insert(which, last, len(distinct))
+            at, size, pool = np.append(at, len(pool)), np.append(size, 1), np.append(pool, np.uint32(end_id))
             sizes = size[which]
             reach = np.zeros(len(sizes) + 1, np.int64)
             np.cumsum(sizes, out=reach[1:])
             ids = pool[np.arange(int(reach[-1])) + np.repeat(at[which] - reach[:-1], sizes)]
-            ends = reach[np.searchsorted(starts, offsets)]
+            return ids, np.concatenate([[0], reach[last + np.arange(1, len(last) + 1)]])
         return np.insert(ids, ends[1:], np.uint32(end_id)), ends + np.arange(len(ends))
 
     def lookup(self, data: np.ndarray, distinct: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -160,17 +173,27 @@ class UnitEncoder:
     def encode_units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of units, one after the other, and how many each has."""
         easy = [MARK not in u and (not self.spaced or BARE.search(u) is not None) for u in units]
+        latin = [False] * len(units) if self.plain is None else [WIDE.search(u) is None for u in units]
         chunks, sizes = [], np.zeros(len(units), np.int64)
-        places = np.flatnonzero(easy)
         parts: dict[int, np.ndarray] = {}
-        for begin in range(0, len(places), 20_000):
-            some = places[begin : begin + 20_000]
-            ids, cuts = self.marked([units[k] for k in some.tolist()])
-            sizes[some] = np.diff(np.append(cuts, len(ids)))
-            chunks.append(ids)
+        order = []
+        for plain in (True, False):
+            places = np.flatnonzero(np.array(easy, bool) & (np.array(latin, bool) == plain))
+            for begin in range(0, len(places), 20_000):
+                some = places[begin : begin + 20_000]
+                ids, cuts = self.marked([units[k] for k in some.tolist()], plain)
+                sizes[some] = np.diff(np.append(cuts, len(ids)))
+                chunks.append(ids)
+                order.append(some)
         for k in np.flatnonzero(~np.array(easy, bool)).tolist():
             parts[k] = np.array(self.tokenizer.encode(units[k], add_special_tokens=False).ids, np.uint32)
         flat = np.concatenate(chunks) if chunks else np.zeros(0, np.uint32)
+        if order:  # back into the order of the units
+            place = np.concatenate(order)
+            begin = np.zeros(len(units), np.int64)
+            begin[place] = np.cumsum(sizes[place]) - sizes[place]
+            target = np.cumsum(sizes) - sizes
+            flat = flat[np.arange(len(flat)) + np.repeat(begin - target, sizes)]
         if parts:
             where = np.cumsum(sizes) - sizes
             keys = sorted(parts)
@@ -178,10 +201,13 @@ class UnitEncoder:
             sizes[keys] = [len(parts[k]) for k in keys]
         return flat, sizes
 
-    def marked(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def marked(self, units: list[str], plain: bool) -> tuple[np.ndarray, np.ndarray]:
         """The ids of units laid into one text with marks between, without the marks', and
         where each unit's begin."""
-        ids = np.array(self.tokenizer.encode_batch_fast([self.glue.join(units)], add_special_tokens=False)[0].ids, np.uint32)
+        text, tokenizer = self.glue.join(units), self.tokenizer
+        if plain:
+            text, tokenizer = text.lower(), self.plain
+        ids = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
         m = len(self.mark)
         hit = ids[: max(0, len(ids) - m + 1)] == self.mark[0]
         for k in range(1, m):
