@@ -18,7 +18,6 @@ an empty table gives no piece; other columns are not read; every id is in one pi
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -77,21 +76,25 @@ def best_cuts(places: np.ndarray, penalty: np.ndarray, size: int, last: bool) ->
     earlier = earlier[order].tolist()
     bounds = np.searchsorted(later[order], np.arange(n + 1)).tolist()
     f, back = [0] * n, [0] * n
-    queue: deque[tuple[int, int]] = deque([(p[0], 0)])
+    # the queue: ascending values of f(i) + p(i) and their places, from head on
+    values, at, head = [p[0]], [0], 0
     for j in range(1, n):
-        low = p[j] - size
-        while p[queue[0][1]] < low:
-            queue.popleft()
-        best, i = queue[0]
-        best += size - p[j]
+        here = p[j]
+        low = here - size
+        while p[at[head]] < low:
+            head += 1
+        best, i = values[head] + size - here, at[head]
         for h in earlier[bounds[j] : bounds[j + 1]]:
             if f[h] < best:
                 best, i = f[h], h
-        f[j], back[j] = best + c[j], i
-        g = f[j] + p[j]
-        while queue and queue[-1][0] >= g:
-            queue.pop()
-        queue.append((g, j))
+        best += c[j]
+        f[j], back[j] = best, i
+        g = best + here
+        while len(values) > head and values[-1] >= g:
+            values.pop()
+            at.pop()
+        values.append(g)
+        at.append(j)
     j = n - 1
     if not last:
         first = int(np.searchsorted(places, p[-1] - size, "right"))

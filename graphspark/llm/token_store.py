@@ -57,11 +57,12 @@ def compress(ids: np.ndarray, offsets: np.ndarray, rounds: int = ROUNDS, least:
             break
         pair = (seq[:-1].astype(np.uint32) << np.uint32(16)) | seq[1:]
         spot = (pair * np.uint32(2654435761)) >> np.uint32(32 - 18)
-        inside = np.ones(n - 1, bool)
         ends = offs[1:-1] - 1
-        inside[ends[(ends >= 0) & (ends < n - 1)]] = False
-        counts = np.bincount(spot[inside], minlength=BINS)
-        hot = np.flatnonzero(inside & (counts >= least)[spot])
+        ends = np.unique(ends[(ends >= 0) & (ends < n - 1)])
+        counts = np.bincount(spot, minlength=BINS) - np.bincount(spot[ends], minlength=BINS)
+        often = (counts >= least)[spot]
+        often[ends] = False
+        hot = np.flatnonzero(often)
         if not len(hot):
             break
         found, inverse, times = np.unique(pair[hot], return_inverse=True, return_counts=True)

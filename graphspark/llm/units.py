@@ -25,13 +25,24 @@ BARE = re.compile(f"[^{SPACE}]+")
 #: White space to str.split(), but not to Unicode.
 SEPARATORS = re.compile("[\x1c-\x1f]")
 WIDE = re.compile("[^\x00-\xff]")
-#: White space beyond ASCII, as UTF-8.
-ODD = re.compile(b"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 CACHE = 300_000
 #: A private-use character; units that hold it are encoded one by one.
 MARK = "\ue000"
 
 
+def odd_space(data: np.ndarray) -> bool:
+    """Whether UTF-8 bytes hold white space beyond ASCII."""
+    two = np.flatnonzero(data[:-1] == 0xC2)
+    if len(two) and np.isin(data[two + 1], (0x85, 0xA0)).any():
+        return True
+    at = np.flatnonzero((data[:-2] >= 0xE1) & (data[:-2] <= 0xE3)) if len(data) > 2 else two[:0]
+    if not len(at):
+        return False
+    a, b, c = data[at], data[at + 1], data[at + 2]
+    general = (b == 0x80) & (((c >= 0x80) & (c <= 0x8A)) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF)) | ((b == 0x81) & (c == 0x9F))
+    return bool((((a == 0xE1) & (b == 0x9A) & (c == 0x80)) | ((a == 0xE2) & general) | ((a == 0xE3) & (b == 0x80) & (c == 0x80))).any())
+
+
 def trim(known: dict, rows: list[list[str]]) -> None:
     """Forget the units that ``rows`` don't hold."""
     used = {u: known[u] for u in set().union(*rows).intersection(known)}
@@ -122,13 +133,19 @@ class UnitEncoder:
     def encode_column(self, column: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts of a column, each with the end id, and where each begins."""
         data, offsets = column_bytes(column)
-        if ODD.search(data.tobytes()):
+        if odd_space(data):
             rows = self.encode_all([x or "" for x in column.to_pylist()])
             ids, ends = np.frombuffer(b"".join(rows), "<u4"), np.cumsum([0, *(len(x) // 4 for x in rows)])
         else:
             starts, stops = self.cut(data, offsets)
             hashes = word_hashes(data, starts, stops)
-            distinct, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+            order = np.argsort(hashes)
+            in_order = hashes[order]
+            new = np.ones(len(order), bool)
+            new[1:] = in_order[1:] != in_order[:-1]
+            which = np.empty(len(order), np.int64)
+            which[order] = np.cumsum(new) - 1
+            distinct, first = in_order[new], order[new]
             at, size, pool = self.lookup(data, distinct, starts[first], stops[first])
             # the end id is one more unit after each text
             last = np.searchsorted(starts, offsets[1:])
