@@ -95,6 +95,9 @@ def ids_column(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values.astype(np.int32)))
 
 
+_batches = 0
+
+
 def by_size(batch: pa.RecordBatch, column: str, most: int):
     """Slices of ``batch`` whose ``column`` holds about ``most`` bytes each, one row at least."""
     _, offs = column_bytes(batch.column(batch.schema.get_field_index(column)))
@@ -103,7 +106,10 @@ def by_size(batch: pa.RecordBatch, column: str, most: int):
         to = max(at + 1, int(np.searchsorted(offs, offs[at] + most, "right")) - 1)
         yield batch.slice(at, to - at)
         at = to
-    release()
+    global _batches
+    _batches += 1
+    if _batches % 16 == 0:  # memory given back must be asked for again: not every time
+        release()
 
 
 def ordered_by_id(docs: DataFrame) -> DataFrame:
