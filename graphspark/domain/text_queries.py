@@ -43,8 +43,19 @@ def best_context_line(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("TS5", f"""WITH l AS ({_LINES}) SELECT doc_id, n, string_agg(line, '|') OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS context FROM l WHERE doc_id < 50""")
 def context_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that the given SQL takes; ``context_window_all`` takes every one."""
+    return contexts(lines(spark, sf_dir).where("doc_id < 50"))
+
+
+def contexts(numbered: DataFrame) -> DataFrame:
+    """Each line (doc_id, n, line) with the one before and the one after it."""
     w = Window.partitionBy("doc_id").orderBy("n").rowsBetween(-1, 1)
-    return lines(spark, sf_dir).where("doc_id < 50").select("doc_id", "n", F.array_join(F.collect_list("line").over(w), "|").alias("context"))
+    return numbered.select("doc_id", "n", F.array_join(F.collect_list("line").over(w), "|").alias("context"))
+
+
+@query("TS5", f"""WITH l AS ({_LINES}) SELECT doc_id, n, string_agg(line, '|') OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS context FROM l""")
+def context_window_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contexts(lines(spark, sf_dir))
 
 
 def dedupe_hits(hits: DataFrame) -> DataFrame:
