@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from .conftest import DATA
 from graphspark.registry import QUERIES
 
@@ -19,3 +21,10 @@ def test_context_of_every_document(spark):
     got = {(r.doc_id, r.n): r.context for r in QUERIES["context_window_all"](spark, DATA).collect()}
     assert max(doc for doc, _ in got) >= 50
     assert got == want
+
+
+def test_digest_of_every_document(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()
+    got = {r.doc_id: r.sha for r in QUERIES["content_digest_all"](spark, DATA).collect()}
+    assert max(got) >= 100
+    assert got == {doc: hashlib.sha256(text.encode()).hexdigest() for doc, text in docs}
