@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import random
+from datetime import datetime, timedelta
+
+import numpy as np
 
 from .conftest import DATA
+from graphspark.operators import temporal
 from graphspark.registry import QUERIES
 
 
@@ -28,3 +33,21 @@ def test_digest_of_every_document(spark):
     got = {r.doc_id: r.sha for r in QUERIES["content_digest_all"](spark, DATA).collect()}
     assert max(got) >= 100
     assert got == {doc: hashlib.sha256(text.encode()).hexdigest() for doc, text in docs}
+
+
+def test_overlaps_are_counted_whole(spark):
+    """Close and far, equal and empty intervals, and one without an end."""
+    pick, day = random.Random(7), datetime(2020, 1, 1)
+    cut = [(pick.randint(0, 150), pick.choice([0, 0, 1, 5, 90])) for _ in range(200)]
+    rows = [(day + timedelta(days=a), day + timedelta(days=a + n)) for a, n in cut] * 2
+    want = sum(a[0] < b[1] and a[1] > b[0] for k, a in enumerate(rows) for b in rows[:k])
+    df = spark.createDataFrame([*rows, (day, None)], "start timestamp, end timestamp")
+    assert [int(r.pairs) for r in temporal.overlap_count(df).collect()] == [want]
+    assert [int(r.pairs) for r in temporal.overlap_count(df.where("false")).collect()] == [0]
+
+
+def test_range_join_takes_every_interval(spark, duck):
+    sql = "SELECT epoch(least(o_orderdate, l_shipdate)) AS s, epoch(greatest(o_orderdate, l_shipdate)) AS e FROM lineitem JOIN orders ON o_orderkey = l_orderkey"
+    s, e = (np.array(x) for x in zip(*duck.sql(sql).fetchall(), strict=True))
+    want = sum(int(((s[k] < e[:k]) & (e[k] > s[:k])).sum()) for k in range(len(s)))
+    assert [int(r.pairs) for r in QUERIES["range_join_all"](spark, DATA).collect()] == [want]
