@@ -9,6 +9,7 @@ from datetime import datetime, timedelta
 import numpy as np
 
 from .conftest import DATA
+from graphspark.domain import text_queries
 from graphspark.operators import temporal
 from graphspark.registry import QUERIES
 
@@ -51,3 +52,31 @@ def test_range_join_takes_every_interval(spark, duck):
     s, e = (np.array(x) for x in zip(*duck.sql(sql).fetchall(), strict=True))
     want = sum(int(((s[k] < e[:k]) & (e[k] > s[:k])).sum()) for k in range(len(s)))
     assert [int(r.pairs) for r in QUERIES["range_join_all"](spark, DATA).collect()] == [want]
+
+
+def _near(rows, asked, k=3):
+    ids, e = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], np.float64)
+    e /= np.linalg.norm(e, axis=1, keepdims=True)
+    out = set()
+    for k_ in np.flatnonzero(np.isin(ids, asked)):
+        sim = np.round(e @ e[k_], 5)
+        out |= {(int(ids[k_]), int(ids[j]), f"{sim[j]:.5f}") for j in [j for j in np.lexsort((ids, -sim)) if ids[j] != ids[k_]][:k]}
+    return out
+
+
+def test_neighbours_of_every_hundredth_vector(spark):
+    rows = spark.read.parquet(f"{DATA}/embeddings.parquet").select("vec_id", "embedding").collect()
+    asked = [r.vec_id for r in rows if r.vec_id % 100 == 0]
+    assert len(asked) == 5 and max(asked) >= 5
+    assert {(r.q, r.vec_id, str(r.sim)) for r in QUERIES["vector_topk_all"](spark, DATA).collect()} == _near(rows, asked)
+
+
+def test_neighbours_over_several_blocks(spark, monkeypatch):
+    """Equal vectors, which tie across blocks, and one without a direction."""
+    monkeypatch.setattr(text_queries, "ASKED", 3)
+    monkeypatch.setattr(text_queries, "SEARCHED", 7)
+    pick = random.Random(3)
+    rows = [(k, [1.0, 2.0, 3.0] if k % 4 == 0 else [pick.uniform(-1, 1) for _ in range(3)]) for k in range(60)]
+    df = spark.createDataFrame([*rows, (60, [0.0, 0.0, 0.0])], "vec_id long, embedding array<double>")
+    got = {(r.q, r.vec_id, str(r.sim)) for r in text_queries.nearest(df, df.where("vec_id % 5 = 0")).collect()}
+    assert got == _near(df.where("vec_id < 60").collect(), list(range(0, 60, 5)))
