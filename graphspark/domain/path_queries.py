@@ -9,6 +9,7 @@ from ..operators import paths
 from ..plans.compile import ask
 from ..registry import query
 from ..sources.mapping import quads, quads_from_rows, table
+from ..storage import stored
 
 
 def precedes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,21 +65,43 @@ def bounded_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("src", "dst", "hops", F.array_join("path", ">").alias("way"))
 
 
-@query("PP9 G1 G2 A20", """WITH e AS (SELECT DISTINCT 'supplier/' || l_suppkey AS src, 'part/' || l_partkey AS dst FROM lineitem UNION ALL SELECT 'supplier/' || s_suppkey, 'nation/' || s_nationkey FROM supplier),
+@query("PP9", """WITH e AS (SELECT DISTINCT 'supplier/' || l_suppkey AS src, 'part/' || l_partkey AS dst FROM lineitem UNION ALL SELECT 'supplier/' || s_suppkey, 'nation/' || s_nationkey FROM supplier),
 b AS (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e), h1 AS (SELECT DISTINCT dst FROM b WHERE src = 'part/1'),
 h2 AS (SELECT DISTINCT b.dst FROM h1 JOIN b ON b.src = h1.dst)
 SELECT dst AS node, min(h) AS hops FROM (SELECT dst, 1 AS h FROM h1 UNION ALL SELECT dst, 2 FROM h2) WHERE dst <> 'part/1' GROUP BY dst""")
 def khop_whitelist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nodes within two hops of a part over chosen predicates, both ways."""
+    """Nodes within two hops of a part, which the given SQL takes; ``khop_degree`` takes three."""
+    return expand(neighbours(spark, sf_dir), "part/1", 2).select("node", "hops")
+
+
+def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of suppliers over chosen predicates, both ways."""
     q = quads(spark, sf_dir, {"supplier", "lineitem"}).where(F.col("p").isin("canProvide", "locatedIn"))
     e = q.select(F.col("s").alias("src"), F.col("o_key").alias("dst")).where("src LIKE 'supplier/%'")
-    both = paths.alternative(e, paths.inverse(e))
-    front = spark.createDataFrame([("part/1", 0)], "node string, hops int")
-    seen = front
-    for k in (1, 2):
-        front = both.join(front, both.src == front.node).select(F.col("dst").alias("node"), F.lit(k).alias("hops")).distinct()
+    return paths.alternative(e, paths.inverse(e))
+
+
+def expand(both: DataFrame, anchor: str, most: int) -> DataFrame:
+    """(node, hops, degree) of nodes within ``most`` hops; a node's degree counts its edges in
+    the whole graph.  A round goes on only from nodes that are new."""
+    both = stored(both.distinct(), "edges")
+    seen = front = both.sparkSession.createDataFrame([(anchor, 0)], "node string, hops int")
+    for k in range(1, most + 1):
+        near = both.join(front, both.src == front.node).select(F.col("dst").alias("node")).distinct()
+        front = stored(near.join(seen, "node", "left_anti").withColumn("hops", F.lit(k)), "front")
         seen = seen.unionByName(front)
-    return seen.groupBy("node").agg(F.min("hops").alias("hops")).where("node <> 'part/1'")
+    degree = both.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("degree"))
+    return seen.where(F.col("node") != anchor).join(degree, "node")
+
+
+@query("PP9 A20", """WITH e AS (SELECT DISTINCT 'supplier/' || l_suppkey AS src, 'part/' || l_partkey AS dst FROM lineitem UNION ALL SELECT 'supplier/' || s_suppkey, 'nation/' || s_nationkey FROM supplier),
+b AS (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e), d AS (SELECT src, count(*) AS degree FROM b GROUP BY src), h1 AS (SELECT DISTINCT dst FROM b WHERE src = 'part/1'),
+h2 AS (SELECT DISTINCT b.dst FROM h1 JOIN b ON b.src = h1.dst), h3 AS (SELECT DISTINCT b.dst FROM h2 JOIN b ON b.src = h2.dst),
+n AS (SELECT dst AS node, min(h) AS hops FROM (SELECT dst, 1 AS h FROM h1 UNION ALL SELECT dst, 2 FROM h2 UNION ALL SELECT dst, 3 FROM h3) WHERE dst <> 'part/1' GROUP BY dst)
+SELECT node, hops, degree FROM n JOIN d ON d.src = n.node""")
+def khop_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes within three hops of a part over chosen predicates, both ways, and their degree."""
+    return expand(neighbours(spark, sf_dir), "part/1", 3)
 
 
 @query("PP11 V12", "SELECT * FROM (VALUES ('v1', true), ('v2', false), ('v3', true)) v(v, closed)")

@@ -200,7 +200,7 @@ def events_tumbling_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy(F.window("t", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").cast("timestamp_ntz").alias("day"), "event_type", "n")
 
 
-@query("O6 G2", "SELECT * FROM (VALUES ('t1', 0.9), ('t2', 0.8), ('t4', 0.1)) v(t, score)")
+@query("O6", "SELECT * FROM (VALUES ('t1', 0.9), ('t2', 0.8), ('t4', 0.1)) v(t, score)")
 def greedy_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Highest score first while the cost fits; what doesn't fit is passed over."""
     t = spark.createDataFrame([("g", "t1", 0.9, 40), ("g", "t2", 0.8, 50), ("g", "t3", 0.5, 30), ("g", "t4", 0.1, 10)], "g string, t string, score double, cost int")

@@ -9,7 +9,7 @@ from datetime import datetime, timedelta
 import numpy as np
 
 from .conftest import DATA
-from graphspark.domain import text_queries
+from graphspark.domain import path_queries, text_queries
 from graphspark.operators import temporal
 from graphspark.registry import QUERIES
 
@@ -80,3 +80,10 @@ def test_neighbours_over_several_blocks(spark, monkeypatch):
     df = spark.createDataFrame([*rows, (60, [0.0, 0.0, 0.0])], "vec_id long, embedding array<double>")
     got = {(r.q, r.vec_id, str(r.sim)) for r in text_queries.nearest(df, df.where("vec_id % 5 = 0")).collect()}
     assert got == _near(df.where("vec_id < 60").collect(), list(range(0, 60, 5)))
+
+
+def test_third_hop_and_degree(spark):
+    e = [("s1", "p1"), ("s1", "n1"), ("s2", "n1"), ("s2", "p2"), ("s1", "p3"), ("s3", "p3"), ("s3", "p4"), ("s1", "p1")]
+    both = spark.createDataFrame([*e, *[(b, a) for a, b in e]], "src string, dst string")
+    got = {(r.node, r.hops, r.degree) for r in path_queries.expand(both, "p1", 3).collect()}
+    assert got == {("s1", 1, 3), ("n1", 2, 2), ("p3", 2, 2), ("s2", 3, 2), ("s3", 3, 2)}
