@@ -33,7 +33,7 @@ from .units import encoder, resolve
 MAGIC = 0x52505231
 #: Symbols are unsigned 16-bit: nonterminals start above the vocabulary.
 FIRST_RULE, SYMBOLS = 50_304, 65_536
-ROUNDS, LEAST, BINS = 6, 12, 1 << 18
+LEAST, BINS = 12, 1 << 18
 SHARD_IDS = 1 << 20
 #: Bytes of text that are tokenised together.
 SLICE = 4 << 20
@@ -41,17 +41,17 @@ SLICE = 4 << 20
 SHARD_SCHEMA = "part int, shard int, before long, first_doc long, n_docs int, n_ids long, payload binary"
 
 
-def compress(ids: np.ndarray, offsets: np.ndarray, rounds: int = ROUNDS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, offsets: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, their document offsets, rules) of ids cut into documents at offsets.
 
     A round counts hashed pairs, takes those found ``least`` times or more, most frequent
     first, while nonterminals are free, and replaces their non-overlapping places from the
-    left.  It ends when no pair is frequent.
+    left.  It ends when no pair is found so often, or when no nonterminal is free.
     """
     seq, offs = ids.astype(np.uint16), offsets.astype(np.int64)
     rules: list[np.ndarray] = []
     free = SYMBOLS - FIRST_RULE
-    for _ in range(rounds):
+    while True:
         n = len(seq)
         if n < 2 or not free:
             break

@@ -10,6 +10,7 @@ import numpy as np
 
 from .conftest import DATA, ROOT
 from graphspark.domain import path_queries, text_queries
+from graphspark.llm import token_store
 from graphspark.operators import temporal
 from graphspark.registry import IDS, QUERIES
 
@@ -95,3 +96,16 @@ def test_ledger_claims_nothing_absent():
     absent = {r[1].strip() for r in rows if r[2].strip() == "absent"}
     assert {"ER1", "E11", "TS8", "V21", "V22", "C10", "C11"} <= absent
     assert not absent & {i for ids in IDS.values() for i in ids}
+
+
+def test_no_frequent_pair_is_left():
+    """A passage copied often becomes one symbol, however long it is."""
+    passage = np.random.default_rng(5).permutation(4000)[:1000]
+    ids = np.tile(np.append(passage, 0), 40).astype(np.uint32)
+    offsets = np.arange(0, len(ids) + 1, 1001)
+    symbols, starts, rules = token_store.compress(ids, offsets)
+    assert (token_store.expand(symbols, rules) == ids).all()
+    inside = np.setdiff1d(np.arange(len(symbols) - 1), starts[1:-1] - 1)
+    pairs = symbols[inside].astype(np.int64) << 16 | symbols[inside + 1]
+    assert not len(pairs) or np.unique(pairs, return_counts=True)[1].max() < token_store.LEAST
+    assert token_store.expansion_lengths(rules).max() > 64
