@@ -6,9 +6,14 @@
 strips or tiles, predictor) depends on the payload's size alone, so that every way of
 decoding runs over a table.
 
-Defined cases: null media give one row with the error "null"; media that aren't a TIFF, or
-are cut short, give one row with an error and no samples for the directory concerned; an
-empty table gives no row; columns to be carried along are named by the caller.
+Samples of 1, 2 and 4 bits come as a byte each, those of 8, 16 and 32 bits as they are stored.
+Not decoded, and told as an error of the page: other or mixed widths, predictors but 1 and 2,
+predictor 2 below 8 bits, other compressions.
+
+Defined cases: null media give one row with the error "null"; media that aren't a TIFF give
+one row with an error; a faulty or cut-off directory gives a row with an error and no samples,
+a broken or looping chain one such row after the pages before it, and the other pages are
+decoded; an empty table gives no row; columns to be carried along are named by the caller.
 """
 
 from __future__ import annotations
@@ -28,7 +33,7 @@ from .common import by_size, column_bytes, documents
 #: Tags, types and codes of the TIFF 6.0 format: fixed values.
 WIDTH, LENGTH, BITS, COMPRESSION, PHOTOMETRIC = 256, 257, 258, 259, 262
 STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS, PLANAR = 273, 277, 278, 279, 284
-PREDICTOR, TILE_WIDTH, TILE_LENGTH, TILE_OFFSETS, TILE_COUNTS = 317, 322, 323, 324, 325
+FILL_ORDER, PREDICTOR, TILE_WIDTH, TILE_LENGTH, TILE_OFFSETS, TILE_COUNTS = 266, 317, 322, 323, 324, 325
 TYPES = {1: "B", 3: "H", 4: "I"}
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 CLEAR, END = 256, 257
@@ -45,6 +50,8 @@ PAGE_FIELDS = [
 ]
 PAGE_DDL = "page int, n_pages int, width int, height int, bits int, samples int, compression int, predictor int, tiled boolean, pixels binary, error string"
 
+#: Every byte with its bits the other way round.
+_MIRRORED = np.packbits(np.unpackbits(np.arange(256, dtype=np.uint8)).reshape(-1, 8), axis=1, bitorder="little").tobytes()
 _RUNS = re.compile(rb"(.)\1{2,127}", re.S)
 
 
@@ -236,42 +243,61 @@ def encode_tiff(payload: bytes) -> bytes:
     return bytes(out)
 
 
-def directories(media: bytes) -> tuple[str, list[dict[int, tuple[int, ...]]]]:
-    """The byte order and the tags of each image directory, in order."""
+def directories(media: bytes) -> tuple[str, list[dict[int, tuple[int, ...]] | str]]:
+    """The byte order and, in order, the tags of each image directory or what is wrong with
+    it; where the chain can't be followed further, that is told last."""
     order = {b"II": "<", b"MM": ">"}.get(media[:2])
     if order is None or len(media) < 8 or struct.unpack_from(order + "H", media, 2)[0] != 42:
         raise ValueError("not a TIFF")
     at, seen, out = struct.unpack_from(order + "I", media, 4)[0], set(), []
     while at:
         if at in seen:
-            raise ValueError("image directories form a loop")
+            out.append("image directories form a loop")
+            break
         seen.add(at)
-        (n,) = struct.unpack_from(order + "H", media, at)
-        tags = {}
-        for k in range(n):
-            tag, kind, count = struct.unpack_from(order + "HHI", media, at + 2 + 12 * k)
-            letter = TYPES.get(kind)
-            if letter is None:
-                continue
-            place = at + 10 + 12 * k
-            if count * struct.calcsize(letter) > 4:
-                (place,) = struct.unpack_from(order + "I", media, place)
-            tags[tag] = struct.unpack_from(f"{order}{count}{letter}", media, place)
-        out.append(tags)
-        (at,) = struct.unpack_from(order + "I", media, at + 2 + 12 * n)
+        try:
+            (n,) = struct.unpack_from(order + "H", media, at)
+        except struct.error as e:
+            out.append(str(e))
+            break
+        try:
+            out.append(directory(media, order, at, n))
+        except struct.error as e:
+            out.append(str(e))
+        try:
+            (at,) = struct.unpack_from(order + "I", media, at + 2 + 12 * n)
+        except struct.error as e:
+            if not isinstance(out[-1], str):
+                out.append(str(e))
+            break
     return order, out
 
 
+def directory(media: bytes, order: str, at: int, n: int) -> dict[int, tuple[int, ...]]:
+    """The n tags of the directory at a place."""
+    tags = {}
+    for k in range(n):
+        tag, kind, count = struct.unpack_from(order + "HHI", media, at + 2 + 12 * k)
+        letter = TYPES.get(kind)
+        if letter is None:
+            continue
+        place = at + 10 + 12 * k
+        if count * struct.calcsize(letter) > 4:
+            (place,) = struct.unpack_from(order + "I", media, place)
+        tags[tag] = struct.unpack_from(f"{order}{count}{letter}", media, place)
+    return tags
+
+
 def decode_page(media: bytes, order: str, tags: dict[int, tuple[int, ...]]) -> dict:
     """The samples of one directory, row by row, samples of a pixel together."""
     one = lambda tag, other: tags.get(tag, (other,))[0]
     width, height, samples = tags[WIDTH][0], tags[LENGTH][0], one(SAMPLES, 1)
     bits, compression, predictor = one(BITS, 1), one(COMPRESSION, 1), one(PREDICTOR, 1)
-    if bits not in (8, 16) or any(b != bits for b in tags.get(BITS, ())):
+    if bits not in (1, 2, 4, 8, 16, 32) or any(b != bits for b in tags.get(BITS, ())):
         raise ValueError(f"{bits} bits a sample are not supported")
-    if predictor not in (1, 2):
+    if predictor not in ((1, 2) if bits >= 8 else (1,)):
         raise ValueError(f"predictor {predictor} is not supported")
-    kind = np.dtype(order + ("u1" if bits == 8 else "u2"))
+    kind = np.dtype(f"{order}u{max(1, bits // 8)}")
     tiled = TILE_OFFSETS in tags
     wide, high = (tags[TILE_WIDTH][0], tags[TILE_LENGTH][0]) if tiled else (width, min(one(ROWS_PER_STRIP, height), height))
     where, sizes = (tags[TILE_OFFSETS], tags[TILE_COUNTS]) if tiled else (tags[STRIP_OFFSETS], tags[STRIP_COUNTS])
@@ -285,8 +311,16 @@ def decode_page(media: bytes, order: str, tags: dict[int, tuple[int, ...]]) -> d
         plane, rest = divmod(k, across * down)
         y, x = rest // across * high, rest % across * wide
         rows = high if tiled else min(high, height - y)
-        raw = decompress(media[where[k] : where[k] + sizes[k]], compression, rows * wide * deep * kind.itemsize)
-        block = np.frombuffer(raw, kind).reshape(rows, wide, deep)
+        raw, line = media[where[k] : where[k] + sizes[k]], -(-wide * deep * bits // 8)
+        if bits < 8 and one(FILL_ORDER, 1) == 2:
+            raw = raw.translate(_MIRRORED)
+        raw = decompress(raw, compression, rows * line)
+        if bits < 8:
+            # rows begin on a byte
+            each = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(rows, line), axis=1)[:, : wide * deep * bits].reshape(rows, wide, deep, bits)
+            block = each @ (1 << np.arange(bits, dtype=np.uint8)[::-1])
+        else:
+            block = np.frombuffer(raw, kind).reshape(rows, wide, deep)
         if predictor == 2:
             block = np.cumsum(block, axis=1, dtype=kind.newbyteorder("=")).astype(kind)
         block = block[: height - y, : width - x]
@@ -308,6 +342,9 @@ def decode_pages(media: bytes | None) -> Iterator[dict]:
         return
     for k, tags in enumerate(found):
         row = empty | {"page": k, "n_pages": len(found)}
+        if isinstance(tags, str):
+            yield row | {"error": tags}
+            continue
         try:
             row |= decode_page(media, order, tags)
         except (ValueError, KeyError, struct.error, zlib.error) as e:
