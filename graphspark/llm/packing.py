@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import binary_column, by_size, documents, ordered_by_id
+from .common import binary_column, by_size, documents, ordered_by_id, release
 from .units import UnitEncoder, encoder, resolve
 
 SIZE = 2048
@@ -182,6 +182,6 @@ def pack_documents(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_i
                 for doc, a, b in zip(batch.column(0).to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
                     yield from packer.add(doc, ids[a:b])
         yield from packer.finish()
-        enc.forget()
+        release()
 
     return ordered_by_id(documents(docs)).mapInArrow(pieces, PIECE_SCHEMA)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_column, by_size, documents, ordered_by_id, scratch
+from .common import binary_column, by_size, documents, ordered_by_id, release, scratch
 from .units import encoder, resolve
 
 MAGIC = 0x52505231
@@ -219,7 +219,7 @@ def write_token_shards(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_5
                         yield flush()
         if names:
             yield flush()
-        enc.forget()
+        release()
 
     ordered_by_id(documents(docs)).mapInArrow(shards, SHARD_SCHEMA).write.parquet(path)
 

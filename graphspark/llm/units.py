@@ -1,9 +1,13 @@
 """Cached tokenisation by units that no token crosses.
 
-Both public pre-tokenisers used here cut at Unicode white space, so a text is cut into
-units (runs without white space, with at most one leading space where the vocabulary
-keeps spaces) and every distinct unit is encoded once by the real tokenizer.  The cache
-lives in the Python worker and is emptied when it reaches ``CACHE`` units.
+All public pre-tokenisers used here cut at Unicode white space and between a letter and the
+punctuation after it, so a text is cut into units (runs without white space, with at most
+one leading space where the vocabulary keeps spaces, and the punctuation that ends a word
+as a unit of its own) and every distinct unit is encoded once.  Units are cut, told apart
+and looked up as arrays; only what was never seen reaches an encoder.
+
+The table of known units is kept by the Python worker, also from task to task: at most
+``CACHE`` units, about 50 bytes each.
 """
 
 from __future__ import annotations
@@ -14,8 +18,8 @@ import re
 import numpy as np
 import pyarrow as pa
 
-from .common import column_bytes, release
-from .words import LOWER, SPACES, spans, word_hashes
+from .common import column_bytes
+from .words import SPACES, spans, word_hashes
 
 #: Unicode White_Space: fixed values.
 SPACE = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -25,94 +29,95 @@ BARE = re.compile(f"[^{SPACE}]+")
 #: White space to str.split(), but not to Unicode.
 SEPARATORS = re.compile("[\x1c-\x1f]")
 WIDE = re.compile("[^\x00-\xff]")
-CACHE = 300_000
+CACHE = 600_000
 #: A private-use character; units that hold it are encoded one by one.
 MARK = "\ue000"
+#: ASCII punctuation.
+PUNCTUATION = np.array([33 <= b < 127 and not chr(b).isalnum() for b in range(256)])
 
+Ids = tuple[np.ndarray, np.ndarray]
 
-def odd_space(data: np.ndarray) -> bool:
-    """Whether UTF-8 bytes hold white space beyond ASCII."""
+
+def odd_spaces(data: np.ndarray) -> np.ndarray:
+    """Places in UTF-8 bytes of white space beyond ASCII."""
     two = np.flatnonzero(data[:-1] == 0xC2)
-    if len(two) and np.isin(data[two + 1], (0x85, 0xA0)).any():
-        return True
+    two = two[(data[two + 1] == 0x85) | (data[two + 1] == 0xA0)]
     at = np.flatnonzero((data[:-2] >= 0xE1) & (data[:-2] <= 0xE3)) if len(data) > 2 else two[:0]
-    if not len(at):
-        return False
     a, b, c = data[at], data[at + 1], data[at + 2]
     general = (b == 0x80) & (((c >= 0x80) & (c <= 0x8A)) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF)) | ((b == 0x81) & (c == 0x9F))
-    return bool((((a == 0xE1) & (b == 0x9A) & (c == 0x80)) | ((a == 0xE2) & general) | ((a == 0xE3) & (b == 0x80) & (c == 0x80))).any())
+    three = at[((a == 0xE1) & (b == 0x9A) & (c == 0x80)) | ((a == 0xE2) & general) | ((a == 0xE3) & (b == 0x80) & (c == 0x80))]
+    return np.concatenate([two, three])
 
 
-def trim(known: dict, rows: list[list[str]]) -> None:
-    """Forget the units that ``rows`` don't hold."""
-    used = {u: known[u] for u in set().union(*rows).intersection(known)}
-    known.clear()
-    known.update(used)
+def letter_bytes(data: np.ndarray) -> np.ndarray:
+    """Which UTF-8 bytes belong to letters of ASCII or of the Latin-1 block from U+00C0 on."""
+    low = data | np.uint8(32)
+    out = (low >= 97) & (low <= 122)
+    lead = np.flatnonzero(data[:-1] == 0xC3)
+    lead = lead[(data[lead + 1] != 0x97) & (data[lead + 1] != 0xB7)]  # the signs of multiplication and division
+    out[lead] = True
+    out[lead + 1] = True
+    return out
 
 
-class UnitEncoder:
-    """Encodes texts to little-endian unsigned 32-bit ids, by a cache over units."""
+def gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> Ids:
+    """The stretches of ``values`` laid end to end, and their borders."""
+    reach = np.zeros(len(sizes) + 1, np.int64)
+    np.cumsum(sizes, out=reach[1:])
+    return values[np.arange(int(reach[-1])) + np.repeat(starts - reach[:-1], sizes)], reach
 
-    def __init__(self, path: str, spaced: bool):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.spaced, self.known, self.table = spaced, {}, None
-        #: A line feed is a token of its own before and after any unit that may begin with a space.
-        self.glue = "\n" if spaced else f" {MARK} "
-        #: Latin-1 is in normal form and is lower-cased letter by letter: such units need no normaliser.
-        self.plain = None
-        if not spaced:
-            from tokenizers.normalizers import Sequence
+def glued(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, mark: int | None) -> bytes:
+    """Stretches of bytes laid end to end, each followed by ``mark`` if there is one."""
+    if mark is None:
+        return gather(data, starts, stops - starts)[0].tobytes()
+    low, high = int(starts.min()), int(stops.max())
+    flat, reach = gather(np.append(data[low:high], np.uint8(mark)), starts - low, stops - starts + 1)
+    flat[reach[1:] - 1] = mark
+    return flat.tobytes()
 
-            self.plain = Tokenizer.from_file(path)
-            self.plain.encode_special_tokens = True
-            self.plain.normalizer = Sequence([])
-        self.mark = np.array(self.tokenizer.encode("\n" if spaced else MARK, add_special_tokens=False).ids, "<u4")
+
+class Units:
+    """Texts to unsigned 32-bit ids by a table of units; subclasses encode new units."""
+
+    def __init__(self, spaced: bool):
+        self.spaced = spaced
+        self.forget()
+
+    def encode_units(self, units: list[str]) -> Ids:
+        """The ids of units, one after the other, and how many each has."""
+        raise NotImplementedError
+
+    def encode_words(self, data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> Ids:
+        """The same for stretches of bytes of letters, all led by a space or none."""
+        raise NotImplementedError
+
+    def forget(self) -> None:
+        self.table = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32))
 
     def units(self, text: str) -> list[str]:
         if self.spaced:
             return SPACED.findall(text)
         return BARE.findall(text) if SEPARATORS.search(text) else text.split()
 
-    def encode(self, text: str) -> bytes:
-        return self.encode_all([text])[0]
-
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text.  New units of all of them are encoded together."""
-        known, rows = self.known, [self.units(text) for text in texts]
-        new = set().union(*rows).difference(known)
-        if new:
-            if len(known) > CACHE:
-                trim(known, rows)
-            # full stops and commas after a letter are pieces of their own: words are learnt without them
-            bases = {u: u.rstrip(".,") for u in new if u[-1] in ".,"}
-            bases = {u: base for u, base in bases.items() if base[-1:].isalpha()}
-            tails = {u[len(base) :] for u, base in bases.items()}
-            self.learn(new.difference(bases).union(bases.values(), tails).difference(known))
-            for u, base in bases.items():
-                known[u] = known[base] + known[u[len(base) :]]
-        get = known.__getitem__
-        return [b"".join(map(get, row)) for row in rows]
+        """The ids of each text, little-endian; for texts with white space of any kind."""
+        rows = [self.units(text) for text in texts]
+        distinct = sorted(set().union(*rows))
+        ids, sizes = self.encode_units(distinct)
+        raw, ends = ids.astype("<u4").tobytes(), (4 * np.cumsum(sizes)).tolist()
+        known = {u: raw[a:b] for u, a, b in zip(distinct, [0, *ends], ends, strict=False)}
+        return [b"".join(map(known.__getitem__, row)) for row in rows]
 
-    def forget(self) -> None:
-        """At the end of a task: the worker may serve other work next."""
-        self.known.clear()
-        self.table = None
-        release()
-
-    def cut(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and ends of units in UTF-8 bytes whose only white space is ASCII; a full
-        stop or comma that ends a word after a letter is a unit of its own."""
+    def cut(self, data: np.ndarray, offsets: np.ndarray, letters: np.ndarray) -> Ids:
+        """Starts and ends of units in UTF-8 bytes whose only white space is ASCII."""
         blank = SPACES[data]
         starts, ends = spans(~blank, offsets)
-        last = data[ends - 1]
-        letters = LOWER[data[np.maximum(ends - 2, 0)]]
-        split = ((last == 46) | (last == 44)) & (ends - starts > 1) & (letters >= 97) & (letters <= 122)
-        marks = ends[split] - 1
-        ends = ends - split
+        # where the punctuation at a unit's end begins
+        tail = np.maximum.accumulate(np.where(PUNCTUATION[data], 0, np.arange(1, len(data) + 1)))[ends - 1] if len(data) else ends
+        parted = (tail < ends) & (tail > starts) & letters[np.maximum(tail - 1, 0)]
+        marks, mark_ends = tail[parted], ends[parted]
+        ends = np.where(parted, tail, ends)
         if self.spaced:
             texts = np.zeros(len(data) + 1, bool)
             texts[offsets] = True
@@ -123,108 +128,176 @@ class UnitEncoder:
             g, h = spans(free, offsets)
             before = np.zeros(len(data) + 1, bool)
             before[starts[~led]] = True
-            parted = before[h] & ~texts[h] & (h - g > 1)
+            apart = before[h] & ~texts[h] & (h - g > 1)
             starts = starts - led
-            starts, ends = np.concatenate([starts, g, h[parted] - 1]), np.concatenate([ends, h - parted, h[parted]])
-        starts, ends = np.concatenate([starts, marks]), np.concatenate([ends, marks + 1])
+            starts, ends = np.concatenate([starts, g, h[apart] - 1]), np.concatenate([ends, h - apart, h[apart]])
+        starts, ends = np.concatenate([starts, marks]), np.concatenate([ends, mark_ends])
         order = np.argsort(starts)
         return starts[order], ends[order]
 
-    def encode_column(self, column: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts of a column, each with the end id, and where each begins."""
+    def encode_column(self, column: pa.Array, end_id: int | None) -> Ids:
+        """The ids of all texts of a column, each with the end id if there is one, and
+        where each begins."""
         data, offsets = column_bytes(column)
-        if odd_space(data):
-            rows = self.encode_all([x or "" for x in column.to_pylist()])
-            ids, ends = np.frombuffer(b"".join(rows), "<u4"), np.cumsum([0, *(len(x) // 4 for x in rows)])
-        else:
-            starts, stops = self.cut(data, offsets)
-            hashes = word_hashes(data, starts, stops)
-            order = np.argsort(hashes)
-            in_order = hashes[order]
-            new = np.ones(len(order), bool)
-            new[1:] = in_order[1:] != in_order[:-1]
-            which = np.empty(len(order), np.int64)
-            which[order] = np.cumsum(new) - 1
-            distinct, first = in_order[new], order[new]
-            at, size, pool = self.lookup(data, distinct, starts[first], stops[first])
-            # the end id is one more unit after each text
-            last = np.searchsorted(starts, offsets[1:])
+        odd = np.unique(np.searchsorted(offsets, odd_spaces(data), "right") - 1)
+        if not len(odd):
+            return self.encode_bytes(data, offsets, end_id)
+        # texts with other white space go by strings, the rest by arrays
+        other = np.ones(len(offsets) - 1, bool)
+        other[odd] = False
+        flat, reach = gather(data, offsets[:-1][other], np.diff(offsets)[other])
+        ids, ends = self.encode_bytes(flat, reach, end_id)
+        raw = data.tobytes()
+        tail = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
+        rows = [x + tail for x in self.encode_all([raw[a:b].decode() for a, b in zip(offsets[odd].tolist(), offsets[odd + 1].tolist(), strict=True)])]
+        at, size = np.empty(len(offsets) - 1, np.int64), np.empty(len(offsets) - 1, np.int64)
+        at[other], size[other] = ends[:-1], np.diff(ends)
+        size[odd] = [len(x) // 4 for x in rows]
+        at[odd] = len(ids) + np.cumsum(size[odd]) - size[odd]
+        return gather(np.concatenate([ids, np.frombuffer(b"".join(rows), "<u4")]), at, size)
+
+    def encode_bytes(self, data: np.ndarray, offsets: np.ndarray, end_id: int | None) -> Ids:
+        letters = letter_bytes(data)
+        starts, stops = self.cut(data, offsets, letters)
+        hashes = word_hashes(data, starts, stops)
+        order = np.argsort(hashes)
+        in_order = hashes[order]
+        new = np.ones(len(order), bool)
+        new[1:] = in_order[1:] != in_order[:-1]
+        which = np.empty(len(order), np.int64)
+        which[order] = np.cumsum(new) - 1
+        distinct, first = in_order[new], order[new]
+        at, size, pool = self.lookup(data, letters, distinct, starts[first], stops[first])
+        last = np.searchsorted(starts, offsets[1:])
+        if end_id is not None:  # one more unit after each text
             which = np.insert(which, last, len(distinct))
             at, size, pool = np.append(at, len(pool)), np.append(size, 1), np.append(pool, np.uint32(end_id))
-            sizes = size[which]
-            reach = np.zeros(len(sizes) + 1, np.int64)
-            np.cumsum(sizes, out=reach[1:])
-            ids = pool[np.arange(int(reach[-1])) + np.repeat(at[which] - reach[:-1], sizes)]
-            return ids, np.concatenate([[0], reach[last + np.arange(1, len(last) + 1)]])
-        return np.insert(ids, ends[1:], np.uint32(end_id)), ends + np.arange(len(ends))
-
-    def lookup(self, data: np.ndarray, distinct: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            last = last + np.arange(1, len(last) + 1)
+        ids, reach = gather(pool, at[which], size[which])
+        return ids, np.concatenate([[0], reach[last]])
+
+    def lookup(self, data: np.ndarray, letters: np.ndarray, distinct: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Where the ids of each distinct unit begin in a pool, how many they are, and the
         pool.  The table of known units is kept in the order of their hashes."""
-        if self.table is None:
-            self.table = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32))
         keys, at, size, pool = self.table
         spot = np.searchsorted(keys, distinct)
         have = np.zeros(len(distinct), bool)
         inside = spot < len(keys)
         have[inside] = keys[spot[inside]] == distinct[inside]
         new = np.flatnonzero(~have)
-        raw = data.tobytes()
-        units = [raw[a:b].decode() for a, b in zip(starts[new].tolist(), stops[new].tolist(), strict=True)]
-        new_ids, new_sizes = self.encode_units(units)
+        new_ids, new_sizes = self.learn(data, letters, starts[new], stops[new])
         new_at = len(pool) + np.cumsum(new_sizes) - new_sizes
         pool = np.concatenate([pool, new_ids])
         out_at, out_size = np.empty(len(distinct), np.int64), np.empty(len(distinct), np.int64)
         out_at[have], out_size[have] = at[spot[have]], size[spot[have]]
         out_at[new], out_size[new] = new_at, new_sizes
         if len(keys) + len(new) > CACHE:  # only what was known and is used again stays
-            keys, at, size = distinct[have], out_at[have], out_size[have]
-            kept = pool[np.arange(int(size.sum())) + np.repeat(at - (np.cumsum(size) - size), size)]
-            self.table = (keys, np.cumsum(size) - size, size, kept)
+            keys, size = distinct[have], out_size[have]
+            kept, reach = gather(pool, out_at[have], size)
+            self.table = (keys, reach[:-1], size, kept)
         else:
             keys = np.concatenate([keys, distinct[new]])
             order = np.argsort(keys)
             self.table = (keys[order], np.concatenate([at, new_at])[order], np.concatenate([size, new_sizes])[order], pool)
         return out_at, out_size, pool
 
-    def encode_units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of units, one after the other, and how many each has."""
-        easy = [MARK not in u and (not self.spaced or BARE.search(u) is not None) for u in units]
-        latin = [False] * len(units) if self.plain is None else [WIDE.search(u) is None for u in units]
-        chunks, sizes = [], np.zeros(len(units), np.int64)
-        parts: dict[int, np.ndarray] = {}
-        order = []
+    def learn(self, data: np.ndarray, letters: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> Ids:
+        """The ids of new units: words led by a space, other words, all else."""
+        led = data[starts] == 32 if len(starts) else np.zeros(0, bool)
+        seen = np.zeros(len(data) + 1, np.int64)
+        np.cumsum(letters, out=seen[1:])
+        words = (seen[stops] - seen[starts] == stops - starts - led) & (stops - starts > led)
+        groups = [np.flatnonzero(words & led), np.flatnonzero(words & ~led), np.flatnonzero(~words)]
+        chunks: list[np.ndarray] = []
+        sizes = np.zeros(len(starts), np.int64)
+        for places in groups[:2]:
+            for begin in range(0, len(places), 20_000):
+                some = places[begin : begin + 20_000]
+                ids, sizes[some] = self.encode_words(data, starts[some], stops[some])
+                chunks.append(ids)
+        raw = data.tobytes() if len(groups[2]) else b""
+        ids, sizes[groups[2]] = self.encode_units([raw[a:b].decode() for a, b in zip(starts[groups[2]].tolist(), stops[groups[2]].tolist(), strict=True)])
+        place, begin = np.concatenate(groups), np.empty(len(starts), np.int64)
+        begin[place] = np.cumsum(sizes[place]) - sizes[place]
+        return gather(np.concatenate([*chunks, ids]), begin, sizes)[0], sizes
+
+
+class UnitEncoder(Units):
+    """New units are encoded by the tokenizers library, many in one text."""
+
+    def __init__(self, path: str, spaced: bool):
+        super().__init__(spaced)
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        #: A line feed is a token of its own before and after any unit that may begin with a space.
+        self.glue = "\n" if spaced else f" {MARK} "
+        #: Latin-1 is in normal form and is lower-cased letter by letter: such units need no normaliser.
+        self.plain = None
+        if not spaced:
+            from tokenizers.normalizers import Sequence
+
+            self.plain = Tokenizer.from_file(path)
+            self.plain.encode_special_tokens = True
+            self.plain.normalizer = Sequence([])
+        self.mark = np.array(self.tokenizer.encode("\n" if spaced else MARK, add_special_tokens=False).ids, np.uint32)
+        # whether a token begins a word (a space, as the library writes it) or ends one
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.borders = np.zeros(max(vocabulary.values()) + 1, bool)
+        for token, i in vocabulary.items():
+            self.borders[i] = token.startswith("Ġ") if spaced else token.endswith("</w>")
+
+    def encode(self, text: str) -> bytes:
+        return self.encode_all([text])[0]
+
+    def ids(self, text: str, plain: bool = False) -> np.ndarray:
+        tokenizer = self.plain if plain else self.tokenizer
+        return np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+
+    def encode_words(self, data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> Ids:
+        n = len(starts)
+        if not self.spaced:  # a word is one piece, whose last token ends it
+            ids = self.ids(glued(data, starts, stops, 10).decode().lower(), True)
+            cuts = np.flatnonzero(self.borders[ids]) + 1
+        elif data[starts[0]] == 32:  # and here its first token begins with the space
+            ids = self.ids(glued(data, starts, stops, None).decode())
+            cuts = np.append(np.flatnonzero(self.borders[ids]), len(ids))[1:]
+        else:
+            ids = self.ids(glued(data, starts, stops, 10).decode())
+            marks = np.flatnonzero(ids == self.mark[0])
+            ids, cuts = np.delete(ids, marks), marks - np.arange(len(marks))
+        if len(cuts) != n:
+            raise ValueError("the borders of words were not found in the ids")
+        return ids, np.diff(cuts, prepend=0)
+
+    def encode_units(self, units: list[str]) -> Ids:
+        easy = np.array([MARK not in u and (not self.spaced or BARE.search(u) is not None) for u in units], bool)
+        latin = np.array([self.plain is not None and WIDE.search(u) is None for u in units], bool)
+        chunks, order = [np.zeros(0, np.uint32)], []
+        sizes = np.zeros(len(units), np.int64)
         for plain in (True, False):
-            places = np.flatnonzero(np.array(easy, bool) & (np.array(latin, bool) == plain))
+            places = np.flatnonzero(easy & (latin == plain))
             for begin in range(0, len(places), 20_000):
                 some = places[begin : begin + 20_000]
-                ids, cuts = self.marked([units[k] for k in some.tolist()], plain)
-                sizes[some] = np.diff(np.append(cuts, len(ids)))
+                ids, sizes[some] = self.marked([units[k] for k in some.tolist()], plain)
                 chunks.append(ids)
                 order.append(some)
-        for k in np.flatnonzero(~np.array(easy, bool)).tolist():
-            parts[k] = np.array(self.tokenizer.encode(units[k], add_special_tokens=False).ids, np.uint32)
-        flat = np.concatenate(chunks) if chunks else np.zeros(0, np.uint32)
-        if order:  # back into the order of the units
+        for k in np.flatnonzero(~easy).tolist():
+            chunks.append(self.ids(units[k]))
+            sizes[k] = len(chunks[-1])
+            order.append(np.array([k]))
+        begin = np.zeros(len(units), np.int64)
+        if order:
             place = np.concatenate(order)
-            begin = np.zeros(len(units), np.int64)
             begin[place] = np.cumsum(sizes[place]) - sizes[place]
-            target = np.cumsum(sizes) - sizes
-            flat = flat[np.arange(len(flat)) + np.repeat(begin - target, sizes)]
-        if parts:
-            where = np.cumsum(sizes) - sizes
-            keys = sorted(parts)
-            flat = np.insert(flat, np.repeat(where[keys], [len(parts[k]) for k in keys]), np.concatenate([parts[k] for k in keys]))
-            sizes[keys] = [len(parts[k]) for k in keys]
-        return flat, sizes
-
-    def marked(self, units: list[str], plain: bool) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of units laid into one text with marks between, without the marks', and
-        where each unit's begin."""
-        text, tokenizer = self.glue.join(units), self.tokenizer
-        if plain:
-            text, tokenizer = text.lower(), self.plain
-        ids = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+        return gather(np.concatenate(chunks), begin, sizes)[0], sizes
+
+    def marked(self, units: list[str], plain: bool) -> Ids:
+        """Units laid into one text with marks between, which are found in the ids."""
+        text = self.glue.join(units)
+        ids = self.ids(text.lower() if plain else text, plain)
         m = len(self.mark)
         hit = ids[: max(0, len(ids) - m + 1)] == self.mark[0]
         for k in range(1, m):
@@ -232,16 +305,8 @@ class UnitEncoder:
         cuts = np.flatnonzero(hit)
         if len(cuts) != len(units) - 1:
             raise ValueError("the mark between units was not found in the ids")
-        keep = np.ones(len(ids), bool)
-        for k in range(m):
-            keep[cuts + k] = False
-        return ids[keep], np.concatenate([[0], cuts - m * np.arange(len(cuts))]).astype(np.int64)
-
-    def learn(self, new: set[str]) -> None:
-        units = list(new)
-        ids, sizes = self.encode_units(units)
-        raw, ends = ids.astype("<u4").tobytes(), (4 * np.cumsum(sizes)).tolist()
-        self.known.update((u, raw[a:b]) for u, a, b in zip(units, [0, *ends], ends, strict=False))
+        ids = np.delete(ids, (cuts[:, None] + np.arange(m)).ravel())
+        return ids, np.diff(cuts - m * np.arange(len(cuts)), prepend=0, append=len(ids))
 
 
 _ENCODERS: dict[tuple[str, bool], UnitEncoder] = {}

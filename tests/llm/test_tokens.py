@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 pytest.importorskip("public_tokenizers")
@@ -29,16 +31,32 @@ def test_units_equal_library(name, spaced, corpus):
     assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode_all(texts)] == want
 
 
+@pytest.mark.parametrize(("name", "spaced"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_columns_equal_library(name, spaced, corpus, monkeypatch):
+    """Arrays and strings, known and new units, tables that overflow: all give the library's ids."""
+    monkeypatch.setattr(units, "CACHE", 2000)
+    enc = units.UnitEncoder(P.path(name), spaced)
+    texts = [t or "" for _, t in corpus] + noise(400, 6) + ["", " ", "Don't!! l'été... a×b÷c éà.** (x)  ###", "Ünïcode,,  word\n\nÆon!?\t.", "\xa0", ""]
+    want = [[*e.ids, 7] for e in enc.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    for k in range(0, len(texts), 97):
+        for _ in range(2):
+            ids, at = enc.encode_column(pa.array(texts[k : k + 97]), 7)
+            assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == want[k : k + 97]
+
+
 def test_linear_bpe_equals_merges(corpus):
     import tiktoken
 
     path = P.path("byte_bpe_multi_50k.tiktoken")
     own = bpe.LinearBpe(bpe.read_ranks(path), P.PATTERN)
-    lib = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=own.ranks, special_tokens={})
+    lib = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
     for text in [t or "" for _, t in corpus] + noise(800, 4) + ["".join(t.split()) for _, t in corpus[20:60]]:
         ids = own.encode(text)
         assert ids == lib.encode_ordinary(text)
         assert own.decode(ids) == text.encode()
+    texts = [t or "" for _, t in corpus] + noise(300, 8)
+    ids, at = own.encode_column(pa.array(texts), None)
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == lib.encode_ordinary_batch(texts)
 
 
 def test_repair_round_trip_and_slices():
@@ -121,9 +139,24 @@ def test_bpe_frames(docs, corpus, nothing):
 
 
 def test_query_digests(spark, docs, corpus, tmp_path):
+    import tiktoken
+
     from graphspark.llm import queries
 
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     enc = units.UnitEncoder(P.path("byte_bpe_50k.json"), True)
     got = {r.doc_id: r.ids_crc32 for r in queries.op4_repair_token_store(spark, str(tmp_path)).collect()}
     assert got == {d: zlib.crc32(enc.encode(t or "") + bytes(4)) for d, t in corpus}
+
+    bare = units.UnitEncoder(P.path("word_bpe_49k.json"), False)
+    whole = {d: bare.encode(t or "") + np.array([1], "<u4").tobytes() for d, t in corpus}
+    pieces = queries.op7_pack_sequences(spark, str(tmp_path)).collect()
+    assert sum(p.length for p in pieces) == sum(len(x) // 4 for x in whole.values())
+    assert all(p.ids_crc32 == zlib.crc32(whole[p.doc_id][4 * p.start : 4 * (p.start + p.length)]) for p in pieces)
+
+    ranks = bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
+    lib = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rows = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in queries.op10_linear_bpe(spark, str(tmp_path)).collect()}
+    for d, t in corpus:
+        ids = lib.encode_ordinary(t or "")
+        assert rows[d] == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest())
