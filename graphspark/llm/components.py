@@ -19,13 +19,13 @@ def _star(edges: DataFrame) -> DataFrame:
     return edges.join(least, "u")
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node and root (the least node that it is connected with) for every node of
     ``edges`` (columns u and v, both long); nodes without edges aren't listed."""
     now = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     now = stored(now, "edges")
     mark = None
-    for _ in range(rounds):
+    while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _star(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         small = _star(large)
@@ -35,4 +35,3 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if new == mark:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         mark = new
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
