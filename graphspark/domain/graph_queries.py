@@ -99,6 +99,14 @@ def optional_two_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run(spark, sf_dir, "customer orders", "SELECT ?c ?o ?st WHERE { ?c :type <Customer> OPTIONAL { ?o :placedBy ?c } OPTIONAL { ?o :status ?st FILTER(?st = <status/P>) } }")
 
 
+@query("J3", """WITH lab AS (SELECT 'nation/' || n_nationkey AS x, n_name AS l FROM nation UNION ALL SELECT 'region/' || r_regionkey, r_name FROM region),
+f AS (SELECT 'nation/' || n_nationkey AS n, CASE WHEN r_name = 'ASIA' THEN 'region/' || r_regionkey END AS r FROM nation JOIN region ON n_regionkey = r_regionkey)
+SELECT n, x AS r, l FROM f JOIN lab ON r IS NULL OR r = x""")
+def optional_shared_variable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second OPTIONAL over a variable that the first may leave unbound: rows that have it join on it."""
+    return run(spark, sf_dir, "nation region", 'SELECT ?n ?r ?l WHERE { ?n :type <Nation> OPTIONAL { ?n :isPartOf ?r . ?r :label ?a FILTER(?a = "ASIA") } OPTIONAL { ?r :label ?l } }')
+
+
 @query("J4", "SELECT * FROM (VALUES ('a', 'x1', 'p1'), ('b', 'x2', 'p2'), ('c', 'x1', 'p1'), ('c', 'x2', 'p2')) v(s, x, p)")
 def join_after_optional(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A variable left unbound by OPTIONAL joins with any value."""
@@ -106,9 +114,28 @@ def join_after_optional(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ask(spark, q, "SELECT ?s ?x ?p WHERE { { ?s :kind <T> OPTIONAL { ?s :has ?x } } { ?x :place ?p } }")
 
 
-@query("J6 E24", "SELECT 'customer/' || c_custkey AS c FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("J6 E24", "SELECT 'customer/' || c_custkey AS c FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
 def not_exists_customers_without_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run(spark, sf_dir, "customer orders", "SELECT ?c WHERE { ?c :type <Customer> FILTER NOT EXISTS { ?o :placedBy ?c } }")
+    """Customers without a pending order."""
+    return run(spark, sf_dir, "customer orders", "SELECT ?c WHERE { ?c :type <Customer> FILTER NOT EXISTS { ?o :placedBy ?c . ?o :status <status/P> } }")
+
+
+@query("J6", """SELECT 'customer/' || c_custkey AS c FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND CAST(o_totalprice AS DECIMAL(28,2)) > 50 * CAST(c_acctbal AS DECIMAL(28,2)))""")
+def not_exists_correlated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers none of whose orders is worth more than fifty times their balance: the inner filter uses the outer value."""
+    return run(spark, sf_dir, "customer orders", "SELECT ?c WHERE { ?c :balance ?b FILTER NOT EXISTS { ?o :placedBy ?c . ?o :total ?t FILTER(?t > 50 * ?b) } }")
+
+
+@query("J5", """SELECT 'customer/' || c_custkey AS c FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND CAST(o_totalprice AS DECIMAL(28,2)) > 50 * CAST(c_acctbal AS DECIMAL(28,2)))""")
+def exists_correlated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run(spark, sf_dir, "customer orders", "SELECT ?c WHERE { ?c :balance ?b FILTER EXISTS { ?o :placedBy ?c . ?o :total ?t FILTER(?t > 50 * ?b) } }")
+
+
+@query("J5 J6", """SELECT 'customer/' || c_custkey AS c, 'orders/' || o_orderkey AS o FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus = 'P') ON o_custkey = c_custkey
+WHERE o_orderkey IS NULL OR o_orderpriority = '1-URGENT'""")
+def exists_after_optional(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A customer without a pending order stays, as an unbound variable agrees with any urgent order."""
+    return run(spark, sf_dir, "customer orders", "SELECT ?c ?o WHERE { ?c :type <Customer> OPTIONAL { ?o :placedBy ?c . ?o :status <status/P> } FILTER EXISTS { ?o :priority <priority/1-URGENT> } }")
 
 
 @query("J7", "SELECT 'region/' || r_regionkey AS r FROM region")
@@ -116,9 +143,9 @@ def minus_no_shared_vars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run(spark, sf_dir, "region nation", "SELECT ?r WHERE { ?r :type <Region> MINUS { ?a :isPartOf ?b } }")
 
 
-@query("J7", "SELECT 'customer/' || c_custkey AS c FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("J7", "SELECT 'customer/' || c_custkey AS c FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
 def minus_shared_vars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run(spark, sf_dir, "customer orders", "SELECT ?c WHERE { ?c :type <Customer> MINUS { ?o :placedBy ?c } }")
+    return run(spark, sf_dir, "customer orders", "SELECT ?c WHERE { ?c :type <Customer> MINUS { ?o :placedBy ?c . ?o :status <status/P> } }")
 
 
 @query("J5", "SELECT 'part/' || p_partkey AS p FROM part WHERE p_size = 7 AND EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey)")

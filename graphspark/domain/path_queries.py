@@ -30,9 +30,31 @@ def path_plus_precedes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.one_or_more(precedes(spark, sf_dir))
 
 
-@query("PP5 PP7", "SELECT DISTINCT 'class/' || p_type AS x, 'Part' AS y FROM part UNION SELECT DISTINCT 'class/' || p_type, 'class/' || p_type FROM part UNION SELECT 'Part', 'Part'")
+@query("PP5 PP7", "SELECT DISTINCT 'class/' || p_type AS x, 'Part' AS y FROM part UNION SELECT DISTINCT 'class/' || p_type, 'class/' || p_type FROM part")
 def path_star_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ask(spark, quads(spark, sf_dir, {"part"}), "SELECT ?x ?y WHERE { ?x :subClassOf* ?y }")
+    """Classes of parts and all classes above them; the closure starts from the classes found."""
+    return ask(spark, quads(spark, sf_dir, {"part"}), "SELECT DISTINCT ?x ?y WHERE { ?part :type ?x . ?x :subClassOf* ?y }")
+
+
+@query("PP5", "SELECT DISTINCT 'class/' || p_type AS x FROM part UNION SELECT 'Part'")
+def path_star_to_constant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All below a class, itself included; the closure starts from the constant end."""
+    return ask(spark, quads(spark, sf_dir, {"part"}), "SELECT ?x WHERE { ?x :subClassOf* <Part> }")
+
+
+@query("PP5 PP6", """WITH n AS (SELECT 'nation/' || n_nationkey AS x FROM nation UNION SELECT 'region/' || r_regionkey FROM region UNION SELECT n_name FROM nation UNION SELECT r_name FROM region UNION SELECT unnest(['Nation', 'Region']))
+SELECT x, x AS y FROM n UNION ALL SELECT 'nation/' || n_nationkey, 'region/' || n_regionkey FROM nation""")
+def path_no_edge_everywhere(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With both ends free every node of the graph has a path of no edge to itself."""
+    return ask(spark, quads(spark, sf_dir, {"nation", "region"}), "SELECT ?x ?y WHERE { ?x :isPartOf? ?y }")
+
+
+@query("PP1 PP4", """SELECT 'supplier/' || s_suppkey AS s, CAST(sum(p_size) AS BIGINT) AS sizes FROM supplier JOIN (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) ON l_suppkey = s_suppkey
+JOIN part ON p_partkey = l_partkey WHERE p_size > 40 GROUP BY s_suppkey""")
+def path_typed_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers at the end of a path are compared and summed as numbers."""
+    out = ask(spark, quads(spark, sf_dir, {"supplier", "lineitem", "part"}), "SELECT ?s (SUM(?z) AS ?sizes) WHERE { ?s :canProvide/:size ?z FILTER(?z > 40) } GROUP BY ?s")
+    return out.withColumn("sizes", F.col("sizes").cast("long"))
 
 
 @query("PP6", "SELECT * FROM (VALUES ('a', 'a'), ('a', 'b'), ('b', 'b'), ('b', 'c'), ('c', 'c')) v(x, y)")
@@ -50,12 +72,11 @@ def path_alternative(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ask(spark, quads(spark, sf_dir, {"nation", "supplier"}), "SELECT ?x ?y WHERE { ?x :locatedIn|:isPartOf ?y }")
 
 
-@query("PP10 V15 J13", """SELECT DISTINCT 'region/' || n_regionkey AS n FROM nation JOIN supplier ON s_nationkey = n_nationkey WHERE s_suppkey = 1
-INTERSECT SELECT 'region/' || n_regionkey FROM nation JOIN supplier ON s_nationkey = n_nationkey WHERE s_suppkey = 2
-UNION ALL (SELECT 'nation/' || s_nationkey FROM supplier WHERE s_suppkey = 1 INTERSECT SELECT 'nation/' || s_nationkey FROM supplier WHERE s_suppkey = 2)""")
+@query("PP10 V15 J13", """WITH up AS (SELECT s_suppkey AS k, 'nation/' || s_nationkey AS n FROM supplier UNION ALL SELECT s_suppkey, 'region/' || n_regionkey FROM supplier JOIN nation ON n_nationkey = s_nationkey)
+SELECT 'supplier/' || b.k AS s, b.n FROM up a JOIN up b ON a.n = b.n WHERE a.k = 1""")
 def path_common_ancestor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where the ways of two suppliers upwards meet."""
-    return ask(spark, quads(spark, sf_dir, {"nation", "supplier"}), "SELECT DISTINCT ?n WHERE { <supplier/1> (:locatedIn|:isPartOf)+ ?n . <supplier/2> (:locatedIn|:isPartOf)+ ?n }")
+    """Where the way of any supplier upwards meets that of supplier 1."""
+    return ask(spark, quads(spark, sf_dir, {"nation", "supplier"}), "SELECT ?s ?n WHERE { <supplier/1> (:locatedIn|:isPartOf)+ ?n . ?s (:locatedIn|:isPartOf)+ ?n . ?s :type <Supplier> }")
 
 
 @query("PP8", "SELECT * FROM (VALUES ('a', 'b', 1, 'a>b'), ('a', 'c', 2, 'a>b>c'), ('a', 'd', 3, 'a>b>c>d')) v(src, dst, hops, way)")

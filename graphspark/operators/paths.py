@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from ..storage import stored
 
-ROUNDS = 100
+#: After so many rounds the pairs found are written as one table, so that plans stay short.
+COMPACT = 16
 
 
 def inverse(edges: DataFrame) -> DataFrame:
@@ -36,27 +37,31 @@ def identity(edges: DataFrame) -> DataFrame:
     return nodes(edges).select("src", F.col("src").alias("dst"))
 
 
-def one_or_more(edges: DataFrame, seeds: DataFrame | None = None, rounds: int = ROUNDS) -> DataFrame:
-    """Pairs joined by one or more edges; with ``seeds`` (src) only from those."""
+def one_or_more(edges: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
+    """Pairs joined by one or more edges; with ``seeds`` (src) only from those.  Rounds go on
+    until one finds no new pair, which it must, as pairs are finite."""
     edges = stored(edges.select("src", "dst").distinct(), "edges")
-    delta = edges if seeds is None else edges.join(seeds.select("src").distinct(), "src", "left_semi")
-    seen = delta
-    for _ in range(rounds):
-        new = sequence(delta, edges).distinct().join(seen, ["src", "dst"], "left_anti")
-        delta = stored(new, "delta")
-        if delta.isEmpty():
-            return seen
-        seen = seen.unionByName(delta)
-    raise RuntimeError(f"the closure did not end in {rounds} rounds")
+    delta = edges if seeds is None else stored(edges.join(seeds.select("src").distinct(), "src", "left_semi"), "delta")
+    seen, rounds = delta, 0
+    while not delta.isEmpty():
+        delta = stored(sequence(delta, edges).distinct().join(seen, ["src", "dst"], "left_anti"), "delta")
+        seen, rounds = seen.unionByName(delta), rounds + 1
+        if rounds % COMPACT == 0:
+            seen = stored(seen, "pairs")
+    return seen
 
 
 def zero_or_more(edges: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
+    """The same, and each seed (else each node of the edges) with itself."""
     same = identity(edges) if seeds is None else seeds.select("src", F.col("src").alias("dst"))
     return one_or_more(edges, seeds).unionByName(same).distinct()
 
 
-def zero_or_one(edges: DataFrame) -> DataFrame:
-    return edges.select("src", "dst").unionByName(identity(edges)).distinct()
+def zero_or_one(edges: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
+    edges = edges.select("src", "dst")
+    if seeds is None:
+        return edges.unionByName(identity(edges)).distinct()
+    return edges.join(seeds.select("src").distinct(), "src", "left_semi").unionByName(seeds.select("src", F.col("src").alias("dst"))).distinct()
 
 
 def hops(edges: DataFrame, most: int, seeds: DataFrame) -> DataFrame:
@@ -72,18 +77,17 @@ def hops(edges: DataFrame, most: int, seeds: DataFrame) -> DataFrame:
     return out
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(node, root): every node of the edges with the least node that it is connected with."""
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root): every node of the edges with the least node that it is connected with.
+    Labels only ever fall, so the rounds end."""
     both = stored(edges.select("src", "dst").unionByName(inverse(edges)).where("src <> dst").distinct(), "edges")
     label = nodes(both).select(F.col("src").alias("node"), F.col("src").alias("root"))
-    for _ in range(rounds):
+    while True:
         near = both.join(label, both.dst == label.node).groupBy("src").agg(F.min("root").alias("near"))
         step = label.join(near, label.node == near.src, "left").select("node", F.least("root", F.coalesce("near", "root")).alias("root"))
         # a root's own root shortens long chains
         up = step.select(F.col("node").alias("root"), F.col("root").alias("up"))
         new = stored(step.join(up, "root", "left").select("node", F.least("root", F.coalesce("up", "root")).alias("root")), "labels")
-        if not new.exceptAll(label).isEmpty():
-            label = new
-            continue
-        return new
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
+        if new.exceptAll(label).isEmpty():
+            return new
+        label = new

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import stored
+from .paths import COMPACT
 
 
 @dataclass
@@ -65,12 +66,14 @@ def fire(rule: Rule, facts: DataFrame, delta: DataFrame, given: DataFrame) -> Da
     return out
 
 
-def forward_chain(facts: DataFrame, rules: list[Rule], rounds: int = 50) -> DataFrame:
-    """Derived facts (s, p, o, rule, round) that aren't among ``facts``."""
+def forward_chain(facts: DataFrame, rules: list[Rule]) -> DataFrame:
+    """Derived facts (s, p, o, rule, round) that aren't among ``facts``.  Heads hold only
+    terms of the rules and of the facts, so there are finitely many and the rounds end."""
     given = stored(facts.select("s", "p", "o").distinct(), "facts")
     known, delta, derived = given, given, None
-    for n in range(1, rounds + 1):
-        made = None
+    n = 0
+    while True:
+        n, made = n + 1, None
         for rule in rules:
             rows = fire(rule, known, delta, given)
             made = rows if made is None else made.unionByName(rows)
@@ -81,7 +84,8 @@ def forward_chain(facts: DataFrame, rules: list[Rule], rounds: int = 50) -> Data
         derived = new if derived is None else derived.unionByName(new)
         delta = new.select("s", "p", "o")
         known = known.unionByName(delta)
-    raise RuntimeError(f"the rules did not settle in {rounds} rounds")
+        if n % COMPACT == 0:
+            known, derived = stored(known, "facts"), stored(derived, "derived")
 
 
 #: Entailment of the schema vocabulary, as rules.

@@ -8,6 +8,7 @@ anything.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..operators import paths
 from ..sources.mapping import IRI, NUMBER
-from .algebra import BGP, Exists, Extend, Expr, Filter, Join, LeftJoin, Minus, Path, Pattern, Query, QueryError, Term, Union, Values
+from .algebra import BGP, Exists, Extend, Expr, Filter, Join, LeftJoin, Minus, Path, Pattern, Query, QueryError, Term, Union, Values, variables_of
 from .text import parse
 
 PARTS = ["lex", "kind", "num", "ts", "lang", "dt"]
@@ -73,6 +74,20 @@ def key_of(term: Term) -> str:
     raise QueryError(f"{term[0]} can't stand in a pattern")
 
 
+_NUMERIC, _TIMES = ("xsd:integer", "xsd:decimal", "xsd:double", "xsd:float"), ("xsd:date", "xsd:dateTime")
+
+
+def key_parts(key: Column) -> dict[str, Column]:
+    """The parts of a term by its key, which holds text, datatype and language of a literal."""
+    literal = key.startswith('"')
+    lex = F.when(literal, F.regexp_replace(key, r'(?s)^"(.*)"(\^\^.*|@.*)$', "$1")).otherwise(key)
+    dt = F.when(literal, F.nullif(F.regexp_extract(key, r'(?s)^".*"\^\^(.*)$', 1), F.lit("")))
+    return {
+        "lex": lex, "kind": literal.cast("tinyint"), "num": F.when(dt.isin(*_NUMERIC), lex.try_cast(NUMBER)), "ts": F.when(dt.isin(*_TIMES), lex.try_cast("timestamp_ntz")),
+        "lang": F.when(literal, F.nullif(F.regexp_extract(key, r'(?s)^".*"@([^"]*)$', 1), F.lit(""))), "dt": dt,
+    }
+
+
 class Compiler:
     """Compiles queries over one quads DataFrame."""
 
@@ -80,29 +95,86 @@ class Compiler:
         self.quads, self.sizes, self.spark = quads, sizes or {}, quads.sparkSession
 
     # patterns
-    def edges(self, path: Path) -> DataFrame:
-        if path.kind == "link":
-            return self.quads.where(F.col("p") == path.name).select(F.col("s").alias("src"), F.col("o_key").alias("dst"))
-        inner = [self.edges(p) for p in path.parts]
-        return {
-            "inverse": lambda: paths.inverse(inner[0]), "seq": lambda: paths.sequence(*inner), "alt": lambda: paths.alternative(*inner),
-            "plus": lambda: paths.one_or_more(inner[0]), "star": lambda: paths.zero_or_more(inner[0]), "opt": lambda: paths.zero_or_one(inner[0]),
-        }[path.kind]()
-
-    def pattern(self, p: Pattern) -> Rel:
+    def graph(self, term: Term | None) -> DataFrame:
+        return self.quads if term is None or term[0] == "var" else self.quads.where(F.col("g") == key_of(term))
+
+    def edges(self, path: Path, graph: Term | None, sources: DataFrame | None = None, targets: DataFrame | None = None) -> DataFrame:
+        """(src, dst) of a path.  ``sources`` and ``targets`` (one column, src or dst) are all
+        ends that are asked for: closures start there, and only those ends have a path of no
+        edge.  Without them every node of the graph has one."""
+        kind, parts = path.kind, path.parts
+        if kind == "link":
+            out = self.graph(graph).where(F.col("p") == path.name).select(F.col("s").alias("src"), F.col("o_key").alias("dst"))
+        elif kind == "inverse":
+            flip = lambda df, to: None if df is None else df.toDF(to)
+            return paths.inverse(self.edges(parts[0], graph, flip(targets, "src"), flip(sources, "dst")))
+        elif kind == "alt":
+            return paths.alternative(*(self.edges(p, graph, sources, targets) for p in parts))
+        elif kind == "seq":
+            # a closure in the middle starts from what its neighbour reaches
+            if sources is None and targets is not None:
+                second = self.edges(parts[1], graph, None, targets)
+                first = self.edges(parts[0], graph, None, second.select(F.col("src").alias("dst")).distinct())
+            else:
+                first = self.edges(parts[0], graph, sources)
+                middle = first.select(F.col("dst").alias("src")).distinct() if sources is not None or not _closed(parts[0]) else None
+                second = self.edges(parts[1], graph, middle, targets)
+            return paths.sequence(first, second)
+        else:
+            backwards = sources is None and targets is not None
+            seeds = targets.toDF("src").distinct() if backwards else None if sources is None else sources.distinct()
+            inner = self.edges(parts[0], graph)
+            if backwards:
+                inner = paths.inverse(inner)
+            if seeds is None and kind != "plus":
+                seeds = self.graph(graph).select(F.col("s").alias("src")).unionByName(self.graph(graph).select(F.col("o_key").alias("src"))).distinct()
+            out = {"plus": paths.one_or_more, "star": paths.zero_or_more, "opt": paths.zero_or_one}[kind](inner, seeds)
+            out = paths.inverse(out) if backwards else out
+            return out if targets is None or backwards else out.join(targets.distinct(), "dst", "left_semi")
+        if sources is not None and kind != "link":
+            out = out.join(sources.distinct(), "src", "left_semi")
+        return out
+
+    def fixed(self, df: DataFrame, side: str, term: Term) -> DataFrame:
+        """Rows with a constant subject (s) or object (o).  The key of a mapped row is compared
+        as a number too, so that the scan can skip row groups and other tables' branches go."""
+        key = key_of(term)
+        df = df.where(F.col("s" if side == "s" else "o_key") == key)
+        if term[0] == "iri" and f"{side}_at" in df.columns:
+            prefix, _, number = key.partition("/") if "/" in key else ("", "", key)
+            df = df.where(F.col(f"{side}_at").isNull() | (F.col(f"{side}_at") == prefix))
+            if re.fullmatch("0|[1-9][0-9]{0,17}", number):
+                df = df.where(F.col(f"{side}_id").isNull() | (F.col(f"{side}_id") == int(number)))
+        return df
+
+    def pattern(self, p: Pattern, bound: Rel | None = None) -> Rel:
+        """One pattern; a path starts from the values that ``bound`` has for its ends."""
         if isinstance(p.p, Path):
-            df = self.edges(p.p).select(F.col("src").alias("s"), F.col("dst").alias("o_key"))
-            df = df.withColumns({"o_kind": F.when(F.col("o_key").startswith('"'), 1).otherwise(0), "o_lex": F.regexp_replace("o_key", r'^"(.*)"(\^\^.*|@.*)$', "$1"), "o_num": F.lit(None).cast(NUMBER), "o_ts": F.lit(None).cast("timestamp_ntz"), "o_lang": F.lit(None).cast("string"), "o_dt": F.lit(None).cast("string")})
+            if p.graph is not None and p.graph[0] == "var":
+                raise QueryError("a path under a graph variable")
+
+            def ends(term: Term, name: str) -> DataFrame | None:
+                if term[0] != "var":
+                    return self.spark.range(1).select(F.lit(key_of(term)).alias(name))
+                if bound is not None and bound.types.get(term[1]) == "term" and term[1] not in bound.maybe:
+                    return bound.df.select(F.col(term[1]).alias(name))
+                return None
+
+            sources, targets = ends(p.s, "src"), ends(p.o, "dst")
+            if p.s[0] == "var" and p.o[0] != "var":
+                sources = None  # the constant end is the smaller one
+            if p.s == p.o and _closed(p.p):
+                targets = None
+            df = self.edges(p.p, p.graph, sources, targets).select(F.col("src").alias("s"), F.col("dst").alias("o_key"))
+            df = df.withColumns({f"o_{k}": c for k, c in key_parts(F.col("o_key")).items()})
         else:
-            df = self.quads
-            if p.graph is not None and p.graph[0] == "iri":
-                df = df.where(F.col("g") == p.graph[1])
+            df = self.graph(p.graph)
             if p.p[0] != "var":
                 df = df.where(F.col("p") == p.p[1])
         if p.s[0] != "var":
-            df = df.where(F.col("s") == key_of(p.s))
+            df = self.fixed(df, "s", p.s)
         if p.o[0] != "var":
-            df = df.where(F.col("o_key") == key_of(p.o))
+            df = self.fixed(df, "o", p.o)
         chosen: dict[str, list[Column]] = {}
         same: list[Column] = []
 
@@ -122,7 +194,8 @@ class Compiler:
             return [column.alias(name), column.alias(f"{name}__lex"), F.lit(IRI).cast("tinyint").alias(f"{name}__kind"), *(F.lit(None).cast(t).alias(f"{name}__{k}") for k, t in empty.items())]
 
         if p.s[0] == "var":
-            bind(p.s, plain(p.s[1], F.col("s")), F.col("s"))
+            parts = {k: c.alias(f"{p.s[1]}__{k}") for k, c in key_parts(F.col("s")).items()} if isinstance(p.p, Path) and _closed(p.p) else {}
+            bind(p.s, [F.col("s").alias(p.s[1]), *(parts[k] for k in PARTS)] if parts else plain(p.s[1], F.col("s")), F.col("s"))
         if isinstance(p.p, tuple) and p.p[0] == "var":
             bind(p.p, plain(p.p[1], F.col("p")), F.col("p"))
         if p.o[0] == "var":
@@ -147,11 +220,11 @@ class Compiler:
         rest = sorted(node.patterns, key=self.cost)
         out = self.pattern(rest.pop(0))
         while rest:
-            nxt = next((p for p in rest if not out.types or set(self.pattern(p).types) & set(out.types) or not self.pattern(p).types), None)
+            nxt = next((p for p in rest if not out.types or variables_of(BGP([p])) & set(out.types) or not variables_of(BGP([p]))), None)
             if nxt is None:
                 raise QueryError("the patterns are not connected: a product of all rows")
             rest.remove(nxt)
-            out = self.join(out, self.pattern(nxt))
+            out = self.join(out, self.pattern(nxt, out))
         return out
 
     # joins
@@ -207,6 +280,14 @@ class Compiler:
         left, right, shared = self.aligned(left, right)
         if condition is None and not any(n in left.maybe or n in right.maybe for n in shared):
             return self.join(left, right, "left")
+        loose = [n for n in shared if n in left.maybe and n not in right.maybe]
+        if loose:  # rows that have the variable join on it, the others take any value of it
+            n, types = loose[0], {**left.types, **right.types}
+            has = Rel(left.df.where(F.col(n).isNotNull()), left.types, left.maybe - {n})
+            free = Rel(left.df.where(F.col(n).isNull()).drop(*left.columns(n)), {k: v for k, v in left.types.items() if k != n}, left.maybe - {n})
+            a, b = self.left_join(has, right, condition), self.left_join(free, right, condition)
+            order = [c for m in types for c in Rel(left.df, types).columns(m)]
+            return Rel(a.df.select(*order).unionByName(b.df.select(*order)), types, a.maybe | b.maybe | {n})
         rdf = right.df.select(*[F.col(c).alias(f"_r_{c}") for n in shared for c in right.columns(n)], *[c for n in right.types if n not in shared for c in right.columns(n)])
         on = F.lit(True)
         for n in shared:
@@ -221,21 +302,70 @@ class Compiler:
         df = df.drop(*[f"_r_{c}" for n in shared for c in right.columns(n)])
         return Rel(df, types, left.maybe | right.maybe | {n for n in right.types if n not in shared})
 
-    def semi(self, left: Rel, right: Rel, how: str, correlated: bool) -> Rel:
-        """EXISTS and NOT EXISTS are correlated; MINUS removes nothing without a shared variable."""
+    def semi(self, left: Rel, right: Rel, how: str, correlated: bool, late: list[Expr] = ()) -> Rel:
+        """EXISTS and NOT EXISTS are correlated, and ``late`` are filters of theirs over both
+        sides; MINUS removes nothing without a shared variable.  Rows with an unbound shared
+        variable are parted from the others, as it agrees with any value."""
         left, right, shared = self.aligned(left, right)
-        if not shared:
-            if not correlated:
-                return left
+        if not shared and not correlated:
+            return left
+        n = next((n for n in shared if n in left.maybe or n in right.maybe), None)
+        if n is not None:
+            without = lambda rel: Rel(rel.df.drop(*rel.columns(n)), {k: v for k, v in rel.types.items() if k != n}, rel.maybe - {n})
+            bound = lambda rel: Rel(rel.df.where(F.col(n).isNotNull()), rel.types, rel.maybe - {n})
+            unbound = lambda rel: Rel(rel.df.where(F.col(n).isNull()), rel.types, rel.maybe)
+            out = []
+            if n in right.maybe:
+                # against right rows with the variable first, then against those without it
+                anti = self.semi(bound(left), bound(right), "left_anti", correlated, late)
+                rest = self.semi(anti, without(unbound(right)), how, correlated, late)
+                out.append(rest)
+                if how == "left_semi":
+                    out.append(self.semi(bound(left), bound(right), how, correlated, late))
+            else:
+                out.append(self.semi(bound(left), right, how, correlated, late))
+            if n in left.maybe:  # the column stays on the left side, though it tells nothing
+                free = unbound(left)
+                hidden = Rel(free.df, {k: v for k, v in free.types.items() if k != n}, free.maybe - {n})
+                out.append(self.semi(hidden, without(right), how, correlated, late))
+            df = out[0].df.select(*left.df.columns)
+            for rel in out[1:]:
+                df = df.unionByName(rel.df.select(*left.df.columns))
+            return Rel(df, left.types, left.maybe)
+        if not shared and not late:
             one = right.df.limit(1).select(F.lit(1).alias("_x"))
             return Rel(left.df.join(one, F.lit(True), how), left.types, left.maybe)
-        keys = right.df.select(*[F.col(n).alias(f"_r_{n}") for n in shared]).distinct()
-        on = None
+        used = set().union(*map(_variables, late)) if late else set()
+        extra = [n for n in right.types if n not in shared and n in used]
+        keys = right.df.select(*[F.col(n).alias(f"_r_{n}") for n in shared], *[c for n in extra for c in right.columns(n)]).distinct()
+        on = F.lit(True)
         for n in shared:
-            test = F.col(n) == F.col(f"_r_{n}")
-            on = test if on is None else on & test
+            on = on & (F.col(n) == F.col(f"_r_{n}"))
+        for condition in late:
+            on = on & self.truth(condition, {**{n: right.types[n] for n in extra}, **left.types})
         return Rel(left.df.join(keys, on, how), left.types, left.maybe)
 
+    def exists(self, node: Exists) -> Rel:
+        """Filters of the inner pattern that use outer variables become part of the join."""
+        left, late = self.compile(node.left), []
+
+        def peel(inner: object) -> object:
+            if isinstance(inner, Filter):
+                child = peel(inner.child)
+                if (_variables(inner.condition) - variables_of(inner.child)) & set(left.types):
+                    late.append(inner.condition)
+                    return child
+                return Filter(child, inner.condition)
+            if isinstance(inner, (Exists, Minus)):
+                if isinstance(inner, Exists) and (_mentioned(inner.right) - variables_of(inner.left)) & set(left.types):
+                    raise QueryError("EXISTS within EXISTS uses an outer variable")
+                child = peel(inner.left)
+                return Exists(child, inner.right, inner.negated) if isinstance(inner, Exists) else Minus(child, inner.right)
+            return inner
+
+        right = self.compile(peel(node.right))
+        return self.semi(left, right, "left_anti" if node.negated else "left_semi", True, late)
+
     # nodes
     def compile(self, node: object) -> Rel:
         if isinstance(node, BGP):
@@ -258,7 +388,7 @@ class Compiler:
         if isinstance(node, Minus):
             return self.semi(self.compile(node.left), self.compile(node.right), "left_anti", False)
         if isinstance(node, Exists):
-            return self.semi(self.compile(node.left), self.compile(node.right), "left_anti" if node.negated else "left_semi", True)
+            return self.exists(node)
         if isinstance(node, Filter):
             rel = self.compile(node.child)
             return Rel(rel.df.where(self.truth(node.condition, rel.types)), rel.types, rel.maybe)
@@ -279,8 +409,7 @@ class Compiler:
         rows = [[None if t is None else key_of(t) for t in row] for row in node.rows]
         df = self.spark.createDataFrame(rows, ", ".join(f"`{n}` string" for n in node.names))
         for n in node.names:
-            df = df.withColumns({f"{n}__lex": F.regexp_replace(n, r'^"(.*)"(\^\^.*|@.*)$', "$1"), f"{n}__kind": F.when(F.col(n).startswith('"'), 1).otherwise(0).cast("tinyint")})
-            df = df.withColumns({f"{n}__num": F.expr(f"try_cast(if(startswith(`{n}`, '\"'), `{n}__lex`, null) as {NUMBER})"), f"{n}__ts": F.lit(None).cast("timestamp_ntz"), f"{n}__lang": F.lit(None).cast("string"), f"{n}__dt": F.lit(None).cast("string")})
+            df = df.withColumns({f"{n}__{k}": c for k, c in key_parts(F.col(n)).items()})
         return Rel(df, dict.fromkeys(node.names, "term"), {n for k, n in enumerate(node.names) if any(r[k] is None for r in rows)})
 
     # expressions
@@ -288,7 +417,7 @@ class Compiler:
         kind = e[0]
         if kind == "var":
             if e[1] not in types:
-                return Value("str", F.lit(None).cast("string"))
+                raise QueryError(f"?{e[1]} is not bound by the pattern that it is used in")
             if types[e[1]] != "term":
                 return Value(types[e[1]], F.col(e[1]))
             return Value("term", F.col(e[1]), {k: F.col(f"{e[1]}__{k}") for k in PARTS})
@@ -475,6 +604,22 @@ class Compiler:
         return rel.df.select(*[(F.col(f"{n}__lex") if t == "term" else F.col(n)).alias(n) for n, t in rel.types.items()])
 
 
+def _closed(path: Path) -> bool:
+    """Whether a path has a closure, or a part of no edge."""
+    return path.kind in ("plus", "star", "opt") or any(map(_closed, path.parts))
+
+
+def _mentioned(node: object) -> set[str]:
+    """All variables of a pattern, those of its filters included."""
+    if isinstance(node, Filter):
+        return _mentioned(node.child) | _variables(node.condition)
+    if isinstance(node, (Join, LeftJoin, Union, Minus, Exists)):
+        return _mentioned(node.left) | _mentioned(node.right) | (_variables(node.condition) if isinstance(node, LeftJoin) and node.condition else set())
+    if isinstance(node, Extend):
+        return _mentioned(node.child) | {node.name} | _variables(node.value)
+    return variables_of(node)
+
+
 def _has_agg(e: Expr) -> bool:
     return e[0] == "agg" or any(_has_agg(x) for x in e if isinstance(x, tuple))
 

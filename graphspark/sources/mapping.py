@@ -8,6 +8,8 @@ of the union, whose scan reads only the columns of that predicate.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,41 +32,56 @@ MAPPING = [
     ("total", "orders", "o_orderkey", "o_totalprice"), ("orderedOn", "orders", "o_orderkey", "o_orderdate"), ("priority", "orders", "o_orderkey", "*priority:o_orderpriority"),
 ]
 KEYS = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "orders": "o_orderkey"}
-COLUMNS = ["g", "s", "p", "o_key", "o_kind", "o_lex", "o_dt", "o_lang", "o_num", "o_ts"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def iri(prefix: str, key: Column) -> Column:
-    return F.concat(F.lit(f"{prefix}/"), key.cast("string"))
+@dataclass
+class Name:
+    """An IRI of a mapped row: its column, its prefix, and the key where that is a number."""
+
+    c: Column
+    at: str | None = None
+    id: Column | None = None
+
+
+def iri(prefix: str, column: str, df: DataFrame) -> Name:
+    number = df.schema[column].dataType.simpleString() in ("int", "bigint")
+    return Name(F.concat(F.lit(f"{prefix}/"), F.col(column).cast("string")), prefix, F.col(column).cast("long") if number else None)
 
 
-def quad(g: Column, s: Column, p: Column, lex: Column, kind: int, dt: str | None = None, num: Column | None = None, ts: Column | None = None) -> list[Column]:
+def quad(g: Column, s: Name, p: Column, o: Name | Column, dt: str | None = None, num: Column | None = None, ts: Column | None = None) -> list[Column]:
     """The columns of a quad.  The key of a literal holds its datatype, so that equal keys
-    are equal terms, while equal numbers may be of different keys."""
-    key = lex if kind == IRI else F.concat(F.lit('"'), lex, F.lit(f'"^^{dt}'))
+    are equal terms, while equal numbers may be of different keys.  The prefix and number
+    of an IRI stand beside it: a constant IRI becomes a test of the key column."""
+    named = isinstance(o, Name)
+    lex = o.c if named else o
+    key = lex if named else F.concat(F.lit('"'), lex, F.lit(f'"^^{dt}'))
+    none = F.lit(None)
     return [
-        g.alias("g"), s.alias("s"), p.alias("p"), key.alias("o_key"), F.lit(kind).cast("tinyint").alias("o_kind"), lex.alias("o_lex"),
-        F.lit(dt).cast("string").alias("o_dt"), F.lit(None).cast("string").alias("o_lang"),
-        (F.lit(None) if num is None else num).cast(NUMBER).alias("o_num"), (F.lit(None) if ts is None else ts).cast("timestamp_ntz").alias("o_ts"),
+        g.alias("g"), s.c.alias("s"), p.alias("p"), key.alias("o_key"), F.lit(IRI if named else LITERAL).cast("tinyint").alias("o_kind"), lex.alias("o_lex"),
+        F.lit(dt).cast("string").alias("o_dt"), none.cast("string").alias("o_lang"),
+        (none if num is None else num).cast(NUMBER).alias("o_num"), (none if ts is None else ts).cast("timestamp_ntz").alias("o_ts"),
+        F.lit(s.at).cast("string").alias("s_at"), (none if s.id is None else s.id).cast("long").alias("s_id"),
+        F.lit(o.at if named else '"').cast("string").alias("o_at"), (none if not named or o.id is None else o.id).cast("long").alias("o_id"),
     ]
 
 
 def branch(df: DataFrame, predicate: str, prefix: str, key: str, value: str, graph: str = "default") -> DataFrame:
-    s, g, p = iri(prefix, F.col(key)), F.lit(graph), F.lit(predicate)
+    s, g, p = iri(prefix, key, df), F.lit(graph), F.lit(predicate)
     if value[0] == "=":
-        return df.select(*quad(g, s, p, F.lit(value[1:]), IRI))
+        return df.select(*quad(g, s, p, Name(F.lit(value[1:]), "")))
     if value[0] in ">*":
         to, column = value[1:].split(":")
-        return df.where(F.col(column).isNotNull()).select(*quad(g, s, p, iri(to, F.col(column)), IRI))
+        return df.where(F.col(column).isNotNull()).select(*quad(g, s, p, iri(to, column, df)))
     kind = df.schema[value].dataType.simpleString()
     number = F.col(value) if kind in ("int", "bigint", "double") else None
     if kind == "double":  # money: two decimal places
         number = F.col(value).cast("decimal(28,2)")
     lex = F.col(value).cast("string") if kind != "double" else number.cast("string")
-    return df.where(F.col(value).isNotNull()).select(*quad(g, s, p, lex, LITERAL, XSD[kind], number, F.col(value) if kind == "timestamp_ntz" else None))
+    return df.where(F.col(value).isNotNull()).select(*quad(g, s, p, lex, XSD[kind], number, F.col(value) if kind == "timestamp_ntz" else None))
 
 
 def quads(spark: SparkSession, sf_dir: str, tables: set[str] | None = None, extra: list[DataFrame] = ()) -> DataFrame:
@@ -78,14 +95,15 @@ def quads(spark: SparkSession, sf_dir: str, tables: set[str] | None = None, extr
     if tables is None or "part" in tables:
         part = frames["part"]
         tree = part.select("p_type").distinct()
-        out.append(tree.select(*quad(F.lit("default"), iri("class", F.col("p_type")), F.lit("subClassOf"), F.lit("Part"), IRI)))
+        out.append(tree.select(*quad(F.lit("default"), iri("class", "p_type", tree), F.lit("subClassOf"), Name(F.lit("Part"), ""))))
     if tables is None or "lineitem" in tables:
         line = frames.setdefault("lineitem", table(spark, sf_dir, "lineitem"))
-        out.append(line.select(*quad(F.lit("default"), iri("supplier", F.col("l_suppkey")), F.lit("canProvide"), iri("part", F.col("l_partkey")), IRI)).distinct())
-        out.append(line.select(*quad(F.lit("default"), iri("orders", F.col("l_orderkey")), F.lit("hasPart"), iri("part", F.col("l_partkey")), IRI)).distinct())
+        for predicate, prefix, key in (("canProvide", "supplier", "l_suppkey"), ("hasPart", "orders", "l_orderkey")):
+            pairs = line.select(key, "l_partkey").distinct()
+            out.append(pairs.select(*quad(F.lit("default"), iri(prefix, key, pairs), F.lit(predicate), iri("part", "l_partkey", pairs))))
     union = out[0]
     for df in [*out[1:], *extra]:
-        union = union.unionByName(df)
+        union = union.unionByName(df, allowMissingColumns=True)
     return union
 
 

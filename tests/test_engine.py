@@ -47,6 +47,65 @@ def test_pattern_reads_one_table_and_few_columns(spark):
     assert plan.count("FileScan") == 1 and "p_retailprice" not in plan and "PushedFilters: [IsNotNull(p_size)" in plan
 
 
+def asked(spark, rows, text):
+    return sorted((tuple(r) for r in ask(spark, quads_from_rows(spark, rows), text).collect()), key=str)
+
+
+VALUES = [("a", "v", 1), ("b", "v", 2), ("c", "v", 3)]
+PLACES = [("a", "kind", "T"), ("b", "kind", "T"), ("a", "has", "x1"), ("x1", "place", "p1")]
+SIZES = [("a", "p", "b"), ("b", "size", 7), ("b", "size", 3), ("b", "d", ("x", "de")), ("b", "sub", "c")]
+
+
+@pytest.mark.parametrize(
+    ("rows", "text", "want"),
+    [
+        # filters of EXISTS over outer variables
+        (VALUES, "SELECT ?x WHERE { ?x :v ?n FILTER NOT EXISTS { ?y :v ?m FILTER(?m > ?n) } }", [("c",)]),
+        (VALUES, "SELECT ?x WHERE { ?x :v ?n FILTER EXISTS { ?y :v ?m FILTER(?m > ?n) } }", [("a",), ("b",)]),
+        (VALUES, "SELECT ?x WHERE { ?x :v ?n FILTER EXISTS { ?x :v ?m FILTER(?m > ?n) } }", []),
+        # a variable left unbound agrees with any value
+        (PLACES, "SELECT ?s ?x WHERE { ?s :kind <T> OPTIONAL { ?s :has ?x } FILTER EXISTS { ?x :place ?p } }", [("a", "x1"), ("b", None)]),
+        (PLACES, "SELECT ?s ?x WHERE { ?s :kind <T> OPTIONAL { ?s :has ?x } FILTER NOT EXISTS { ?x :place ?p } }", []),
+        (PLACES, "SELECT ?s ?x WHERE { ?s :kind <T> OPTIONAL { ?s :has ?x } MINUS { ?x :place ?p } }", [("b", None)]),
+        ([*PLACES, ("x2", "place", "p2")], "SELECT ?s ?x ?p WHERE { ?s :kind <T> OPTIONAL { ?s :has ?x } OPTIONAL { ?x :place ?p } }", [("a", "x1", "p1"), ("b", "x1", "p1"), ("b", "x2", "p2")]),
+        # ends of paths keep number and language
+        (SIZES, "SELECT ?a ?z WHERE { ?a :p/:size ?z FILTER(?z > 5) }", [("a", "7")]),
+        (SIZES, "SELECT (SUM(?z) AS ?k) WHERE { ?a :p/:size ?z }", [(10,)]),
+        (SIZES, 'SELECT ?z WHERE { ?a :p/:d ?z FILTER(lang(?z) = "de") }', [("x",)]),
+        # paths of no edge: constants, and every node of the graph
+        (SIZES, "SELECT ?x WHERE { ?x :sub* <zz> }", [("zz",)]),
+        (SIZES, "SELECT ?x WHERE { <q> :sub? ?x }", [("q",)]),
+        (SIZES, "SELECT ?x WHERE { ?x :sub* <c> }", [("b",), ("c",)]),
+        (SIZES, "SELECT ?x ?y WHERE { ?x :sub* ?y FILTER(isIRI(?x)) }", [("a", "a"), ("b", "b"), ("b", "c"), ("c", "c")]),
+        (SIZES, "SELECT ?x ?y WHERE { ?x :p ?w . ?w :sub* ?y }", [("a", "b"), ("a", "c")]),
+        (SIZES, "SELECT ?y WHERE { <a> :p/:sub* ?y }", [("b",), ("c",)]),
+        (SIZES, "SELECT ?x WHERE { ?x :p/:sub* <c> }", [("a",)]),
+        (SIZES, "SELECT ?x WHERE { ?x (:p|:sub)+ <c> }", [("a",), ("b",)]),
+        (SIZES, "SELECT ?x ?y WHERE { ?x ^(:p/:sub) ?y }", [("c", "a")]),
+    ],
+)
+def test_worked_examples(spark, rows, text, want):
+    assert asked(spark, rows, text) == want
+
+
+@pytest.mark.parametrize("text", ["SELECT ?x WHERE { ?x :v ?n FILTER(?zz > 2) }", "SELECT ?x WHERE { ?x :v ?n FILTER EXISTS { ?y :v ?m FILTER EXISTS { ?z :v ?k FILTER(?k > ?n) } } }", "SELECT ?x WHERE { GRAPH ?g { ?x :v+ ?n } }"])
+def test_unknown_variables_are_refused(spark, text):
+    with pytest.raises(QueryError):
+        asked(spark, VALUES, text)
+
+
+def test_constant_subject_reaches_the_scan(spark):
+    df = ask(spark, quads(spark, DATA), "SELECT ?o WHERE { ?o :hasPart <part/1> }")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "EqualTo(l_partkey,1)" in plan
+    assert plan.index("HashAggregate") < plan.index("Filter") < plan.index("FileScan")
+
+
+def test_a_seeded_closure_stays_small(spark):
+    e = spark.createDataFrame([(f"n{k}", f"n{k + 1}") for k in range(40)], "src string, dst string")
+    assert paths.one_or_more(e, spark.createDataFrame([("n30",)], "src string")).count() == 10
+
+
 def test_not_exists_and_minus_differ(spark):
     q = quads_from_rows(spark, [("a", "p", "b"), ("x", "q", "y")])
     assert ask(spark, q, "SELECT ?a WHERE { ?a :p ?b MINUS { ?c :q ?d } }").count() == 1
