@@ -22,10 +22,13 @@ def setting(spark: SparkSession, key: str) -> str | None:
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path below ``spark.checkpoint.dir``, deleted when the driver ends.
 
-    Where the setting is absent (tests on one machine) a temporary folder is used.
+    Where the setting is absent, a session on one machine (tests) gets a temporary folder,
+    and any other an error.
     """
     base = setting(spark, "spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="graphspark-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
