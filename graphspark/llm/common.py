@@ -115,13 +115,24 @@ def by_size(batch: pa.RecordBatch, column: str, most: int):
         release()
 
 
+#: Bytes of input, as files hold them, that one range of doc_id takes at most on average.
+RANGE = 64 << 20
+
+
+def ranges(docs: DataFrame) -> int:
+    """How many ranges of doc_id: the shuffle partitions, or more where the files read are
+    larger than ``RANGE`` each.  Sizes are those of the plan, so nothing is read for it."""
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    known = size < 1 << 60  # what isn't known counts as nearly endless
+    return max(1, partitions(docs.sparkSession), -(-size // RANGE) if known else 1)
+
+
 def ordered_by_id(docs: DataFrame) -> DataFrame:
     """Documents dealt out into ranges of doc_id and sorted in each; partition order is id order.
 
     Equal ids are ordered by text, so that a partition is the same each time it is made.
     """
-    n = max(1, partitions(docs.sparkSession))
-    return docs.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    return docs.repartitionByRange(ranges(docs), "doc_id").sortWithinPartitions("doc_id", "text")
 
 
 def release() -> None:

@@ -3,7 +3,7 @@
 Documents are tokenised and laid end to end in doc_id order.  Cuts may fall at document
 ends (free), sentence ends (a small penalty) and, so that no stretch is longer than
 ``STEP`` ids, at further places (a larger penalty).  With p the place and c the penalty
-of a cut,
+of a cut, to which every sequence adds a cost of its own,
 
     f(j) = c(j) + min over i, p(j) - p(i) <= size, of f(i) + size - (p(j) - p(i))
 
@@ -29,6 +29,8 @@ from .units import UnitEncoder, encoder, resolve
 
 SIZE = 2048
 SENTENCE, ELSEWHERE, STEP = 2, 24, 64
+#: The cost of a sequence: a short one is worth its place only where it saves more padding.
+SEQUENCE = 512
 CHUNK = 1 << 18
 #: Bytes of text that are tokenised together.
 SLICE = 4 << 20
@@ -56,10 +58,10 @@ def cut_places(n: int, doc_ends: np.ndarray, sentence_ends: np.ndarray, step: in
     return places, cost[places]
 
 
-def best_cuts(places: np.ndarray, penalty: np.ndarray, size: int, last: bool) -> list[int]:
-    """Indices of ``places`` to cut at, 0 first.  If not ``last``, the end is the best
+def best_cuts(places: np.ndarray, penalty: np.ndarray, size: int, last: bool, each: int = 0) -> list[int]:
+    """Indices of ``places`` to cut at, 0 first, with the cost of each sequence.  If not ``last``, the end is the best
     place among those of the last ``size`` ids, else it is the last place."""
-    p, c, n = places.tolist(), penalty.tolist(), len(places)
+    p, c, n = places.tolist(), (penalty + each).tolist(), len(places)
     # places a power of two before a place, where one may be cut: no padding between them
     number = np.full(int(places[-1]) + 1, -1, np.int32)
     number[places] = np.arange(n)
@@ -143,7 +145,7 @@ class Packer:
         docs = np.array(self.docs, np.int64).reshape(-1, 4)
         doc_ends = np.cumsum(docs[:, 3])
         places, penalty = cut_places(len(ids), doc_ends, np.flatnonzero(self.ends[ids]) + 1)
-        cuts = places[best_cuts(places, penalty, self.size, last)]
+        cuts = places[best_cuts(places, penalty, self.size, last, SEQUENCE)]
         end = int(cuts[-1])
         bounds = np.unique(np.concatenate([cuts, doc_ends[doc_ends < end]]))
         begin, length = bounds[:-1], np.diff(bounds)
