@@ -59,19 +59,52 @@ def test_linear_bpe_equals_merges(corpus):
     assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == lib.encode_ordinary_batch(texts)
 
 
-def test_repair_round_trip_and_slices():
-    rng = np.random.default_rng(1)
-    ids = rng.integers(0, 50, 20_000).astype(np.uint32)
-    offsets = np.sort(np.concatenate([[0, 0, 20_000], rng.integers(0, 20_000, 40)]))
-    shard = token_store.Shard(token_store.pack_shard(np.arange(len(offsets) - 1), ids, offsets))
-    assert len(shard.rules) and len(shard.symbols) < 20_000
-    assert (shard.all() == ids).all()
+def grammar(ids, offsets, vocabulary):
+    form = token_store.layout(vocabulary)
+    shard = token_store.Shard(token_store.pack_shard(np.arange(len(offsets) - 1), ids, offsets, form))
+    assert (shard.all() == ids).all() and shard.all().dtype == np.uint32
+    lengths = [len(token_store.expand(np.array([form.first + k], form.kind), shard.rules, form.first)) for k in range(len(shard.rules))]
+    assert lengths == shard.lengths.tolist()
     for row in range(len(offsets) - 1):
         part = ids[offsets[row] : offsets[row + 1]]
         assert (shard.document(row) == part).all()
         assert (shard.slice(row, len(part) // 3, len(part) // 2) == part[len(part) // 3 : len(part) // 3 + len(part) // 2]).all()
-    lengths = [len(token_store.expand(np.array([token_store.FIRST_RULE + k], np.uint16), shard.rules)) for k in range(len(shard.rules))]
-    assert lengths == shard.lengths.tolist()
+    return shard, form
+
+
+@pytest.mark.parametrize(("alphabet", "vocabulary"), [(50, 50_257), (3, 100), (50, 70_000), (70_000, 70_001), (65_000, 65_536)])
+def test_repair_round_trip_and_slices(alphabet, vocabulary):
+    """Vocabularies beyond 16 bits, or that leave no room in them, get wider symbols."""
+    rng = np.random.default_rng(1)
+    ids = (vocabulary - 1 - rng.integers(0, alphabet, 20_000)).astype(np.uint32)
+    offsets = np.sort(np.concatenate([[0, 0, 20_000], rng.integers(0, 20_000, 40)]))
+    shard, form = grammar(ids, offsets, vocabulary)
+    assert form.width == (2 if vocabulary < 60_000 else 4)
+    if alphabet < 100:
+        assert len(shard.rules) and len(shard.symbols) < 20_000
+
+
+def test_repair_refuses_unknown_ids():
+    with pytest.raises(ValueError, match="not below"):
+        token_store.pack_shard(np.arange(1), np.array([5, 9], np.uint32), np.array([0, 2]), token_store.layout(9))
+    with pytest.raises(ValueError, match="refers to itself"):
+        token_store.expansion_lengths(np.array([[1, 9]]), 9)
+
+
+@pytest.mark.parametrize("kind", ["run", "two", "copies", "words"])
+def test_repair_ends_when_no_pair_pays(kind):
+    """Afterwards no pair has as many uses, without overlap and within documents, as pay for a rule."""
+    rng = np.random.default_rng(7)
+    ids = {"run": np.zeros(5000), "two": np.tile([1, 2], 2500), "copies": np.tile(rng.integers(0, 900, 50), 100), "words": np.minimum(rng.zipf(1.3, 5000), 999)}[kind].astype(np.uint32)
+    offsets = np.array([0, 1700, 1700, 3333, 5000])
+    shard, form = grammar(ids, offsets, 1000)
+    uses, last = {}, {}
+    for row in range(4):
+        symbols = shard.symbols[shard.starts[row] : shard.starts[row + 1]].tolist()
+        for k, pair in enumerate(zip(symbols, symbols[1:], strict=False)):
+            if last.get(pair) != (row, k - 1):
+                uses[pair], last[pair] = uses.get(pair, 0) + 1, (row, k)
+    assert max(uses.values(), default=0) < form.least
 
 
 def test_store_tokens(spark, docs, corpus, nothing):
@@ -85,14 +118,14 @@ def test_store_tokens(spark, docs, corpus, nothing):
     assert token_store.store_tokens(nothing).count() == 0
 
 
-def brute_cuts(places, penalty, size):
+def brute_cuts(places, penalty, size, each=0):
     best = [0] + [10**9] * (len(places) - 1)
     for j in range(1, len(places)):
         for i in range(j):
             n = int(places[j] - places[i])
             if n <= size:
                 pad = 0 if n & (n - 1) == 0 else size - n
-                best[j] = min(best[j], best[i] + pad + int(penalty[j]))
+                best[j] = min(best[j], best[i] + pad + each + int(penalty[j]))
     return best[-1]
 
 
@@ -107,6 +140,24 @@ def test_monotone_queue_equals_all_cuts():
         sizes = np.diff(places[cuts])
         cost = sum(0 if s & (s - 1) == 0 else 32 - s for s in sizes.tolist()) + int(penalty[cuts[1:]].sum())
         assert sizes.max() <= 32 and cost == brute_cuts(places, penalty, 32)
+        dear = packing.best_cuts(places, penalty, 32, True, 6)
+        sizes = np.diff(places[dear])
+        cost = sum(6 if s & (s - 1) == 0 else 38 - s for s in sizes.tolist()) + int(penalty[dear[1:]].sum())
+        assert len(dear) <= len(cuts) and cost == brute_cuts(places, penalty, 32, 6)
+
+
+def test_sequences_are_nearly_as_few_as_can_be(spark):
+    """Whole windows: at most two in a hundred sequences beyond ids / 2048, and little padding."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").coalesce(1)
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        rows = packing.pack_documents(docs).groupBy("sequence_id").agg({"length": "sum"}).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    sizes = [r[1] for r in rows]
+    least = -(-sum(sizes) // 2048)
+    assert least <= len(sizes) <= 1.02 * least + 1
+    assert sum(2048 - s for s in sizes if s & (s - 1)) < 0.02 * sum(sizes)
 
 
 def test_pack_documents(docs, corpus, nothing):
