@@ -122,7 +122,7 @@ RANGE = 64 << 20
 def ranges(docs: DataFrame) -> int:
     """How many ranges of doc_id: the shuffle partitions, or more where the files read are
     larger than ``RANGE`` each.  Sizes are those of the plan, so nothing is read for it."""
-    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     known = size < 1 << 60  # what isn't known counts as nearly endless
     return max(1, partitions(docs.sparkSession), -(-size // RANGE) if known else 1)
 
