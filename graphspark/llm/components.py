@@ -13,10 +13,15 @@ from pyspark.sql import functions as F
 from .common import stored
 
 
+#: A node's edges meet its least neighbour in so many tasks, as a hub may have very many.
+SALTS = 8
+
+
 def _star(edges: DataFrame) -> DataFrame:
     """(u, v) rows to (u, v, m) with m the least of u's neighbours and u."""
     least = edges.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return edges.join(least, "u")
+    least = least.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    return edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(least, ["u", "salt"]).drop("salt")
 
 
 def components(edges: DataFrame) -> DataFrame:

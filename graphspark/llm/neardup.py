@@ -3,24 +3,30 @@
 1. Every document's set of shingles gives a fingerprint, a SuperMinHash signature and from
    it one hash per band.  Documents with equal sets form a class, which its least doc_id
    stands for; only these go on.
-2. In every bucket of a band the members are tied to the least one.  Components of these
-   ties are the candidate groups: two documents that share any bucket are in one group.
-3. Within a group all pairs are compared on their full sets, in blocks of ``BLOCK`` members:
-   a task holds two blocks, never a whole group, and returns only which members are
-   connected by true links.
+2. Within every bucket of a band the members' signatures are compared, in blocks of
+   ``BLOCK`` members: two members whose signatures agree in nearly as many slots as the
+   asked similarity promises are candidates.  A bucket returns only a forest of candidates,
+   never all pairs.  Members that share a bucket by chance part here, so chains of chance
+   don't join what has nothing in common.
+3. Components of the candidates are groups.  Within a group all pairs are compared on their
+   full sets, in blocks of ``BLOCK`` members: a task holds two blocks, never a whole group,
+   and returns only which members are connected by true links.
 4. Components of these give the result, which the classes hand to all their documents.
 
-``BANDS`` bands of ``ROWS`` rows miss a pair at a similarity of 0.8 with a probability of
-3e-6, and less above.
+Bands and rows follow from the similarity (``banding``): a pair at it shares no bucket with
+a probability of 1e-5 at most.  The slots that must agree are six standard deviations below
+what is expected at it.  Low similarities need more bands, up to ``SLOTS`` in all.
 
 Defined cases: a null or empty text, or one without words, has an empty set, is linked with
 nothing and stays; a text of fewer words than a shingle is one shingle; rows that share a
-doc_id share its component; a null doc_id counts as -1, and such rows always stay; an empty table gives an empty result; extra columns are not read
-by ``near_duplicates`` and are kept as they are by ``keep_first``.
+doc_id share its component; a null doc_id counts as -1, and such rows always stay; an empty
+table gives an empty result; extra columns are not read by ``near_duplicates`` and are kept
+as they are by ``keep_first``.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,15 +34,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_size, column_bytes, documents, release, stored
+from .common import binary_column, by_size, column_bytes, documents, partitions, release, stored
 from .components import components
 from .superminhash import band_hashes, signatures
 from .words import LOWER, mix, window_hashes, word_hashes, word_spans
 
-BANDS, ROWS, BLOCK, COLUMNS = 32, 5, 1024, 4096
+SLOTS, MISSED, BLOCK, COLUMNS = 160, 1e-5, 1024, 4096
 SLICE = 1 << 20
 
 
+def banding(share: int) -> tuple[int, int]:
+    """(bands, rows) for a similarity of share / 100: as many rows as fit ``SLOTS`` slots
+    while a pair at that similarity is missed with a probability of ``MISSED`` at most."""
+    if not 20 <= share <= 100:
+        raise ValueError("a similarity from 20 to 100 hundredths")
+    s = share / 100
+    fit = [(SLOTS // rows, rows) for rows in range(1, 9) if (1 - s**rows) ** (SLOTS // rows) <= MISSED]
+    return fit[-1]
+
+
+def least_equal(share: int, slots: int) -> int:
+    """Slots that agree at that similarity but for six standard deviations."""
+    s = share / 100
+    return max(1, math.floor(slots * s - 6 * math.sqrt(slots * s * (1 - s))))
+
+
 def shingle_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each text, ascending, and where each text's begin."""
     data, offsets = column_bytes(texts)
@@ -62,7 +84,8 @@ def shingle_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signed(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, the set's fingerprint (f1, f2) and its band hashes."""
+    """doc_id, n_shingles, the set's fingerprint (f1, f2), its band hashes and its signature,
+    a byte a slot."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -75,16 +98,19 @@ def signed(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
                     sums = np.zeros(len(values) + 1, np.uint64)
                     np.cumsum(mix(values ^ np.uint64(salt)), out=sums[1:])
                     prints.append((sums[offs[1:]] - sums[offs[:-1]]).view(np.int64))
-                marks = band_hashes(signatures(values, offs, bands * rows), bands).view(np.int64)
+                slots = signatures(values, offs, bands * rows)
+                marks = band_hashes(slots, bands).view(np.int64)
+                short = (mix(slots) >> np.uint64(56)).astype(np.uint8)
                 ends = np.zeros(len(n) + 1, np.int32)
                 np.cumsum(np.where(full, bands, 0), out=ends[1:])
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0), pa.array(n.astype(np.int64)), pa.array(prints[0]), pa.array(prints[1]),
                     pa.ListArray.from_arrays(pa.array(ends), pa.array(marks[full].reshape(-1))),
-                ], ["doc_id", "n_shingles", "f1", "f2", "bands"])
+                    binary_column(short, np.arange(len(n) + 1) * short.shape[1]),
+                ], ["doc_id", "n_shingles", "f1", "f2", "bands", "signature"])
             release()
 
-    return docs.mapInArrow(sign, "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>")
+    return docs.mapInArrow(sign, "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>, signature binary")
 
 
 def linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, share: int) -> np.ndarray:
@@ -164,16 +190,102 @@ def verify(members: DataFrame, share: int) -> DataFrame:
     return members.groupBy("grp", "i", "j").applyInArrow(links, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, share: int = 80, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
+def forest(near: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[list[int], list[int]]:
+    """Edges that connect what the matrix ``near`` of left and right members connects: at
+    most one for each member."""
+    u, v, seen, open_ = [], [], set(), np.ones(len(right), bool)
+    for start in range(len(left)):
+        if start in seen:
+            continue
+        seen.add(start)
+        queue = [start]
+        for i in queue:
+            fresh = np.flatnonzero(near[i] & open_)
+            open_[fresh] = False
+            u += [left[i]] * len(fresh)
+            v += right[fresh].tolist()
+            if len(fresh):
+                for k in np.flatnonzero(near[:, fresh].any(axis=1)).tolist():
+                    if k not in seen:
+                        seen.add(k)
+                        queue.append(k)
+                        u.append(left[k])
+                        v.append(int(right[fresh[np.argmax(near[k, fresh])]]))
+    return u, v
+
+
+def candidates(shared: DataFrame, slots: int, least: int) -> DataFrame:
+    """Ties (u, v) within buckets.  shared: bucket, i, j (a pair of blocks), block, rep and
+    signature, all rows of a bucket and pair of blocks in one partition and in a row."""
+
+    def ties(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def compared(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            keys, block, rep, marks = (np.concatenate(x) for x in zip(*rows, strict=True))
+            cuts = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(axis=1)))
+            sizes = np.diff(np.append(cuts, len(keys)))
+            u, v = [], []
+            two = cuts[sizes == 2]  # most buckets: all of them at once
+            same = (marks[two] == marks[two + 1]).sum(axis=1) >= least if len(two) else np.zeros(0, bool)
+            u.append(rep[two[same]])
+            v.append(rep[two[same] + 1])
+            for a, n in zip(cuts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
+                i, j = int(keys[a, 1]), int(keys[a, 2])
+                here = block[a : a + n]
+                left, right = a + np.flatnonzero(here == i), a + np.flatnonzero(here == j)
+                equal = np.zeros((len(left), len(right)), np.int16)
+                for k in range(slots):
+                    equal += marks[left, k][:, None] == marks[right, k][None, :]
+                near = equal >= least
+                if i == j:
+                    np.fill_diagonal(near, False)
+                x, y = forest(near, rep[left].tolist(), rep[right])
+                u.append(np.array(x, np.int64))
+                v.append(np.array(y, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], ["u", "v"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(5)]
+            keys = np.stack(columns[:3], axis=1).astype(np.int64)
+            marks = column_bytes(batch.column(5))[0].reshape(-1, slots)
+            rows = (keys, columns[3], columns[4], marks)
+            # the last bucket may go on in the next batch
+            ends = np.flatnonzero((keys != keys[-1]).any(axis=1))
+            cut = int(ends[-1]) + 1 if len(ends) else 0
+            if cut or (held and (held[-1][0][-1] != keys[0]).any()):
+                if not cut:
+                    yield from compared(held)
+                    held = [rows]
+                else:
+                    yield from compared([*held, tuple(x[:cut] for x in rows)])
+                    held = [tuple(x[cut:] for x in rows)]
+            else:
+                held.append(rows)
+        if held:
+            yield from compared(held)
+        release()
+
+    return shared.mapInArrow(ties, "u long, v long")
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, share: int = 80, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id reachable by links of similarity
     share / 100 or more) and kept, for every document."""
+    bands, rows = banding(share)
     docs = documents(docs)
     marked = stored(signed(docs, width, bands, rows), "signatures")
-    classes = marked.where("n_shingles > 0").groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"))
-    classes = stored(classes, "classes")
+    classes = marked.where("n_shingles > 0").groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("bands", "signature"), "doc_id").alias("_s"))
+    classes = stored(classes.select("f1", "f2", "n_shingles", "rep", "_s.bands", "_s.signature"), "classes")
     spread = classes.select("rep", F.explode("bands").alias("bucket"))
-    hubs = spread.groupBy("bucket").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub < last").select("bucket", "hub")
-    ties = spread.join(hubs, "bucket").where("rep <> hub").select(F.col("rep").alias("u"), F.col("hub").alias("v"))
+    hubs = spread.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket", F.ceil(F.col("n") / block).cast("int").alias("n_blocks"))
+    shared = spread.join(hubs, "bucket").withColumn("block", F.expr("cast(pmod(xxhash64(rep), n_blocks) as int)"))
+    shared = shared.hint("merge").join(classes.select("rep", "signature"), "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+    shared = shared.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "signature")
+    dealt = shared.repartition(partitions(docs.sparkSession), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    ties = candidates(dealt, bands * rows, least_equal(share, bands * rows))
     groups = components(ties)
     sizes = groups.groupBy("root").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("n_blocks"))
     parts = groups.join(sizes, "root").select(
@@ -194,7 +306,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, share: int = 80, bands: int
     dealt = dealt.select("grp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "shingles")
     roots = components(verify(dealt, share))
     named = classes.join(roots, classes.rep == roots.node, "left").select("f1", "f2", "n_shingles", F.coalesce("root", "rep").alias("class_root"))
-    out = marked.drop("bands").join(named, ["f1", "f2", "n_shingles"], "left")
+    out = marked.drop("bands", "signature").join(named, ["f1", "f2", "n_shingles"], "left")
     return out.select("doc_id", "n_shingles", F.coalesce("class_root", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 

@@ -120,6 +120,48 @@ def test_blocks_of_a_group(spark, docs, corpus):
     assert {r.doc_id: r.component_id for r in neardup.near_duplicates(docs, width=2, block=3).collect()} == want
 
 
+@pytest.mark.parametrize("share", range(20, 101, 5))
+def test_banding_finds_the_similarity(share):
+    bands, rows = neardup.banding(share)
+    assert bands * rows <= neardup.SLOTS and (1 - (share / 100) ** rows) ** bands <= neardup.MISSED
+    assert 1 <= neardup.least_equal(share, bands * rows) <= bands * rows
+
+
+@pytest.mark.parametrize("share", [50, 80, 95])
+def test_recall_just_above_the_threshold(spark, share):
+    """Pairs whose similarity lies at most five hundredths above the asked one."""
+    rng = np.random.default_rng(share)
+    rows, want, k = [], {}, 0
+    while len(want) < 200:
+        n = int(rng.integers(60, 250))
+        a = [f"w{x}" for x in rng.integers(0, 10**6, n)]
+        at, m = int(rng.integers(0, n)), int(rng.integers(1, n // 2))
+        b = [*a[:at], *(f"v{x}" for x in rng.integers(0, 10**6, m)), *a[at + m :]]
+        x, y = ({tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in (a, b))
+        if share <= 100 * len(x & y) / len(x | y) <= share + 5:
+            rows += [(k, " ".join(a)), (k + 1, " ".join(b))]
+            want[k + 1] = k
+            k += 2
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), share=share).collect()}
+    assert sum(got[b] == a for b, a in want.items()) >= 0.99 * len(want)
+
+
+def test_forest_connects_what_the_matrix_connects():
+    rng = np.random.default_rng(4)
+    for _ in range(50):
+        n = int(rng.integers(2, 30))
+        near = rng.random((n, n)) < 1.2 / n
+        near |= near.T
+        np.fill_diagonal(near, False)
+        u, v = neardup.forest(near, list(range(n)), np.arange(n))
+        assert len(u) <= 2 * n and all(near[a, b] for a, b in zip(u, v, strict=True))
+        reach = [near.astype(int) + np.eye(n, dtype=int), np.eye(n, dtype=int)]
+        for a, b in zip(u, v, strict=True):
+            reach[1][a, b] = reach[1][b, a] = 1
+        full = [np.linalg.matrix_power(r, n) > 0 for r in reach]
+        assert (full[0] == full[1]).all()
+
+
 def test_keep_first_keeps_columns(spark):
     text = " ".join(f"w{k}" for k in range(60))
     df = spark.createDataFrame([(3, text, "a"), (1, text + " more", "b"), (None, text, "c"), (4, None, "d"), (5, "", "e")], "doc_id long, text string, bands string")
