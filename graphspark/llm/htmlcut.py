@@ -1,8 +1,12 @@
 """HTML main text by minimum cut.
 
 A page is read into blocks of text.  A linear classifier over a block's place in the DOM,
-its length and its share of link text gives the cost of calling it content or boilerplate;
-these costs are the capacities from the source and to the sink.  Neighbouring blocks, and
+its length, its share of link text and its punctuation gives the cost of calling it content
+or boilerplate; these costs are the capacities from the source and to the sink.  Weights of
+places are given (``ELEMENT``, ``WORDS``).  Those of the text are fitted by logistic
+regression, drawn towards given ones, on at most ``SAMPLE`` pages: there, blocks whose place
+alone leaves no doubt are the labels, so that what is learnt from clearly marked pages
+helps where a page marks nothing.  Neighbouring blocks, and
 neighbours under one parent, are joined by edges whose capacities fall with their distance
 in the DOM.  The minimum cut, found by maximum flow, parts content from boilerplate with the
 least sum of classifier costs and broken edges.
@@ -18,6 +22,7 @@ import html as entities
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +31,8 @@ from .common import by_size, short_batches
 
 SLICE = 4 << 20
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+#: A tag whose quote is never closed ends at the next >.
+_TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+(?=>|\Z)|[^>]*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"']+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _NAME_PART = re.compile(r"[a-z]+")
 
@@ -55,7 +61,12 @@ WORDS = {
     **dict.fromkeys("footer copyright legal share sharing social masthead complementary contentinfo search".split(), -8.0),
     **dict.fromkeys("article content entry post story main maintext articlebody".split(), 1.5),
 }
-LONG, LINKED, BARE = 0.6, -4.0, -0.5
+#: What follows these in a class name is told to be beside, or absent from, the element.
+BESIDE = frozenset("with without has no hide".split())
+#: Given weights of the text: tens of words up to four, share of link text, under four words, end of a sentence.
+GIVEN = (0.6, -4.0, -0.5, 0.0)
+#: Pages to fit on, odds of a place that leave no doubt, and the pull to the given weights for each block.
+SAMPLE, SURE, PULL = 500, (3.0, -6.0), 0.05
 #: Edge capacities for neighbours in page order, and for neighbours under one parent.
 NEAR, SIBLING = 1.2, 0.8
 SCALE = 1000
@@ -68,17 +79,31 @@ class Block:
         self.text, self.path, self.odds, self.linked = text, path, odds, linked
 
 
+def name_odds(name: str, content: bool) -> float:
+    """Of one class, id or role.  The name of an article or main element that has a word for
+    content doesn't make it boilerplate by another word."""
+    found = []
+    for part in _NAME_PART.findall(name):
+        if part in BESIDE:
+            break
+        if part in WORDS:
+            found.append(WORDS[part])
+    if not found:
+        return 0.0
+    return max(found) if content and max(found) > 0 else min(found)
+
+
 def place_odds(tag: str, attributes: str) -> float:
     odds = ELEMENT.get(tag, 0.0)
     if attributes and tag not in ("html", "body"):
-        words = set()
+        names = []
         for name, a, b, c in _ATTRIBUTE.findall(attributes):
             name = name.lower()
             if name in ("class", "id", "role"):
-                words.update(_NAME_PART.findall((a or b or c).lower()))
+                names += (a or b or c).lower().split()
             elif name == "aria-hidden" and (a or b or c).lower() == "true":
                 odds -= 9.0
-        found = [WORDS[w] for w in words if w in WORDS]
+        found = [x for x in (name_odds(n, tag in ("article", "main")) for n in names) if x]
         if found:
             odds += min(found)
         if re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", attributes.lower()):
@@ -169,10 +194,37 @@ def blocks_of(page: str) -> list[Block]:
     return out
 
 
-def log_odds(block: Block) -> float:
-    """Of being content, by the classifier."""
+def text_features(block: Block) -> tuple[float, ...]:
     words = block.text.count(" ") + 1
-    return block.odds + LONG * min(words, 40) / 10 + LINKED * block.linked + (BARE if words < 4 else 0.0)
+    return min(words, 40) / 10, block.linked, float(words < 4), float(block.text[-1] in ".!?")
+
+
+def fit_weights(pages: list[str], given: tuple[float, ...] = GIVEN, pull: float = PULL) -> tuple[float, ...]:
+    """Weights of the text by logistic regression on blocks whose place is sure, drawn to the
+    given ones; without blocks of both kinds these are the result."""
+    x, y = [], []
+    for page in pages:
+        for block in blocks_of(page):
+            if block.odds >= SURE[0] or block.odds <= SURE[1]:
+                x.append(text_features(block))
+                y.append(block.odds > 0)
+    if not any(y) or all(y):
+        return given
+    x, y, start = np.array(x), np.array(y, float), np.array(given)
+    # each kind has half the weight; the constant is free, and left out afterwards: places give it
+    weight = np.where(y > 0, len(y) / 2 / y.sum(), len(y) / 2 / (len(y) - y.sum()))
+    x, pulls = np.column_stack([x, np.ones(len(y))]), np.append(np.full(len(given), pull * len(y)), 1e-6)
+    w = goal = np.append(start, 0.0)
+    for _ in range(25):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        gradient = x.T @ (weight * (p - y)) + pulls * (w - goal)
+        w = w - np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(pulls), gradient)
+    return tuple(w[:-1].tolist())
+
+
+def log_odds(block: Block, weights: tuple[float, ...] = GIVEN) -> float:
+    """Of being content, by the classifier."""
+    return block.odds + sum(w * x for w, x in zip(weights, text_features(block), strict=True))
 
 
 def distance(a: tuple[int, ...], b: tuple[int, ...]) -> int:
@@ -199,16 +251,55 @@ def edges_of(blocks: list[Block]) -> list[tuple[int, int, int]]:
 
 def minimum_cut(gain: list[int], edges: list[tuple[int, int, int]]) -> list[bool]:
     """Which nodes stay with the source.  A gain above 0 is the capacity from the source,
-    one below 0 that to the sink; edges have equal capacities both ways.  Shortest
-    augmenting paths are saturated until none is left."""
+    one below 0 that to the sink; edges have equal capacities both ways.
+
+    A node whose own capacity outweighs all its edges lies on that side in a minimum cut; it
+    is settled, and its edges add to the gains of its neighbours.  What is left falls into
+    parts, mostly very small, which ``augment`` cuts one by one.
+    """
+    n = len(gain)
+    left, side, held = list(gain), [None] * n, [0] * n
+    near: list[dict[int, int]] = [{} for _ in range(n)]
+    for a, b, c in edges:
+        if c > 0 and a != b:
+            near[a][b] = near[a].get(b, 0) + c
+            near[b][a] = near[b].get(a, 0) + c
+            held[a] += c
+            held[b] += c
+    todo = list(range(n))
+    while todo:
+        v = todo.pop()
+        if side[v] is not None or -held[v] < left[v] <= held[v]:
+            continue
+        side[v] = left[v] > 0
+        for u, c in near[v].items():
+            if side[u] is None:
+                held[u] -= c
+                left[u] += c if side[v] else -c
+                todo.append(u)
+    for start in range(n):
+        if side[start] is None:
+            part, number = [start], {start: 0}
+            for v in part:
+                for u in near[v]:
+                    if side[u] is None and u not in number:
+                        number[u] = len(part)
+                        part.append(u)
+            links = [(number[v], number[u], c) for v in part for u, c in near[v].items() if u in number and v < u]
+            for v, keep in zip(part, augment([left[v] for v in part], links), strict=True):
+                side[v] = keep
+    return side
+
+
+def augment(gain: list[int], edges: list[tuple[int, int, int]]) -> list[bool]:
+    """The same by maximum flow: shortest augmenting paths are saturated until none is left."""
     n = len(gain)
     to, room, near = [], [], [[] for _ in range(n)]
     for a, b, c in edges:
-        if c > 0:
-            near[a].append(len(to))
-            near[b].append(len(to) + 1)
-            to += [b, a]
-            room += [c, c]
+        near[a].append(len(to))
+        near[b].append(len(to) + 1)
+        to += [b, a]
+        room += [c, c]
     left = list(gain)
     sources = [i for i in range(n) if left[i] > 0]
     while True:
@@ -242,16 +333,24 @@ def minimum_cut(gain: list[int], edges: list[tuple[int, int, int]]) -> list[bool
             v = to[came[v] ^ 1]
 
 
-def main_text(page: str | None) -> str:
+def main_text(page: str | None, weights: tuple[float, ...] = GIVEN) -> str:
     if not page:
         return ""
     blocks = blocks_of(page)
-    keep = minimum_cut([int(SCALE * log_odds(b)) for b in blocks], edges_of(blocks))
+    keep = minimum_cut([int(SCALE * log_odds(b, weights)) for b in blocks], edges_of(blocks))
     return "\n".join(b.text for b, k in zip(blocks, keep, strict=True) if k)
 
 
-def extract_main_text(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
-    """The columns of ``keep`` and the main text of every page."""
+def fit(pages: DataFrame, html_col: str = "html", sample: int = SAMPLE) -> tuple[float, ...]:
+    """Weights of the text from ``sample`` pages, those with the least hash of their html."""
+    some = pages.select(F.col(html_col).alias("html"), F.xxhash64(html_col).alias("h")).where("length(html) BETWEEN 1 AND 100000")
+    return fit_weights([r.html for r in some.orderBy("h", "html").limit(sample).collect()])
+
+
+def extract_main_text(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url"), weights: tuple[float, ...] = GIVEN) -> DataFrame:
+    """The columns of ``keep`` (none may be called text) and the main text of every page."""
+    if {"text", "_html"}.intersection(keep):
+        raise ValueError("a kept column has the name of the result")
     short_batches(pages.sparkSession)
     chosen = pages.select(*keep, F.coalesce(F.col(html_col), F.lit("")).alias("_html"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1])
@@ -259,7 +358,7 @@ def extract_main_text(pages: DataFrame, html_col: str = "html", keep: tuple[str,
     def extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in by_size(whole, "_html", SLICE):
-                texts = [main_text(x) for x in batch.column(batch.num_columns - 1).to_pylist()]
+                texts = [main_text(x, weights) for x in batch.column(batch.num_columns - 1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], [*batch.schema.names[:-1], "text"])
 
     return chosen.mapInArrow(extracted, f"{fields}, text string")

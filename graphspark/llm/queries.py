@@ -55,7 +55,8 @@ def op8_ordinal_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_html_min_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = htmlcut.extract_main_text(table(spark, sf_dir, "pages"))
+    pages = table(spark, sf_dir, "pages")
+    texts = htmlcut.extract_main_text(pages, weights=htmlcut.fit(pages))
     return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 

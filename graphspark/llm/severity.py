@@ -11,12 +11,12 @@ Grades of training documents: 0 clean; toxic ones are parted by the sum of their
 the median into 1 (mild) and 2 (severe).  The expected grade is the severity; a document
 is toxic if P(grade >= 1) reaches one half.
 
-Training reads at most ``SAMPLE`` labelled documents of each class, the ones with the least
-hash of doc_id, and keeps at most ``MOST`` features, so what reaches the driver and the
+Training reads at most ``SAMPLE`` labelled toxic documents and twice as many clean ones of
+those that ``docs`` holds, the ones with the least hash of doc_id, and keeps at most ``MOST`` features, so what reaches the driver and the
 workers is bounded whatever the size of the input.  Every document is scored, whole.
 
 Defined cases: a null or empty text has no feature and the severity of the bare thresholds;
-repeated rows are scored each; with no toxic or no clean label no document is toxic and
+repeated rows are scored each; a null doc_id counts as -1 and is never trained on; with no toxic or no clean label no document is toxic and
 severity is 0; labels of unknown documents and null labels are not used; extra columns are
 not read.
 """
@@ -104,36 +104,66 @@ def features(text: str) -> list[str]:
     return out
 
 
-def fit_ordinal(x: np.ndarray, y: np.ndarray, grades: int = GRADES, ridge: float = 0.1, steps: int = 500) -> tuple[np.ndarray, np.ndarray]:
+@dataclass
+class Sparse:
+    """A matrix of n rows and d columns by its entries."""
+
+    row: np.ndarray
+    column: np.ndarray
+    value: np.ndarray
+    n: int
+    d: int
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, self.value * w[self.column], self.n)
+
+    def transposed_times(self, g: np.ndarray) -> np.ndarray:
+        return np.bincount(self.column, self.value * g[self.row], self.d)
+
+
+def thresholds_of(par: np.ndarray, d: int) -> np.ndarray:
+    """The first threshold, and the others by the logarithms of the gaps between them."""
+    return par[d] + np.concatenate([[0], np.cumsum(np.exp(par[d + 1 :]))])
+
+
+def loss_and_gradient(par: np.ndarray, x: Sparse, y: np.ndarray, weight: np.ndarray, ridge: float) -> tuple[float, np.ndarray]:
+    """The weighted negative log likelihood with a ridge on the weights, and its gradient."""
+    d = x.d
+    th, z = thresholds_of(par, d), x.times(par[:d])
+    ext = np.concatenate([[-np.inf], th, [np.inf]])
+    hi, lo = ext[y + 1] - z, ext[y] - z
+    s_hi, s_lo = 1 / (1 + np.exp(-np.clip(hi, -50, 50))), 1 / (1 + np.exp(-np.clip(lo, -50, 50)))
+    s_hi[np.isposinf(hi)], s_lo[np.isneginf(lo)] = 1.0, 0.0
+    p = np.maximum(s_hi - s_lo, 1e-12)
+    d_hi, d_lo = s_hi * (1 - s_hi) / p * weight, s_lo * (1 - s_lo) / p * weight
+    g_th = np.bincount(y, d_lo, len(th) + 1)[1:] - np.bincount(y, d_hi, len(th) + 1)[:-1]
+    # a gap moves its own threshold and all above it
+    above = np.cumsum(g_th[::-1])[::-1]
+    gradient = np.concatenate([x.transposed_times(d_hi - d_lo) + ridge * par[:d], above[:1], above[1:] * np.exp(par[d + 1 :])])
+    return float(-(weight * np.log(p)).sum() + ridge / 2 * (par[:d] ** 2).sum()), gradient
+
+
+def fit_ordinal(x: Sparse, y: np.ndarray, grades: int = GRADES, ridge: float = 0.1, steps: int = 500) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ordered thresholds of most posterior likelihood, by gradient steps with
-    adapted rates.  Gaps between thresholds are kept positive through their logarithms."""
-    n, d = x.shape
+    adapted rates; rare grades weigh more."""
+    n, d = x.n, x.d
     share = np.clip(np.cumsum(np.bincount(y, minlength=grades))[:-1] / n, 1e-3, 1 - 1e-3)
     start = np.log(share / (1 - share))
     par = np.concatenate([np.zeros(d), [start[0]], np.log(np.maximum(np.diff(start), 1e-2))])
     m, v = np.zeros_like(par), np.zeros_like(par)
-    class_weight = (n / grades / np.maximum(np.bincount(y, minlength=grades), 1))[y] ** 0.8
+    weight = (n / grades / np.maximum(np.bincount(y, minlength=grades), 1))[y] ** 0.8
     for t in range(1, steps + 1):
-        w, gaps = par[:d], np.exp(par[d + 1 :])
-        th = par[d] + np.concatenate([[0], np.cumsum(gaps)])
-        z = x @ w
-        ext = np.concatenate([[-np.inf], th, [np.inf]])
-        hi, lo = ext[y + 1] - z, ext[y] - z
-        s_hi, s_lo = 1 / (1 + np.exp(-np.clip(hi, -50, 50))), 1 / (1 + np.exp(-np.clip(lo, -50, 50)))
-        s_hi[np.isposinf(hi)], s_lo[np.isneginf(lo)] = 1.0, 0.0
-        p = np.maximum(s_hi - s_lo, 1e-12)
-        d_hi, d_lo = s_hi * (1 - s_hi) / p * class_weight, s_lo * (1 - s_lo) / p * class_weight
-        g_th = np.array([-(d_hi[y == k].sum()) + d_lo[y == k + 1].sum() for k in range(grades - 1)])
-        g = np.concatenate([x.T @ (d_hi - d_lo) + ridge * w, [g_th.sum()], [g_th[k + 1 :].sum() * gaps[k] for k in range(grades - 2)]]) / n
+        g = loss_and_gradient(par, x, y, weight, ridge)[1] / n
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         par = par - 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
-    return par[:d], par[d] + np.concatenate([[0], np.cumsum(np.exp(par[d + 1 :]))])
+    return par[:d], thresholds_of(par, d)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", sample: int = SAMPLE, most: int = MOST) -> Severity:
-    """Fits on at most ``sample`` labelled documents of each class."""
+    """Fits on at most ``sample`` toxic and ``2 * sample`` clean labelled documents."""
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull())
     marks = marks.groupBy("doc_id").agg(F.max("y").alias("y")).withColumn("h", F.xxhash64("doc_id"))
+    marks = marks.join(docs.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_semi")
     chosen = marks.where("y = 1").orderBy("h", "doc_id").limit(sample).unionByName(marks.where("y = 0").orderBy("h", "doc_id").limit(2 * sample)).select("doc_id", "y")
     # at most 3 * sample rows of two numbers
     picked = {r.doc_id: r.y for r in chosen.collect()}
@@ -188,11 +218,10 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", sample: in
 
     # at most 3 * sample short vectors
     rows = labelled.mapInArrow(vectors, "y int, at array<int>, times array<int>").collect()
-    x, y = np.zeros((len(rows), len(names)), np.float32), np.zeros(len(rows), np.int64)
-    dose = np.zeros(len(rows))
-    for r, row in enumerate(rows):
-        x[r, row.at] = np.log1p(row.times)
-        y[r], dose[r] = row.y, x[r].sum()
+    y = np.array([row.y for row in rows], np.int64)
+    where = np.repeat(np.arange(len(rows)), [len(row.at) for row in rows])
+    x = Sparse(where, np.array([k for row in rows for k in row.at], np.int64), np.log1p(np.array([n for row in rows for n in row.times], float)), len(rows), len(names))
+    dose = x.times(np.ones(len(names)))
     bad = y == 1
     y[bad & (dose > np.median(dose[bad]))] = 2
     weights, thresholds = fit_ordinal(x, y)

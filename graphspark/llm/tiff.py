@@ -43,6 +43,8 @@ UNIT, ROW, PAGE_ROWS, STRIP_ROWS, TILE = 576, 64, 256, 64, 64
 #: (compression, tiled, predictor) by payload size, in turn.
 LAYOUTS = [(DEFLATE, False, 2), (PACKBITS, False, 1), (DEFLATE, True, 2), (LZW, False, 2), (DEFLATE, True, 1), (PACKBITS, True, 1), (LZW, True, 1)]
 SLICE = 4 << 20
+#: A directory that declares a larger page gets an error: its memory would have no bound.
+MOST_SAMPLES = 1 << 28
 
 PAGE_FIELDS = [
     ("page", pa.int32()), ("n_pages", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("bits", pa.int32()), ("samples", pa.int32()),
@@ -295,8 +297,10 @@ def decode_page(media: bytes, order: str, tags: dict[int, tuple[int, ...]]) -> d
     bits, compression, predictor = one(BITS, 1), one(COMPRESSION, 1), one(PREDICTOR, 1)
     if bits not in (1, 2, 4, 8, 16, 32) or any(b != bits for b in tags.get(BITS, ())):
         raise ValueError(f"{bits} bits a sample are not supported")
-    if predictor not in ((1, 2) if bits >= 8 else (1,)):
-        raise ValueError(f"predictor {predictor} is not supported")
+    if predictor not in {8: (1, 2), 16: (1, 2, 3), 32: (1, 2, 3)}.get(bits, (1,)):
+        raise ValueError(f"predictor {predictor} is not supported for {bits} bits")
+    if width * height * samples > MOST_SAMPLES:
+        raise ValueError(f"more than {MOST_SAMPLES} samples in a page")
     kind = np.dtype(f"{order}u{max(1, bits // 8)}")
     tiled = TILE_OFFSETS in tags
     wide, high = (tags[TILE_WIDTH][0], tags[TILE_LENGTH][0]) if tiled else (width, min(one(ROWS_PER_STRIP, height), height))
@@ -319,6 +323,10 @@ def decode_page(media: bytes, order: str, tags: dict[int, tuple[int, ...]]) -> d
             # rows begin on a byte
             each = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(rows, line), axis=1)[:, : wide * deep * bits].reshape(rows, wide, deep, bits)
             block = each @ (1 << np.arange(bits, dtype=np.uint8)[::-1])
+        elif predictor == 3:
+            # bytes of a row are differenced, the most significant ones of all samples first
+            planes_of = np.cumsum(np.frombuffer(raw, np.uint8).reshape(rows, -1, deep), axis=1, dtype=np.uint8).reshape(rows, bits // 8, wide * deep)
+            block = np.ascontiguousarray(planes_of.transpose(0, 2, 1)).view(f">u{bits // 8}").reshape(rows, wide, deep).astype(kind)
         else:
             block = np.frombuffer(raw, kind).reshape(rows, wide, deep)
         if predictor == 2:
@@ -347,14 +355,17 @@ def decode_pages(media: bytes | None) -> Iterator[dict]:
             continue
         try:
             row |= decode_page(media, order, tags)
-        except (ValueError, KeyError, struct.error, zlib.error) as e:
+        except Exception as e:  # noqa: BLE001  broken media fail in many ways, and a page must not fail the job
             row["error"] = f"{type(e).__name__}: {e}"
         yield row
 
 
 def tiff_pages(media: DataFrame, media_col: str = "media", keep: list[str] = ()) -> DataFrame:
     """One row per page, in order, the pages of a row together: the columns of ``keep``
-    (none may have the name of a page column) and those of ``PAGE_DDL``."""
+    (one with the name of a page column is refused) and those of ``PAGE_DDL``."""
+    clash = {"_media", *(name for name, _ in PAGE_FIELDS)}.intersection(keep)
+    if clash:
+        raise ValueError(f"columns {sorted(clash)} have names of page columns")
     chosen = media.select(*keep, F.col(media_col).alias("_media"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1])
 
