@@ -69,6 +69,57 @@ def test_bad_media(spark):
     assert tiff.tiff_pages(media.limit(0), keep=["doc_id"]).count() == 0
 
 
+def patched(media: bytes, tag: int, count: int | None = None, value: int | None = None, kind: int | None = None) -> bytes:
+    """The first directory's entry of a tag with another count, value or type."""
+    out = bytearray(media)
+    (at,) = struct.unpack_from("<I", out, 4)
+    for k in range(struct.unpack_from("<H", out, at)[0]):
+        place = at + 2 + 12 * k
+        if struct.unpack_from("<H", out, place)[0] == tag:
+            for x, form, off in ((kind, "<H", 2), (count, "<I", 4), (value, "<I", 8)):
+                if x is not None:
+                    struct.pack_into(form, out, place + off, x)
+    return bytes(out)
+
+
+def test_every_broken_tag_is_told(spark):
+    """Counts of nothing, values of nothing, values beyond the file, huge pages, and noise."""
+    good, rng = tiff.encode_tiff(b"x" * 5760), np.random.default_rng(3)
+    broken = [patched(good, tag, count=c, value=v) for tag in (256, 257, 258, 259, 273, 277, 278, 279, 317, 322, 323, 324, 325) for c, v in ((0, None), (None, 0), (1, 2**31), (2**31, None))]
+    for _ in range(200):
+        noise = bytearray(good)
+        for place in rng.integers(0, len(good), 12):
+            noise[place] = rng.integers(0, 256)
+        broken.append(bytes(noise))
+    for media in broken:
+        for page in tiff.decode_pages(media):
+            assert page["error"] is not None or page["pixels"] is not None
+    assert any(p["error"] for p in tiff.decode_pages(patched(good, 278, value=0)))
+    rows = tiff.tiff_pages(spark.createDataFrame([(k, m) for k, m in enumerate(broken[:40])], "doc_id long, media binary"), keep=["doc_id"]).collect()
+    assert {r.doc_id for r in rows} == set(range(40))
+    with pytest.raises(ValueError, match="page columns"):
+        tiff.tiff_pages(spark.createDataFrame([(b"", 1)], "media binary, width int"), keep=["width"])
+
+
+@pytest.mark.parametrize(("bits", "samples", "order"), [(32, 1, "<"), (32, 3, ">"), (16, 2, "<")])
+def test_floating_point_predictor(bits, samples, order):
+    """Written by hand: bytes by significance, then differenced, one row after the other."""
+    values = np.random.default_rng(bits + samples).normal(0, 100, (3, 5, samples)).astype(f"f{bits // 8}")
+    rows = []
+    for row in values:
+        planes = row.reshape(-1).astype(f">f{bits // 8}").view(np.uint8).reshape(-1, bits // 8).T.reshape(-1)
+        rows.append(bytes((int(b) - (int(planes[k - samples]) if k >= samples else 0)) % 256 for k, b in enumerate(planes)))
+    data = b"".join(rows)
+    at = 8 + len(data) + len(data) % 2
+    entries = [(256, 3, 1, 5), (257, 3, 1, 3), (258, 3, 1, bits), (259, 3, 1, 1), (262, 3, 1, 1), (273, 4, 1, 8), (277, 3, 1, samples), (278, 3, 1, 3), (279, 4, 1, len(data)), (317, 3, 1, 3), (339, 3, 1, 3)]
+    pack = lambda kind, value: struct.pack(order + ("HH" if kind == 3 else "I"), *((value, 0) if kind == 3 else (value,)))
+    body = struct.pack(order + "H", len(entries)) + b"".join(struct.pack(order + "HHI", t, k, n) + pack(k, v) for t, k, n, v in entries) + b"\0" * 4
+    head = {"<": b"II", ">": b"MM"}[order] + struct.pack(order + "HI", 42, at)
+    (page,) = tiff.decode_pages(head + data + b"\0" * (len(data) % 2) + body)
+    assert page["error"] is None
+    assert (np.frombuffer(page["pixels"], f"{order}f{bits // 8}").reshape(values.shape) == values).all()
+
+
 def test_quality_against_plain_python(spark, docs, corpus):
     import re
 
@@ -127,6 +178,38 @@ def test_severity_on_held_out(spark):
     assert kept.columns == docs.columns and kept.count() == sum(not r.toxic for r in got.values())
 
 
+def test_likelihood_and_gradient():
+    """Against the definition of the model, written out, and finite differences."""
+    rng = np.random.default_rng(6)
+    dense = rng.random((40, 5)) * (rng.random((40, 5)) < 0.4)
+    row, column = np.nonzero(dense)
+    x, y, weight = severity.Sparse(row, column, dense[row, column], 40, 5), rng.integers(0, 4, 40), rng.random(40) + 0.5
+    par = rng.normal(0, 1, 5 + 3)
+
+    def loss(par):
+        th = [par[5], par[5] + np.exp(par[6]), par[5] + np.exp(par[6]) + np.exp(par[7])]
+        out = 0.15 * (par[:5] ** 2).sum()
+        for k in range(40):
+            below = [0.0, *(1 / (1 + np.exp(dense[k] @ par[:5] - t)) for t in th), 1.0]
+            out -= weight[k] * np.log(below[y[k] + 1] - below[y[k]])
+        return out
+
+    value, gradient = severity.loss_and_gradient(par, x, y, weight, 0.3)
+    assert abs(value - loss(par)) < 1e-9
+    steps = [(loss(par + 1e-5 * e) - loss(par - 1e-5 * e)) / 2e-5 for e in np.eye(8)]
+    assert np.allclose(gradient, steps, atol=1e-6)
+    weights, thresholds = severity.fit_ordinal(x, y, 4)
+    assert len(weights) == 5 and (np.diff(thresholds) > 0).all()
+
+
+def test_labels_of_unknown_documents_take_no_place(spark):
+    text = lambda k: " ".join(f"w{k}{j}" for j in range(9)) + (" scumbag vilefoo" if k % 2 else " kind")
+    docs = spark.createDataFrame([(k, text(k)) for k in range(60)], "doc_id long, text string")
+    labels = spark.range(0, 40_000).selectExpr("id AS doc_id", "CAST(id % 2 AS INT) AS toxic")
+    model = severity.fit(docs, labels, sample=30)
+    assert {r.doc_id for r in severity.score(docs, model).collect() if r.toxic} == {k for k in range(60) if k % 2}
+
+
 def test_severity_without_labels(spark, docs):
     model = severity.fit(docs, spark.createDataFrame([(1, 0), (None, 1), (2, None)], "doc_id long, toxic int"))
     rows = severity.score(docs, model).collect()
@@ -149,6 +232,58 @@ def test_main_text():
         assert htmlcut.main_text(page) == ""
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ('<article class="article-with-sidebar"><p>These are the words of the article.</p></article>', "These are the words of the article."),
+        ('<article class="story-alert-box"><p>These are the words of the article.</p></article>', "These are the words of the article."),
+        ('<article class="comment"><p>A reader has this to say about it.</p></article>', ""),
+        ('<div class="content-sidebar"><p>Other things that are worth a look.</p></div>', ""),
+        ("<!--><article><p>These are the words of the article.</p></article>", "These are the words of the article."),
+        ("<!-- a --!><article><p>These are the words of the article.</p></article>", "These are the words of the article."),
+        ('<article><p class="x>These are the words of the article.</p></article>', "These are the words of the article."),
+    ],
+)
+def test_odd_markup(page, want):
+    assert htmlcut.main_text(f"<html><body>{page}</body></html>") == want
+
+
+def test_large_pages_take_linear_time():
+    import time
+
+    took = []
+    for n in (2000, 16_000):
+        page = "".join(f"<div><p>Block {k} has some words in it</p></div>" if k % 3 else f"<div><a href=x>link {k}</a></div>" for k in range(n))
+        began = time.process_time()
+        htmlcut.main_text(page)
+        took.append(time.process_time() - began)
+    assert took[1] < 32 * took[0]
+
+
+def test_fitted_weights():
+    """Drawn to what was given; link text tells boilerplate where links are menus."""
+    nav = "".join(f"<li><a href=x>Place {k}</a></li>" for k in range(6))
+    page = f"<nav><ul>{nav}</ul></nav><article><p>This is a long paragraph of many words that goes on for a while.</p></article>"
+    fitted = htmlcut.fit_weights([page] * 20)
+    assert fitted[1] < htmlcut.GIVEN[1] and fitted[0] > 0
+    assert htmlcut.fit_weights([page] * 20, pull=1e6) == pytest.approx(htmlcut.GIVEN, abs=1e-3)
+    assert htmlcut.fit_weights([]) == htmlcut.fit_weights(["<nav>x</nav>"]) == htmlcut.GIVEN
+
+
+def test_cut_of_real_blocks_against_all_labellings():
+    """Costs and edges of whole small pages."""
+    for k in range(3):
+        page = PAGE.replace("<header", "<div><p>Some words.</p></div>" * k + "<header")
+        blocks = htmlcut.blocks_of(page)[:13]
+        gain, edges = [int(htmlcut.SCALE * htmlcut.log_odds(b)) for b in blocks], htmlcut.edges_of(blocks)
+        n = len(gain)
+        every = (np.arange(2**n)[:, None] >> np.arange(n)) & 1 == 1
+        g = np.array(gain)
+        costs = np.where(every, np.maximum(-g, 0), np.maximum(g, 0)).sum(axis=1) + sum(c * (every[:, a] != every[:, b]) for a, b, c in edges)
+        keep = htmlcut.minimum_cut(gain, edges)
+        assert costs[sum(1 << i for i, x in enumerate(keep) if x)] == costs.min()
+
+
 def test_minimum_cut_against_all_labellings():
     rng = np.random.default_rng(4)
     for _ in range(60):
@@ -160,6 +295,35 @@ def test_minimum_cut_against_all_labellings():
         assert cost(htmlcut.minimum_cut(gain, edges)) == least
 
 
+CLASH = ["doc_id", "text", "ids", "start", "length", "kept", "bucket", "block", "media", "y", "h", "part", "shard", "n_words", "component_id", "signature", "grade", "_media", "_html"]
+
+
+def test_clashing_columns_and_odd_rows(spark):
+    """Columns with the names of results and inner columns, null ids, nulls, ties and empty
+    texts: every operator gives a result for each row it is asked about."""
+    text = " ".join(f"word{k}" for k in range(60))
+    extra = CLASH[2:]
+    rows = [(d, t, *[7] * len(extra)) for d, t in [(1, text), (1, text), (None, text), (2, None), (3, ""), (4, "x " * 3000)]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{c}` int" for c in extra))
+    labels = spark.createDataFrame([(1, 0, 5), (4, 1, 5), (None, 1, 5)], "doc_id long, toxic int, h int")
+    from graphspark.llm import bpe, lpf, neardup, packing, substrings, token_store
+
+    assert tiff.page_digests(tiff.tiff_pages(tiff.encode_documents(docs).selectExpr("*", "length(media) AS media_bytes", "sha2(media, 256) AS media_sha256"), "media", ["doc_id", "n_bytes", "media_bytes", "media_sha256"])).count() == 6
+    assert quality.judge(docs).count() == 6
+    assert substrings.dedup_passages(docs, counts=False).columns == docs.columns
+    assert token_store.store_tokens(docs).count() == 6
+    assert lpf.dedup_bytes(docs).count() == 6
+    assert neardup.near_duplicates(docs).count() == 6
+    assert neardup.keep_first(docs).columns == docs.columns
+    assert {r.doc_id for r in packing.pack_documents(docs).collect()} == {-1, 1, 2, 3, 4}
+    assert severity.score(docs, severity.fit(docs, labels)).count() == 6
+    assert bpe.bpe_encode(docs, decode=True).count() == 6
+    pages = docs.selectExpr("*", "doc_id AS page_id", "text AS url", "text AS html")
+    assert htmlcut.extract_main_text(pages).count() == 6
+    with pytest.raises(ValueError, match="name of the result"):
+        htmlcut.extract_main_text(pages, keep=("text",))
+
+
 def test_op9_frame(spark):
     df = spark.createDataFrame([(1, "u", PAGE, "x"), (2, None, None, "y"), (1, "u", PAGE, "x")], "page_id long, url string, html string, text string")
     rows = htmlcut.extract_main_text(df).collect()
