@@ -204,10 +204,10 @@ def test_likelihood_and_gradient():
 
 def test_labels_of_unknown_documents_take_no_place(spark):
     text = lambda k: " ".join(f"w{k}{j}" for j in range(9)) + (" scumbag vilefoo" if k % 2 else " kind")
-    docs = spark.createDataFrame([(k, text(k)) for k in range(60)], "doc_id long, text string")
+    docs = spark.createDataFrame([(k, text(k)) for k in range(400)], "doc_id long, text string")
     labels = spark.range(0, 40_000).selectExpr("id AS doc_id", "CAST(id % 2 AS INT) AS toxic")
-    model = severity.fit(docs, labels, sample=30)
-    assert {r.doc_id for r in severity.score(docs, model).collect() if r.toxic} == {k for k in range(60) if k % 2}
+    model = severity.fit(docs, labels, sample=200)
+    assert {r.doc_id for r in severity.score(docs, model).collect() if r.toxic} == {k for k in range(400) if k % 2}
 
 
 def test_severity_without_labels(spark, docs):
