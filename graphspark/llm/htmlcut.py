@@ -342,9 +342,12 @@ def main_text(page: str | None, weights: tuple[float, ...] = GIVEN) -> str:
 
 
 def fit(pages: DataFrame, html_col: str = "html", sample: int = SAMPLE) -> tuple[float, ...]:
-    """Weights of the text from ``sample`` pages, those with the least hash of their html."""
-    some = pages.select(F.col(html_col).alias("html"), F.xxhash64(html_col).alias("h")).where("length(html) BETWEEN 1 AND 100000")
-    return fit_weights([r.html for r in some.orderBy("h", "html").limit(sample).collect()])
+    """Weights of the text from about ``sample`` pages of at most 100,000 characters, those
+    whose hash lies below a share of its range; never more than twice as many."""
+    share = min(1.0, sample / max(pages.count(), 1))
+    some = pages.select(F.col(html_col).alias("html")).where("length(html) BETWEEN 1 AND 100000")
+    some = some.where(F.pmod(F.xxhash64("html"), F.lit(2**31)) < int(share * 2**31)).limit(2 * sample)
+    return fit_weights(sorted(r.html for r in some.collect()))
 
 
 def extract_main_text(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url"), weights: tuple[float, ...] = GIVEN) -> DataFrame:
