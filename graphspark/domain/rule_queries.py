@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import temporal
 from ..operators.rules import SCHEMA_RULES, Rule, forward_chain
 from ..registry import query
-from ..sources.mapping import table
+from ..sources.mapping import quads, table
 
 
 def facts(spark: SparkSession, rows: list[tuple[str, str, str]]) -> DataFrame:
@@ -23,9 +23,10 @@ def schema_entailment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("E3 E4", "SELECT 'supplier/' || l_suppkey AS s, 'Provider' AS o FROM lineitem GROUP BY 1 UNION ALL SELECT 'part/' || l_partkey, 'Provided' FROM lineitem GROUP BY 1")
 def rdfs_domain_range_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = table(spark, sf_dir, "lineitem")
-    ends = line.select(F.explode(F.array(F.struct(F.concat(F.lit("supplier/"), "l_suppkey").alias("s"), F.lit("Provider").alias("o")), F.struct(F.concat(F.lit("part/"), "l_partkey").alias("s"), F.lit("Provided").alias("o")))).alias("t"))
-    return ends.select("t.s", "t.o").distinct()
+    """Types that follow from the domain and the range of a property, by the rule engine."""
+    q = quads(spark, sf_dir, {"lineitem"}).where("p = 'canProvide'").select("s", "p", F.col("o_key").alias("o"))
+    given = q.unionByName(facts(spark, [("canProvide", "domain", "Provider"), ("canProvide", "range", "Provided")]))
+    return forward_chain(given, [r for r in SCHEMA_RULES if r.name in ("domain", "range")]).select("s", "o")
 
 
 @query("E7 E8 E13", "SELECT * FROM (VALUES ('b', 'partOf', 'a'), ('a', 'near', 'c'), ('m', 'locatedIn', 'site'), ('m', 'locatedIn', 'plant')) v(s, p, o)")
@@ -163,31 +164,39 @@ def parameterised_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.where("u > lim")
 
 
-_IV = """SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate, l_quantity, l_discount, l_tax) AS id, l_suppkey AS r, least(o_orderdate, l_shipdate) AS s, greatest(o_orderdate, l_shipdate) AS e
-FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_shipdate >= TIMESTAMP '1995-01-01' AND l_shipdate < TIMESTAMP '1995-02-01'"""
+_ALL = "SELECT l_suppkey AS r, least(o_orderdate, l_shipdate) AS s, greatest(o_orderdate, l_shipdate) AS e FROM lineitem JOIN orders ON o_orderkey = l_orderkey"
+_IV = f"SELECT row_number() OVER () AS id, * FROM ({_ALL} WHERE l_shipdate >= TIMESTAMP '1995-01-01' AND l_shipdate < TIMESTAMP '1995-02-01')"
+#: Pairs by sums: starts before an end less ends by a start, with empty intervals put right.
+_COUNTED = """WITH i AS ({rows}), st AS (SELECT {key} t, sum(n) OVER ({part} ORDER BY t) AS n FROM (SELECT {key} s AS t, count(*) AS n FROM i GROUP BY {key} s)), en AS (SELECT {key} t, sum(n) OVER ({part} ORDER BY t) AS n FROM (SELECT {key} e AS t, count(*) AS n FROM i GROUP BY {key} e)),
+dg AS (SELECT {key} s AS t, count(*) AS n FROM i WHERE s = e GROUP BY {key} s), a AS (SELECT i.*, st.n AS begun FROM i ASOF LEFT JOIN st ON {on_st} i.e > st.t), b AS (SELECT a.*, en.n AS ended FROM a ASOF LEFT JOIN en ON {on_en} a.s >= en.t)
+SELECT {name} CAST((sum(coalesce(begun, 0) - coalesce(ended, 0) + CASE WHEN b.s = b.e THEN dg.n ELSE -1 END)) / 2 AS DECIMAL(38,0)) AS pairs FROM b LEFT JOIN dg ON {on_dg} b.s = dg.t {group}"""
 
 
 def intervals(spark: SparkSession, sf_dir: str, month: bool = True) -> DataFrame:
+    """From the earlier to the later of order and shipment, with a number among those of the supplier."""
     line = table(spark, sf_dir, "lineitem")
     if month:
         line = line.where("l_shipdate >= TIMESTAMP_NTZ '1995-01-01' AND l_shipdate < TIMESTAMP_NTZ '1995-02-01'")
     j = line.join(table(spark, sf_dir, "orders"), F.col("o_orderkey") == F.col("l_orderkey"))
-    return j.select("l_suppkey", F.least("o_orderdate", "l_shipdate").cast("timestamp").alias("start"), F.greatest("o_orderdate", "l_shipdate").cast("timestamp").alias("end"), F.xxhash64(*[F.col(c) for c in line.columns]).alias("id"))
+    return j.select("l_suppkey", F.least("o_orderdate", "l_shipdate").cast("timestamp").alias("start"), F.greatest("o_orderdate", "l_shipdate").cast("timestamp").alias("end"))
 
 
 @query("J9 R6 T3", f"WITH i AS ({_IV}) SELECT a.r AS supplier, count(*) AS pairs FROM i a JOIN i b ON a.r = b.r AND a.id < b.id AND a.s < b.e AND a.e > b.s GROUP BY a.r")
 def interval_conflicts_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return temporal.overlapping(intervals(spark, sf_dir), "l_suppkey").groupBy(F.col("l_suppkey").alias("supplier")).agg(F.count("*").alias("pairs"))
+    """The conflicts of one month's shipments, as pairs: the month is what is asked for.
+    ``interval_conflicts_all`` counts those of all time."""
+    i = intervals(spark, sf_dir)
+    i = i.withColumn("id", F.row_number().over(Window.partitionBy("l_suppkey").orderBy("start", "end")))
+    return temporal.overlapping(i, "l_suppkey").groupBy(F.col("l_suppkey").alias("supplier")).agg(F.count("*").alias("pairs"))
 
 
-@query("J10", f"WITH i AS (SELECT * FROM ({_IV}) WHERE r <= 5) SELECT count(*) AS pairs FROM i a JOIN i b ON a.id < b.id AND a.s < b.e AND a.e > b.s")
-def range_join_without_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The overlapping pairs that the given SQL takes, suppliers 1 to 5 in one month: time
-    buckets stand in for the missing equality.  ``range_join_all`` takes every interval."""
-    return temporal.overlapping(intervals(spark, sf_dir).where("l_suppkey <= 5"), None).agg(F.count("*").alias("pairs"))
+@query("J9 R6", _COUNTED.format(rows=_ALL, key="r,", part="PARTITION BY r", on_st="i.r = st.r AND", on_en="a.r = en.r AND", name="b.r AS supplier,", on_dg="b.r = dg.r AND", group="GROUP BY b.r"))
+def interval_conflicts_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each supplier's overlapping pairs of intervals of all time, counted without making them."""
+    return temporal.overlap_count(intervals(spark, sf_dir, month=False), "l_suppkey").withColumnRenamed("l_suppkey", "supplier")
 
 
-@query("J10")
+@query("J10", _COUNTED.format(rows=_ALL, key="", part="", on_st="", on_en="", name="", on_dg="", group=""))
 def range_join_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The overlapping pairs of all intervals, counted without making them."""
     return temporal.overlap_count(intervals(spark, sf_dir, month=False))

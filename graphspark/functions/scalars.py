@@ -39,8 +39,11 @@ def digest(text: Column) -> Column:
 
 
 def safe_path(path: Column) -> Column:
-    """Neither absolute, nor with a step upwards or a control character."""
-    return ~(path.startswith("/") | path.rlike(r"(^|/)\.\.(/|$)") | path.rlike(r"[\x00-\x1f\\]") | (F.length(path) == 0) | path.rlike(r"^[A-Za-z]:"))
+    """A relative path in its plainest form: no step to the same or the upper folder, no
+    empty step, no space around it, no backslash, NUL or line end."""
+    stripped = F.regexp_replace(path, r"^[\s\x1c-\x1f\x85\xa0]+|[\s\x1c-\x1f\x85\xa0]+$", "")
+    steps = F.split(path, "/")
+    return (path == stripped) & ~path.rlike(r"[\\\x00\r\n]") & ~F.exists(steps, lambda x: x.isin("", ".", ".."))
 
 
 def under_root(uri: Column, root: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .paths import components
+
 #: The order of states; none may be skipped.
 STATES = ["candidate", "proposed", "committed", "regression_passed", "release_complete", "promoted"]
 
@@ -16,6 +18,46 @@ def semantic_diff(old: DataFrame, new: DataFrame, keys: list[str], sha: str = "s
     return a.join(b, keys, "full_outer").select(*keys, kind.alias("operation")).where("operation IS NOT NULL")
 
 
+def chained(steps: DataFrame) -> DataFrame:
+    """Events with hashes for (candidate, seq), seq from 1 on: each has the hash of the one before."""
+    state = F.element_at(F.array(*map(F.lit, STATES)), F.col("seq"))
+    sha = lambda n: F.sha2(F.concat_ws("/", "candidate", n), 256)
+    return steps.select("candidate", "seq", F.when(F.col("seq") > 1, sha(F.col("seq") - 1)).alias("prev_sha"), sha(F.col("seq")).alias("sha"), state.alias("state"))
+
+
+def advance(events: DataFrame, baselines: DataFrame) -> DataFrame:
+    """The next event of every candidate with an unbroken chain that isn't at the last state.
+    Commits and promotions need a baseline (candidate, made_from, current) that is still the
+    one the candidate was made from; a candidate without one waits."""
+    sound = events.join(chain_faults(events).select("candidate").distinct(), "candidate", "left_anti")
+    last = sound.groupBy("candidate").agg(F.max_by(F.struct("seq", "sha"), "seq").alias("x")).select("candidate", (F.col("x.seq") + 1).alias("seq"), F.col("x.sha").alias("prev_sha"))
+    new = last.where(F.col("seq") <= len(STATES)).withColumn("state", F.element_at(F.array(*map(F.lit, STATES)), F.col("seq")))
+    fresh = baselines.where("made_from = current").select("candidate").distinct().withColumn("_fresh", F.lit(True))
+    checked = new.join(fresh, "candidate", "left").where(~F.col("state").isin("committed", "promoted") | F.col("_fresh"))
+    return checked.select("candidate", "seq", "prev_sha", F.sha2(F.concat_ws("/", "candidate", "seq"), 256).alias("sha"), "state")
+
+
+def resumable(events: DataFrame, receipts: DataFrame, inputs: DataFrame) -> DataFrame:
+    """(candidate, verdict) for candidates whose last state is regression_passed: resume where
+    the receipt (candidate, receipt_sha) binds the input (candidate, input_sha) of now."""
+    last = events.groupBy("candidate").agg(F.max_by("state", "seq").alias("state")).where("state = 'regression_passed'")
+    j = last.join(inputs, "candidate").join(receipts, "candidate", "left")
+    return j.select("candidate", F.when(F.col("receipt_sha") == F.col("input_sha"), "resume").otherwise("run again").alias("verdict"))
+
+
+def propagated(facts: DataFrame, links: DataFrame) -> DataFrame:
+    """Facts (s, p, o) with every s and o replaced by every node that links (src, dst) make the
+    same, itself included."""
+    groups = components(links)
+    members = groups.select("root", F.col("node").alias("twin"))
+
+    def widened(rows: DataFrame, column: str) -> DataFrame:
+        j = rows.join(groups.select(F.col("node").alias(column), "root"), column, "left").join(members, "root", "left")
+        return j.withColumn(column, F.coalesce("twin", column)).drop("root", "twin")
+
+    return widened(widened(facts, "s"), "o").select("s", "p", "o").distinct()
+
+
 def chain_faults(events: DataFrame) -> DataFrame:
     """seq and fault of events (candidate, seq, prev_sha, sha, state) whose chain is broken or
     whose state isn't the one after that before it."""

@@ -35,27 +35,28 @@ def overlapping(intervals: DataFrame, resource: str | None, seconds: int = 30 *
     return both.drop("_bucket", "a_first", "b_first")
 
 
-def overlap_count(intervals: DataFrame, seconds: int = 30 * 86400) -> DataFrame:
-    """One row: how many pairs have a_start < b_end and a_end > b_start.  intervals: start
-    and end, none before its start; a row without one of them meets nothing.  No pair is
-    made: all pairs less those in which one ends by the start of the other, from running
-    counts of ends over the distinct times, within time buckets and then over the buckets."""
-    one, big = F.lit(1).cast("long"), "decimal(19,0)"
+def overlap_count(intervals: DataFrame, resource: str | None = None, seconds: int = 30 * 86400) -> DataFrame:
+    """How many pairs have a_start < b_end and a_end > b_start: one row, or one for each
+    resource where a column is named.  intervals: start and end, none before its start; a
+    row without one of them meets nothing.  No pair is made: all pairs less those in which
+    one ends by the start of the other, from running counts of ends over the distinct
+    times, within time buckets and then over the buckets."""
+    one, big, keys = F.lit(1).cast("long"), "decimal(19,0)", [resource] if resource else []
     none = F.lit(0).cast("long")
     empty = F.when(F.col("start") == F.col("end"), one).otherwise(none)
     at = lambda t, s, e, p: F.struct(F.col(t).alias("t"), s.alias("starts"), e.alias("ends"), p.alias("empty"))
-    ends = intervals.where("start IS NOT NULL AND end IS NOT NULL").select(F.inline(F.array(at("start", one, none, empty), at("end", none, one, none))))
-    times = ends.groupBy("t").agg(*[F.sum(c).alias(c) for c in ("starts", "ends", "empty")]).withColumn("_bucket", F.floor(F.unix_timestamp("t") / seconds))
+    ends = intervals.where("start IS NOT NULL AND end IS NOT NULL").select(*keys, F.inline(F.array(at("start", one, none, empty), at("end", none, one, none))))
+    times = ends.groupBy(*keys, "t").agg(*[F.sum(c).alias(c) for c in ("starts", "ends", "empty")]).withColumn("_bucket", F.floor(F.unix_timestamp("t") / seconds))
     # one row a bucket: their number grows with the span of time, not with the rows
-    earlier = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    before = times.groupBy("_bucket").agg(F.sum("ends").alias("_n")).select("_bucket", F.coalesce(F.sum("_n").over(earlier), none).alias("_before"))
-    so_far = F.sum("ends").over(Window.partitionBy("_bucket").orderBy("t")) + F.col("_before")
-    counted = times.join(before, "_bucket").withColumn("ended", so_far)
+    earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = times.groupBy(*keys, "_bucket").agg(F.sum("ends").alias("_n")).select(*keys, "_bucket", F.coalesce(F.sum("_n").over(earlier), none).alias("_before"))
+    so_far = F.sum("ends").over(Window.partitionBy(*keys, "_bucket").orderBy("t")) + F.col("_before")
+    counted = times.join(before, [*keys, "_bucket"]).withColumn("ended", so_far)
     d = lambda c: F.col(c).cast(big)
     # an empty interval ends by its own start; two at one time do so either way round
-    total = counted.agg(F.sum("starts").alias("n"), F.sum(d("starts") * d("ended")).alias("apart"), F.sum("empty").alias("self"), F.sum(d("empty") * (d("empty") - 1)).alias("both"))
+    total = counted.groupBy(*keys).agg(F.sum("starts").alias("n"), F.sum(d("starts") * d("ended")).alias("apart"), F.sum("empty").alias("self"), F.sum(d("empty") * (d("empty") - 1)).alias("both"))
     pairs = (d("n") * (d("n") - 1) + F.col("both")) / 2 - F.col("apart") + F.col("self")
-    return total.select(F.coalesce(pairs, F.lit(0)).cast("decimal(38,0)").alias("pairs"))
+    return total.select(*keys, F.coalesce(pairs, F.lit(0)).cast("decimal(38,0)").alias("pairs"))
 
 
 def as_of(facts: DataFrame, at: DataFrame, key: str, when: str, value: str) -> DataFrame:

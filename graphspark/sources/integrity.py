@@ -109,3 +109,41 @@ def register_faults(register: DataFrame, key: str, refs: str, known: DataFrame)
     used = register.select(F.col(key).alias("id"), F.explode(id_list(F.col(refs))).alias("ref"))
     lost = used.join(known.select(F.col("id").alias("ref")), "ref", "left_anti").select(F.lit("unknown reference").alias("fault"), "id", "ref")
     return twice.unionByName(lost)
+
+
+def decoded(rows: DataFrame, column: str) -> DataFrame:
+    """The rows with ``text``: bytes as UTF-8; of bytes that aren't, those that don't fit are
+    passed over."""
+
+    def lenient(content: pd.Series) -> pd.Series:
+        return content.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))
+
+    slow = F.pandas_udf(lenient, "string")
+    fine = F.col(column).cast("string")
+    # only bytes that aren't valid leave the engine
+    good = rows.where(F.is_valid_utf8(fine)).withColumn("text", fine)
+    return good.unionByName(rows.where(~F.is_valid_utf8(fine)).withColumn("text", slow(F.col(column))))
+
+
+def csv_rows(lines: DataFrame, names: list[str], column: str = "value") -> DataFrame:
+    """Cells of CSV lines as strings; a quote within a quoted cell is written twice."""
+    cells = F.from_csv(F.col(column), ", ".join(f"`{n}` string" for n in names), {"escape": '"'})
+    return lines.select(cells.alias("_c")).select("_c.*")
+
+
+def scoped(files: DataFrame, lock: DataFrame, scope: str) -> DataFrame:
+    """Files (path) of a scope: book is what the lock names, archive what it doesn't, all both."""
+    if scope == "all":
+        return files
+    if scope not in ("book", "archive"):
+        raise ValueError(f"unknown scope {scope}")
+    return files.join(lock.select("path").distinct(), "path", "left_semi" if scope == "book" else "left_anti")
+
+
+def union_by_path(formal: DataFrame, optional: DataFrame) -> DataFrame:
+    """path and sha256 of both, one row a path: a hash stands above none, and two hashes of
+    one path fail the query."""
+    both = formal.select("path", "sha256").unionByName(optional.select("path", "sha256"))
+    one = both.groupBy("path").agg(F.min("sha256").alias("sha256"), F.max("sha256").alias("_other"))
+    same = F.when(F.col("sha256") == F.col("_other"), F.col("sha256")).when(F.col("_other").isNull(), None)
+    return one.select("path", same.otherwise(F.raise_error(F.concat(F.lit("conflicting hashes: "), F.col("path").cast("string"))).cast("string")).alias("sha256"))
