@@ -145,6 +145,19 @@ def test_order_of_rules_changes_nothing(docs):
     assert a.exceptAll(b).isEmpty()
 
 
+def test_greedy_order_is_conditional():
+    """b rejects most, but of what a leaves only one document; c is dear."""
+    found = [(0b011, 50), (0b001, 10), (0b010, 1), (0b100, 30), (0, 100)]
+    assert quality.greedy(["a", "b", "c"], found, {"a": 1.0, "b": 1.0, "c": 5.0}) == ["a", "c", "b"]
+    assert quality.greedy(["a", "b", "c"], found, {"a": 9.0, "b": 1.0, "c": 5.0}) == ["b", "c", "a"]
+    assert quality.greedy(["a", "b"], [], {"a": 1.0, "b": 1.0}) == ["a", "b"]
+
+
+def test_plan_of_a_sample(docs, nothing):
+    assert sorted(quality.plan_cascade(docs)) == sorted(quality.RULES)
+    assert quality.plan_cascade(nothing) == list(quality.RULES)
+
+
 def test_keep_good_keeps_columns(spark, nothing):
     df = spark.createDataFrame([(1, "word " * 3, 1), (2, " ".join(f"word{k}" for k in range(40)), 2)], "doc_id long, text string, n_words int")
     out = quality.keep_good(df)
