@@ -5,22 +5,40 @@ so that every later pass sees the same documents in the same order.  In a census
 sends its distinct hashes to buckets; a bucket answers each block with one bit per hash:
 whether another block sent it too.  Messages hold sorted arrays, answers hold bits; no row
 is made per hash, no pair of places is ever formed, and a hash that a third of all documents
-hold reaches its bucket once per block.  The number of buckets grows with the data, so a
-bucket's load doesn't.
+hold reaches its bucket once per block.
+
+Beyond ``FAN`` blocks these fall into groups of about so many.  A group has buckets of its
+own, in which a common hash is met at most ``FAN`` times; what a group's bucket holds goes on
+once, to finer buckets that all groups share, and their answers come back the same way.  So
+the load of a bucket, and the number of messages of a block, stay as they are when the data
+grow.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import by_size, column_bytes, partitions, release, short_batches, stored
+from .words import mix
+
+BLOCK_BYTES, BUCKET_BYTES, FAN = 2 << 20, 8 << 20, 1024
+
+
+@dataclass(frozen=True)
+class Deal:
+    """Into how many buckets hashes fall, and into how many groups blocks do."""
 
-BLOCK_BYTES, BUCKET_BYTES = 2 << 20, 8 << 20
+    buckets: int
+    groups: int
+
+    def group(self) -> Column:
+        return F.pmod(F.xxhash64("block"), F.lit(self.groups)).cast("int").alias("g")
 
 
 def pack(batches: list[pa.RecordBatch]) -> bytes:
@@ -65,10 +83,15 @@ def text_blocks(docs: DataFrame, text_col: str, block_bytes: int = BLOCK_BYTES)
     return stored(docs.mapInArrow(blocks, "block long, n_bytes long, payload binary"), "blocks")
 
 
-def bucket_count(blocks: DataFrame) -> int:
-    """Some buckets per partition at least, and one for ``BUCKET_BYTES`` of text."""
-    total = blocks.agg(F.sum("n_bytes")).first()[0] or 0
-    return max(4 * partitions(blocks.sparkSession), -(-total // BUCKET_BYTES))
+def deal(blocks: DataFrame, finer: int = 1, fan: int | None = None) -> Deal:
+    """One group up to ``fan`` blocks, with some buckets per partition at least; beyond that a
+    group's buckets follow from its own size.  There is a bucket for ``BUCKET_BYTES`` of text,
+    or ``finer`` of them."""
+    fan = FAN if fan is None else fan
+    n, total = blocks.agg(F.count("*"), F.coalesce(F.sum("n_bytes"), F.lit(0))).first()
+    groups = max(1, -(-n // fan))
+    least = 4 * partitions(blocks.sparkSession) if groups == 1 else 4
+    return Deal(finer * max(least, -(-total // (groups * BUCKET_BYTES))), groups)
 
 
 def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
@@ -103,30 +126,93 @@ def messages(block: int, distinct: np.ndarray, bucket: np.ndarray, width: int) -
 MESSAGE_DDL = "block long, bucket int, hashes binary"
 
 
-def census(sent: DataFrame, width: int) -> DataFrame:
-    """Answers to messages: block and, by bucket, the bits of its values that other blocks
-    sent too; one row per block, written to the shared folder."""
+def values_of(rows: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all messages and how many each has."""
+    raw = [np.frombuffer(x.as_buffer(), np.uint8) for x in rows.column("hashes")]
+    sizes = np.array([len(x) // width for x in raw], np.int64)
+    wide = np.zeros((int(sizes.sum()), 8), np.uint8)
+    if len(wide):
+        wide[:, :width] = np.concatenate(raw).reshape(-1, width)
+    return wide.view("<u8").reshape(-1), sizes
+
+
+def twins(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values in order, each value's place among them, and which are found twice."""
+    order = np.argsort(values, kind="stable")
+    v = values[order]
+    new = np.ones(len(v), bool)
+    new[1:] = v[1:] != v[:-1]
+    place = np.empty(len(v), np.int64)
+    place[order] = np.cumsum(new) - 1
+    first = np.flatnonzero(new)
+    return v[first], place, np.diff(np.append(first, len(v))) > 1
+
+
+def bits_of(found: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    ends = np.cumsum(sizes)
+    return pa.array([np.packbits(found[e - n : e]).tobytes() for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)], pa.binary())
+
+
+ANSWER_DDL = "block long, bucket int, bits binary"
+
+
+def met(sent: DataFrame, width: int) -> DataFrame:
+    """Messages answered in one bucket each: which values another message has too."""
 
     def answer(rows: pa.Table) -> pa.Table:
-        raw = [np.frombuffer(x.as_buffer(), np.uint8) for x in rows.column("hashes")]
-        sizes = np.array([len(x) // width for x in raw])
-        wide = np.zeros((int(sizes.sum()), 8), np.uint8)
-        wide[:, :width] = np.concatenate(raw).reshape(-1, width)
-        values = wide.view("<u8").reshape(-1)
-        order = np.argsort(values, kind="stable")
-        v = values[order]
-        twin = np.zeros(len(v), bool)
-        same = v[1:] == v[:-1]
-        twin[1:] |= same
-        twin[:-1] |= same
-        found = np.empty(len(v), bool)
-        found[order] = twin
-        ends = np.cumsum(sizes)
-        bits = [np.packbits(found[e - n : e]).tobytes() for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+        values, sizes = values_of(rows, width)
+        _, place, twice = twins(values)
         release()
-        return pa.table({"block": rows.column("block"), "bucket": rows.column("bucket"), "bits": pa.array(bits, pa.binary())})
+        return pa.table({"block": rows.column("block"), "bucket": rows.column("bucket"), "bits": bits_of(twice[place], sizes)})
+
+    return sent.groupBy("bucket").applyInArrow(answer, ANSWER_DDL)
+
+
+def met_in_groups(sent: DataFrame, width: int, by: Deal) -> DataFrame:
+    """The same by groups of blocks first."""
+    n = by.groups
+    sent = stored(sent, "messages").withColumn("g", by.group())
+
+    def finer(distinct: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The order by the finer buckets, and where each of these ends."""
+        sub = (mix(distinct) % np.uint64(n)).astype(np.int64)
+        return np.argsort(sub, kind="stable"), np.searchsorted(np.sort(sub), np.arange(n), "right")
 
-    answers = sent.groupBy("bucket").applyInArrow(answer, "block long, bucket int, bits binary")
+    def union(rows: pa.Table) -> pa.Table:
+        distinct, _, _ = twins(values_of(rows, width)[0])
+        order, ends = finer(distinct)
+        raw = np.ascontiguousarray(distinct[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+        begins = np.concatenate([[0], ends[:-1]])
+        subs = np.flatnonzero(ends > begins)
+        g, bucket = rows.column("g")[0].as_py(), rows.column("bucket")[0].as_py()
+        release()
+        return pa.table({
+            "block": pa.array(np.full(len(subs), g)), "bucket": pa.array((bucket * n + subs).astype(np.int32)),
+            "hashes": pa.array([raw[width * a : width * b] for a, b in zip(begins[subs].tolist(), ends[subs].tolist(), strict=True)], pa.binary()),
+        })
+
+    upper = met(sent.groupBy("bucket", "g").applyInArrow(union, MESSAGE_DDL), width)
+    # a bucket of a group gets one short answer from each finer bucket
+    back = upper.groupBy(F.floor(F.col("bucket") / n).cast("int").alias("bucket"), F.col("block").cast("int").alias("g")).agg(F.sort_array(F.collect_list(F.struct("bucket", "bits"))).alias("answers"))
+
+    def settle(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        values, sizes = values_of(rows, width)
+        distinct, place, twice = twins(values)
+        order, ends = finer(distinct)
+        for row in answers.column("answers")[0].as_py() if answers.num_rows else []:
+            sub = row["bucket"] % n
+            a, b = int(ends[sub - 1]) if sub else 0, int(ends[sub])
+            twice[order[a:b]] |= np.unpackbits(np.frombuffer(row["bits"], np.uint8), count=b - a).astype(bool)
+        release()
+        return pa.table({"block": rows.column("block"), "bucket": rows.column("bucket"), "bits": bits_of(twice[place], sizes)})
+
+    return sent.groupBy("bucket", "g").cogroup(back.groupBy("bucket", "g")).applyInArrow(settle, ANSWER_DDL)
+
+
+def census(sent: DataFrame, width: int, by: Deal) -> DataFrame:
+    """Answers to messages: block and, by bucket, the bits of its values that other blocks
+    sent too; one row per block, written to the shared folder."""
+    answers = met(sent, width) if by.groups == 1 else met_in_groups(sent, width, by)
     return stored(answers.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "bits"))).alias("answers")), "answers")
 
 

@@ -16,6 +16,9 @@ The array is built where it can matter, and in pieces:
 3. What is left is cut into stretches of one minimizer and sent to its bucket, where all
    copies of a window meet.  The bucket builds the LPF array of its stretches, positions
    ordered by doc_id and start, and answers each block with the windows that have one.
+   Beyond ``FAN`` blocks a window's copies meet in a bucket of their group of blocks first;
+   the earliest one of a group goes on to a finer bucket that all groups share, so a hot
+   passage reaches that one once per group.
 
 Defined cases: a null or empty text, or one shorter than a window, keeps all its bytes;
 repeated rows lose all but the first copy; rows that share a doc_id are ordered by their
@@ -31,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import MESSAGE_DDL, answered, bucket_count, bucket_of, census, keyed, messages, over_blocks, text_blocks, with_answers
+from .blocks import FAN, MESSAGE_DDL, answered, bucket_of, census, deal, keyed, messages, over_blocks, text_blocks, with_answers
 from .common import binary_column, column_bytes, release, stored
 from .words import BYTE, mix, window_hashes
 
@@ -190,20 +193,22 @@ def spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(first - (ends - count), count)
 
 
-_HEAD = np.dtype([("doc", "<i8"), ("row", "<i4"), ("at", "<i4"), ("start", "<i4"), ("n", "<i4")])
+_HEAD = np.dtype([("doc", "<i8"), ("row", "<i4"), ("at", "<i4"), ("start", "<i4"), ("n", "<i4"), ("key", "<u4")])
+STRETCH_DDL = "block long, bucket int, size int, blob binary"
 
 
-def dedup_bytes(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def dedup_bytes(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, block_bytes: int = BLOCK_BYTES, fan: int = FAN) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and the remaining bytes of ``docs`` (doc_id, text)."""
     blocks = text_blocks(docs, "text", block_bytes)
-    buckets = 2 * bucket_count(blocks)
+    by_size = deal(blocks, 2, fan)
+    buckets, groups = by_size.buckets, by_size.groups
 
     def send_minimizers(number: int, rows: pa.Table, _: list) -> Iterator[pa.RecordBatch]:
         h = ByteBlock(rows.column("text"), window, kmer).minimizers()
         distinct, bucket, _, _ = keyed(h, bucket_of(h, buckets), SHORT)
         yield messages(number, distinct, bucket, SHORT)
 
-    first = census(over_blocks(blocks.select("block", "payload"), send_minimizers, MESSAGE_DDL), SHORT)
+    first = census(over_blocks(blocks.select("block", "payload"), send_minimizers, MESSAGE_DDL), SHORT, by_size)
 
     def settle(number: int, rows: pa.Table, replies: list) -> Iterator[pa.RecordBatch]:
         block = ByteBlock(rows.column("text"), window, kmer)
@@ -254,7 +259,8 @@ def dedup_bytes(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, block_b
             table = np.zeros(len(head), _HEAD)
             table["doc"], table["row"], table["at"] = ids[owner[head]], owner[head], starts[head]
             table["start"], table["n"] = starts[head] - block.offsets[owner[head]], np.diff(np.append(head, len(starts)))
-            to = bucket_of(spread_out(values[head]), buckets)
+            mixed = spread_out(values[head])
+            table["key"], to = mixed.astype(np.uint32), bucket_of(mixed, buckets)
             by = np.argsort(to, kind="stable")
             table, to = table[by], to[by]
             cuts = np.append(np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])), len(to))
@@ -266,9 +272,14 @@ def dedup_bytes(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, block_b
                 blobs.append(pa.compress(raw, "zstd", asbytes=True))
         yield pa.RecordBatch.from_arrays([pa.array([number] * len(names)), pa.array(names, pa.int32()), pa.array(sizes, pa.int32()), pa.array(blobs, pa.binary())], ["block", "bucket", "size", "blob"])
 
-    passed = stored(over_blocks(with_answers(blocks, first), settle, "block long, bucket int, size int, blob binary"), "stretches")
+    passed = stored(over_blocks(with_answers(blocks, first), settle, STRETCH_DDL), "stretches")
 
-    def meet(rows: pa.Table) -> pa.Table:
+    def packed(block: int, bucket: int, raw: bytes) -> tuple[int, int, int, bytes]:
+        return block, bucket, len(raw), pa.compress(raw, "zstd", asbytes=True) if raw else b""
+
+    def meet(rows: pa.Table, last: bool = True) -> pa.Table:
+        """For each block the windows that have an earlier copy among these stretches, and,
+        unless this is the last meeting, stretches of those that have none."""
         numbers = rows.column("block").to_numpy()
         tables, texts = [], []
         for blob, size in zip(rows.column("blob"), rows.column("size").to_pylist(), strict=True):
@@ -279,6 +290,8 @@ def dedup_bytes(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, block_b
         table, data = np.concatenate(tables), np.concatenate(texts)
         whose = np.repeat(np.arange(len(tables)), [len(t) for t in tables])
         count = table["n"].astype(np.int64)
+        if int(count.sum()) >= 1 << 32:
+            raise ValueError("a bucket holds more places than 32 bits can tell apart")
         length = count + window - 1
         placed = np.cumsum(length) - length
         where = spread(placed, count)
@@ -287,18 +300,35 @@ def dedup_bytes(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, block_b
         base = np.empty(len(seq), np.int64)
         base[seq] = np.cumsum(count[seq]) - count[seq]
         again = longest_previous_factor(data, where, spread(base, count), window) >= window
-        spots = spread(table["at"].astype(np.int64), count)[again]
-        mine = np.repeat(whose, count)[again]
-        out, sizes = [], []
-        for k in range(len(tables)):
-            raw = np.stack(runs_of(spots[mine == k]), axis=1).astype("<i4").tobytes() if len(spots) else b""
-            out.append(pa.compress(raw, "zstd", asbytes=True) if raw else b"")
-            sizes.append(len(raw))
+        stretch = np.repeat(np.arange(len(table)), count)
+        spots, mine = spread(table["at"].astype(np.int64), count), whose[stretch]
+        out = [packed(int(numbers[k]), -1, np.stack(runs_of(spots[again & (mine == k)]), axis=1).astype("<i4").tobytes()) for k in range(len(tables))]
+        out = [x for x in out if x[2]]
+        if not last:
+            # what is left, in stretches again
+            left = np.flatnonzero(~again)
+            new = np.ones(len(left), bool)
+            new[1:] = (left[1:] != left[:-1] + 1) | (stretch[left[1:]] != stretch[left[:-1]])
+            head = left[new]
+            size = np.diff(np.append(np.flatnonzero(new), len(left)))
+            rest = table[stretch[head]]
+            off = where[head] - placed[stretch[head]]
+            rest["at"], rest["start"], rest["n"] = rest["at"] + off, rest["start"] + off, size
+            to = rows.column("bucket")[0].as_py() * groups + (rest["key"] % groups).astype(np.int64)
+            by = np.lexsort((to, whose[stretch[head]]))
+            rest, to, begin, block = rest[by], to[by], where[head][by], numbers[whose[stretch[head]]][by]
+            cuts = np.append(np.flatnonzero(np.concatenate([[True], (to[1:] != to[:-1]) | (block[1:] != block[:-1])])), len(to)) if len(to) else np.zeros(1, np.int64)
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                raw = np.array([b - a], "<i4").tobytes() + rest[a:b].tobytes() + gather(data, begin[a:b], rest["n"][a:b].astype(np.int64) + window - 1)[0].tobytes()
+                out.append(packed(int(block[a]), int(to[a]), raw))
         release()
-        return pa.table({"block": pa.array(numbers), "size": pa.array(sizes, pa.int32()), "blob": pa.array(out, pa.binary())})
+        return pa.Table.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out, strict=True) if out else [[]] * 4, (pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["block", "bucket", "size", "blob"])
 
-    replies = passed.where("bucket >= 0").groupBy("bucket").applyInArrow(meet, "block long, size int, blob binary")
-    found = replies.unionByName(passed.where("bucket < 0").select("block", "size", "blob")).where("size > 0")
+    answers, open_ = passed.where("bucket < 0"), passed.where("bucket >= 0")
+    if groups > 1:
+        first_met = stored(open_.withColumn("g", by_size.group()).groupBy("bucket", "g").applyInArrow(lambda rows: meet(rows, False), STRETCH_DDL), "stretches")
+        answers, open_ = answers.unionByName(first_met.where("bucket < 0")), first_met.where("bucket >= 0")
+    found = open_.groupBy("bucket").applyInArrow(lambda rows: meet(rows), STRETCH_DDL).unionByName(answers).where("size > 0")
     found = stored(found.groupBy("block").agg(F.collect_list(F.struct("size", "blob")).alias("answers")), "answers")
 
     def remove(number: int, rows: pa.Table, replies: list) -> Iterator[pa.RecordBatch]:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .blocks import MESSAGE_DDL, answered, bucket_count, bucket_of, census, keyed, messages, over_blocks, text_blocks, with_answers
+from .blocks import BLOCK_BYTES, FAN, MESSAGE_DDL, answered, bucket_of, census, deal, keyed, messages, over_blocks, text_blocks, with_answers
 from .common import binary_column, column_bytes
 from .words import mix, prefix_sums, powers, word_hashes, word_spans
 
@@ -110,14 +110,15 @@ class WordBlock:
         return data[mask], held[self.offsets], lost[self.first[1:]] - lost[self.first[:-1]]
 
 
-def dedup_passages(docs: DataFrame, text_col: str = "text", window: int = WINDOW, counts: bool = True) -> DataFrame:
+def dedup_passages(docs: DataFrame, text_col: str = "text", window: int = WINDOW, counts: bool = True, block_bytes: int = BLOCK_BYTES, fan: int = FAN) -> DataFrame:
     """The columns of ``docs`` with the text replaced by its kept words, joined by single
     spaces; with ``counts`` also n_words and n_removed (both long), in place of any columns
     of these names."""
     if counts:
         docs = docs.drop("n_words", "n_removed")
-    blocks = text_blocks(docs, text_col)
-    buckets = bucket_count(blocks)
+    blocks = text_blocks(docs, text_col, block_bytes)
+    by = deal(blocks, fan=fan)
+    buckets = by.buckets
 
     def flagged(block: WordBlock, answers: pa.Scalar) -> np.ndarray:
         at, h = block.anchors()
@@ -129,7 +130,7 @@ def dedup_passages(docs: DataFrame, text_col: str = "text", window: int = WINDOW
         distinct, bucket, _, _ = keyed(h, bucket_of(h, buckets), SHORT)
         yield messages(number, distinct, bucket, SHORT)
 
-    first = census(over_blocks(blocks.select("block", "payload"), send_anchors, MESSAGE_DDL), SHORT)
+    first = census(over_blocks(blocks.select("block", "payload"), send_anchors, MESSAGE_DDL), SHORT, by)
 
     def windows(rows: pa.Table, answers: pa.Scalar) -> tuple:
         block = WordBlock(rows.column(text_col), window)
@@ -141,7 +142,7 @@ def dedup_passages(docs: DataFrame, text_col: str = "text", window: int = WINDOW
         _, _, (distinct, bucket, _, _) = windows(rows, replies[0])
         yield messages(number, distinct, bucket, FULL)
 
-    second = census(over_blocks(with_answers(blocks, first), send_windows, MESSAGE_DDL), FULL)
+    second = census(over_blocks(with_answers(blocks, first), send_windows, MESSAGE_DDL), FULL, by)
 
     fields = docs.schema.fields
     schema = T.StructType([T.StructField(f.name, T.StringType() if f.name == text_col else f.dataType) for f in fields] + [T.StructField(n, T.LongType()) for n in ("n_words", "n_removed") if counts])

@@ -34,6 +34,18 @@ def test_passages(spark, docs, corpus, tmp_path):
     assert got == want
 
 
+@pytest.mark.parametrize("fan", [1, 3])
+def test_groups_of_blocks_change_nothing(spark, docs, fan):
+    """Many small blocks that meet in groups first, and in finer buckets then."""
+    docs = docs.repartition(6, "doc_id")
+    one = substrings.dedup_passages(docs)
+    many = substrings.dedup_passages(docs, block_bytes=4000, fan=fan)
+    assert one.where("n_removed > 0").count() and one.exceptAll(many).isEmpty() and many.exceptAll(one).isEmpty()
+    one = lpf.dedup_bytes(docs)
+    many = lpf.dedup_bytes(docs, block_bytes=4000, fan=fan)
+    assert one.where("n_removed > 0").count() and one.exceptAll(many).isEmpty() and many.exceptAll(one).isEmpty()
+
+
 @pytest.mark.parametrize("window", [1, 2, 5, 8, 14, 21, 35, 50])
 def test_covers_meet_at_every_distance(window):
     period, cover = substrings.cover_for(window)
