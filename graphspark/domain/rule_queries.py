@@ -60,7 +60,7 @@ def disjoint_violation(spark: SparkSession, sf_dir: str) -> DataFrame:
     irr = above.where("s = o").select(F.lit("irreflexive").alias("kind"), "s", "o")
     pairs = spark.createDataFrame([("Man", "Machine")], "c1 string, c2 string")
     t = f.where("p = 'type'").select("s", "o")
-    dis = t.join(F.broadcast(pairs), t.o == pairs.c1).join(t.select("s", F.col("o").alias("o2")), "s").where("o2 = c2").select(F.lit("disjoint").alias("kind"), "s", "o")
+    dis = t.join(pairs, t.o == pairs.c1).join(t.select("s", F.col("o").alias("o2")), "s").where("o2 = c2").select(F.lit("disjoint").alias("kind"), "s", "o")
     return asym.unionByName(irr).unionByName(dis)
 
 
@@ -88,7 +88,7 @@ def three_valued_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier")
     bad = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R' AND l_quantity > 49").select(F.col("l_suppkey").alias("s_suppkey"), F.lit(True).alias("found")).distinct()
     complete = spark.range(10).select(F.col("id").cast("int").alias("s_nationkey"), F.lit(True).alias("declared"))
-    j = s.join(bad, "s_suppkey", "left").join(F.broadcast(complete), "s_nationkey", "left")
+    j = s.join(bad, "s_suppkey", "left").join(complete, "s_nationkey", "left")
     return j.select(F.concat(F.lit("supplier/"), "s_suppkey").alias("s"), F.when(F.col("found"), "yes").when(F.col("declared"), "no").otherwise("unknown").alias("answer"))
 
 
@@ -160,7 +160,7 @@ def time_to_collision(spark: SparkSession, sf_dir: str) -> DataFrame:
 def parameterised_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     walls = spark.createDataFrame([("w1", "cold", "0.50"), ("w2", "warm", "0.50")], "wall string, zone string, u string")
     limits = spark.createDataFrame([("cold", "0.40"), ("warm", "0.80")], "zone string, lim string")
-    j = walls.join(F.broadcast(limits), "zone").select("wall", F.col("u").cast("decimal(4,2)").alias("u"), F.col("lim").cast("decimal(4,2)").alias("lim"))
+    j = walls.join(limits, "zone").select("wall", F.col("u").cast("decimal(4,2)").alias("u"), F.col("lim").cast("decimal(4,2)").alias("lim"))
     return j.where("u > lim")
 
 

@@ -77,7 +77,7 @@ def shape_relational_division(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
     own = c.groupBy("c_nationkey").agg(F.count_distinct("c_mktsegment").alias("n"))
     every = c.agg(F.count_distinct("c_mktsegment").alias("every"))
-    return own.join(F.broadcast(every), F.col("n") == F.col("every")).select(F.concat(F.lit("nation/"), "c_nationkey").alias("nation"))
+    return own.join(every, F.col("n") == F.col("every")).select(F.concat(F.lit("nation/"), "c_nationkey").alias("nation"))
 
 
 @query("SH19", "SELECT 'u2' AS unit")
@@ -85,7 +85,7 @@ def shape_revision_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = spark.createDataFrame([("A", 1), ("B", 2), ("C", 3)], "rev string, n int")
     u = spark.createDataFrame([("u1", "C", "B"), ("u2", "A", "B"), ("u3", "B", "B")], "unit string, rev string, required string")
     need = order.select(F.col("rev").alias("required"), F.col("n").alias("least"))
-    return u.join(F.broadcast(order), "rev").join(F.broadcast(need), "required").where("n < least").select("unit")
+    return u.join(order, "rev").join(need, "required").where("n < least").select("unit")
 
 
 @query("SH20 SH21 V2 V7", "SELECT * FROM (VALUES ('x1', 'Stale', 'NeedsReopen'), ('x2', 'Current', 'Kept')) v(exclusion, premise, claim)")
@@ -100,7 +100,7 @@ def shape_stale_premise(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shape_name_clash(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = spark.createDataFrame([("ECU", "Part"), ("ECU", "Software"), ("Bolt", "Part")], "token string, kind string")
     pairs = spark.createDataFrame([("Part", "Software")], "a string, b string")
-    return t.join(F.broadcast(pairs), t.kind == pairs.a).join(t.select("token", F.col("kind").alias("k2")), "token").where("k2 = b").select("token", "a", "b")
+    return t.join(pairs, t.kind == pairs.a).join(t.select("token", F.col("kind").alias("k2")), "token").where("k2 = b").select("token", "a", "b")
 
 
 @query("SK5 SC16 ST2", "SELECT 'quarantine' AS lane, count(*) AS n FROM part WHERE p_size > 45 UNION ALL SELECT 'ticket', count(*) FROM part WHERE p_size > 30")

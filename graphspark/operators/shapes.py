@@ -3,6 +3,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -33,54 +34,78 @@ class Shape:
 
 
 def instances(quads: DataFrame, target: str) -> DataFrame:
-    """focus: individuals of the class or of any class below it."""
-    tree = quads.where("p = 'subClassOf'").select(F.col("s").alias("src"), F.col("o_key").alias("dst"))
-    below = paths.one_or_more(tree).where(F.col("dst") == target).select(F.col("src").alias("cls"))
-    wanted = below.unionByName(quads.sparkSession.createDataFrame([(target,)], "cls string")).distinct()
+    """focus: individuals of the class or of any class below it.  The closure starts from the
+    class, so classes elsewhere in the tree aren't visited."""
+    down = quads.where("p = 'subClassOf'").select(F.col("o_key").alias("src"), F.col("s").alias("dst"))
+    me = quads.sparkSession.createDataFrame([(target,)], "src string")
+    wanted = paths.zero_or_more(down, me).select(F.col("dst").alias("cls"))
     types = quads.where("p = 'type'").select(F.col("s").alias("focus"), F.col("o_key").alias("cls"))
-    return types.join(F.broadcast(wanted), "cls", "left_semi").select("focus").distinct()
+    return types.join(wanted, "cls", "left_semi").select("focus").distinct()
 
 
 def validate(quads: DataFrame, shapes: list[Shape]) -> DataFrame:
-    """All violations of all shapes; an empty result means none was found."""
-    out = None
+    """All violations of all shapes; an empty result means none was found.  Constraints on the
+    values of one path are tested in one pass over them, and so are those on their number."""
+    out, members = None, {}
+
+    def of(target: str) -> DataFrame:
+        if target not in members:
+            members[target] = instances(quads, target)
+        return members[target]
+
     for shape in shapes:
-        focus = instances(quads, shape.target)
-        for c in shape.constraints:
-            found = check(quads, focus, c)
-            rows = found.select(F.lit(shape.name).alias("shape"), "focus", F.lit(c.path).alias("path"), F.col("value").cast("string").alias("value"), F.lit(c.kind).alias("constraint"), F.lit(c.severity).alias("severity"), F.lit(c.message).alias("message"))
+        focus = of(shape.target)
+        parts: list[DataFrame] = []
+        for path in dict.fromkeys(c.path for c in shape.constraints):
+            mine = [c for c in shape.constraints if c.path == path]
+            by_value, by_number = [c for c in mine if c.kind in VALUE], [c for c in mine if c.kind in ("minCount", "maxCount")]
+            values = values_of(quads, focus, path)
+            if by_value:
+                parts.append(told(values.withColumn("value", F.col("o_lex")), [(c, VALUE[c.kind](c.param)) for c in by_value]))
+            if by_number:
+                counts = values.groupBy("focus").agg(F.count_distinct("o_key").alias("n"))
+                n = F.coalesce("n", F.lit(0))
+                parts.append(told(focus.join(counts, "focus", "left").withColumn("value", n), [(c, F.col("value") < c.param if c.kind == "minCount" else F.col("value") > c.param) for c in by_number]))
+            parts += [told(check(quads, focus, values, c, of), [(c, F.lit(True))]) for c in mine if c not in by_value and c not in by_number]
+        for rows in parts:
+            rows = rows.select(F.lit(shape.name).alias("shape"), *COLUMNS[1:])
             out = rows if out is None else out.unionByName(rows)
     return out
 
 
-def check(quads: DataFrame, focus: DataFrame, c: Constraint) -> DataFrame:
-    """focus and value of the rows that break one constraint."""
-    values = quads.where(F.col("p") == c.path).select(F.col("s").alias("focus"), "o_key", "o_lex", "o_kind", "o_dt", "o_num", "o_ts").join(focus, "focus", "left_semi")
-    bad: dict[str, object] = {
-        "datatype": lambda: ~((F.col("o_kind") == 1) & (F.coalesce("o_dt", F.lit("")) == c.param)),
-        "minExclusive": lambda: ~F.coalesce(F.col("o_num") > c.param, F.lit(False)),
-        "maxInclusive": lambda: ~F.coalesce(F.col("o_num") <= c.param, F.lit(False)),
-        "pattern": lambda: ~F.col("o_lex").rlike(str(c.param)),
-        "in": lambda: ~F.col("o_lex").isin(list(c.param)),
-    }
-    if c.kind in bad:
-        return values.where(bad[c.kind]()).select("focus", F.col("o_lex").alias("value"))
-    if c.kind in ("minCount", "maxCount"):
-        counts = values.groupBy("focus").agg(F.count_distinct("o_key").alias("n"))
-        n = F.coalesce("n", F.lit(0))
-        test: Column = n < c.param if c.kind == "minCount" else n > c.param
-        return focus.join(counts, "focus", "left").where(test).select("focus", n.alias("value"))
+def values_of(quads: DataFrame, focus: DataFrame, path: str) -> DataFrame:
+    return quads.where(F.col("p") == path).select(F.col("s").alias("focus"), "o_key", "o_lex", "o_kind", "o_dt", "o_num", "o_ts").join(focus, "focus", "left_semi")
+
+
+def told(rows: DataFrame, tests: list[tuple[Constraint, Column]]) -> DataFrame:
+    """A violation for every row (focus, value) and constraint whose test is true."""
+    tell = lambda c: F.struct(F.lit(c.path).alias("path"), F.lit(c.kind).alias("constraint"), F.lit(c.severity).alias("severity"), F.lit(c.message).alias("message"))
+    broken = F.filter(F.array(*(F.when(test, tell(c)) for c, test in tests)), lambda x: x.isNotNull())
+    return rows.select("focus", F.col("value").cast("string").alias("value"), F.inline(broken))
+
+
+#: What breaks a constraint on single values, by kind.
+VALUE: dict[str, Callable[[object], Column]] = {
+    "datatype": lambda x: ~((F.col("o_kind") == 1) & (F.coalesce("o_dt", F.lit("")) == x)),
+    "minExclusive": lambda x: ~F.coalesce(F.col("o_num") > x, F.lit(False)),
+    "maxInclusive": lambda x: ~F.coalesce(F.col("o_num") <= x, F.lit(False)),
+    "pattern": lambda x: ~F.col("o_lex").rlike(str(x)),
+    "in": lambda x: ~F.col("o_lex").isin(list(x)),
+}
+
+
+def check(quads: DataFrame, focus: DataFrame, values: DataFrame, c: Constraint, of: Callable[[str], DataFrame]) -> DataFrame:
+    """focus and value of the rows that break a constraint that looks at other nodes too."""
     if c.kind == "class":
-        members = instances(quads, str(c.param)).withColumnRenamed("focus", "o_key")
-        return values.join(members, "o_key", "left_anti").select("focus", F.col("o_lex").alias("value"))
+        return values.join(of(str(c.param)).withColumnRenamed("focus", "o_key"), "o_key", "left_anti").select("focus", F.col("o_lex").alias("value"))
     if c.kind == "lessThanOrEquals":
         other = quads.where(F.col("p") == c.param).select(F.col("s").alias("focus"), F.col("o_num").alias("n2"), F.col("o_ts").alias("t2"))
         both = values.join(other, "focus")
         return both.where(~F.coalesce(F.col("o_num") <= F.col("n2"), F.col("o_ts") <= F.col("t2"), F.lit(False))).select("focus", F.col("o_lex").alias("value"))
     if c.kind == "required":  # several slots, each of which must be filled
-        slots = quads.sparkSession.createDataFrame([(x,) for x in c.param], "slot string")
-        filled = quads.select(F.col("s").alias("focus"), F.col("p").alias("slot")).distinct()
-        return focus.crossJoin(F.broadcast(slots)).join(filled, ["focus", "slot"], "left_anti").select("focus", F.col("slot").alias("value"))
+        slots = focus.withColumn("slot", F.explode(F.array(*map(F.lit, c.param))))
+        filled = quads.where(F.col("p").isin(list(c.param))).select(F.col("s").alias("focus"), F.col("p").alias("slot")).distinct()
+        return slots.join(filled, ["focus", "slot"], "left_anti").select("focus", F.col("slot").alias("value"))
     raise ValueError(f"constraint {c.kind} is not supported")
 
 
