@@ -24,5 +24,5 @@ def query(ids: str, sql: str | None = None) -> Callable:
     return add
 
 
-for _name in ("graph_queries", "path_queries", "rule_queries", "shape_queries", "text_queries", "domain_queries", "control_queries", "catalog_queries", "source_queries"):
+for _name in ("graph_queries", "path_queries", "rule_queries", "shape_queries", "text_queries", "domain_queries", "control_queries", "catalog_queries", "source_queries", "table_queries"):
     importlib.import_module(f"graphspark.domain.{_name}")
