@@ -45,10 +45,13 @@ def titles_in_a_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ask(spark, as_quads(d, lang=F.col("lang")), 'SELECT ?d ?t WHERE { ?d :title ?t FILTER langMatches(lang(?t), "de") }')
 
 
-@query("GP13", "SELECT 'part/' || p_partkey AS p, true AS by_value, false AS by_term FROM part WHERE CAST(p_retailprice AS DECIMAL(28,2)) = p_size * 100")
+@query("GP13", "SELECT 'part/' || p_partkey AS p, p_size % 2 = 0 AS by_value, false AS by_term FROM part")
 def equal_value_other_term(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A number equals another of the same value, though a decimal is not the integer's term."""
-    return ask(spark, quads(spark, sf_dir, {"part"}), "SELECT ?p (?v / 100 = ?z AS ?by_value) (sameTerm(?v, ?z) AS ?by_term) WHERE { ?p :price ?v ; :size ?z FILTER(?v = ?z * 100) }")
+    """Each part's size as a decimal too, every odd one wrong: equal numbers are never one term here."""
+    part = table(spark, sf_dir, "part").select(name("part", "p_partkey").alias("s"), F.lit("sizeDecimal").alias("p"), F.concat(F.col("p_size") + F.col("p_size") % 2, F.lit(".0")).alias("o"))
+    decimals = as_quads(part).withColumns({"o_key": F.concat(F.lit('"'), "o_lex", F.lit('"^^xsd:decimal')), "o_kind": F.lit(LITERAL).cast("tinyint"), "o_dt": F.lit("xsd:decimal"), "o_num": F.col("o_lex").cast(NUMBER)})
+    q = quads(spark, sf_dir, {"part"}, extra=[decimals])
+    return ask(spark, q, "SELECT ?p (?v = ?z AS ?by_value) (sameTerm(?v, ?z) AS ?by_term) WHERE { ?p :sizeDecimal ?v ; :size ?z }")
 
 
 @query("J4", """WITH f AS (SELECT 'customer/' || c_custkey AS c, CASE WHEN c_mktsegment = 'BUILDING' THEN 'nation/' || c_nationkey END AS n FROM customer WHERE c_custkey <= 60)
