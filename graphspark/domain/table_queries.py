@@ -208,3 +208,15 @@ def references_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     o = table(spark, sf_dir, "orders").select(F.concat(F.lit("O"), "o_orderkey").alias("id"), F.concat(F.lit("C"), "o_custkey", F.when(F.col("o_orderkey") % 11 == 0, F.concat(F.lit("; C"), F.col("o_custkey") + 100000000)).otherwise("")).alias("refs"))
     return integrity.register_faults(o, "id", "refs", table(spark, sf_dir, "customer").select(F.concat(F.lit("C"), "c_custkey").alias("id")))
+
+
+@query("P4", """WITH f AS (SELECT o_orderkey AS k, CASE WHEN o_orderpriority = '1-URGENT' THEN 1.5 ELSE 0 END AS a, CASE WHEN o_totalprice > 200000 THEN 0.7 ELSE 0 END AS b, CASE WHEN o_orderstatus = 'P' THEN -0.4 ELSE 0 END AS c FROM orders)
+SELECT k, CAST(round(exp(a + b + c) / (1 + exp(a + b + c)), 6) AS DECIMAL(8,6)) AS p FROM f""")
+def weighted_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules with weights for an order to need a check: a world weighs e to the sum of what holds in it, and the chance is its share of both worlds."""
+    weights = {"o_orderpriority = '1-URGENT'": 1.5, "o_totalprice > 200000": 0.7, "o_orderstatus = 'P'": -0.4}
+    total = F.lit(0.0)
+    for body, w in weights.items():
+        total = total + F.when(F.expr(body), w).otherwise(0.0)
+    world = F.exp(total)
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.round(world / (1 + world), 6).cast("decimal(8,6)").alias("p"))
