@@ -8,9 +8,12 @@
    asked similarity promises are candidates.  A bucket returns only a forest of candidates,
    never all pairs.  Members that share a bucket by chance part here, so chains of chance
    don't join what has nothing in common.
-3. Components of the candidates are groups.  Within a group all pairs are compared on their
-   full sets, in blocks of ``BLOCK`` members: a task holds two blocks, never a whole group,
-   and returns only which members are connected by true links.
+3. Components of the candidates are groups.  In a group of up to ``BLOCK`` members all pairs
+   are compared on their full sets.  A larger one falls into blocks, which are compared with
+   ``HUBS`` of its members first: near copies of one text are connected by that alone, with
+   work that grows with their number.  Only members outside the largest connected part are
+   then compared with all blocks.  A task holds two blocks, never a whole group, and returns
+   only which members are connected by true links.
 4. Components of these give the result, which the classes hand to all their documents.
 
 Bands and rows follow from the similarity (``banding``): a pair at it shares no bucket with
@@ -39,7 +42,7 @@ from .components import components
 from .superminhash import band_hashes, signatures
 from .words import LOWER, mix, window_hashes, word_hashes, word_spans
 
-SLOTS, MISSED, BLOCK, COLUMNS = 160, 1e-5, 1024, 4096
+SLOTS, MISSED, BLOCK, HUBS, COLUMNS = 160, 1e-5, 1024, 4, 4096
 SLICE = 1 << 20
 
 
@@ -170,24 +173,52 @@ def linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, share: i
     return root
 
 
+PAIRED = ["grp", "i", "j", "side", "doc_id", "shingles"]
+
+
 def verify(members: DataFrame, share: int) -> DataFrame:
-    """True links (u, v) within groups.  members: grp, i, j (a pair of blocks), block,
-    doc_id and the set as binary."""
+    """True links (u, v) within groups.  members: ``PAIRED``, where i and j name what is
+    compared, and side is 0 on the left, 1 on the right, 2 on both."""
 
     def links(rows: pa.Table) -> pa.Table:
         ids = rows.column("doc_id").to_numpy()
         order = np.argsort(ids, kind="stable")
         ids = ids[order]
-        blocks = rows.column("block").to_numpy()[order]
+        side = rows.column("side").to_numpy()[order]
         raw = rows.column("shingles").to_pylist()
         sets = [np.frombuffer(raw[k], np.uint64) for k in order.tolist()]
-        i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
-        root = linked(sets, np.flatnonzero(blocks == i), np.flatnonzero(blocks == j), share)
-        tied = root != np.arange(len(ids))
+        root = linked(sets, np.flatnonzero(side != 1), np.flatnonzero(side != 0), share)
+        tied = ids != ids[root]
         release()
         return pa.table({"u": pa.array(ids[tied]), "v": pa.array(ids[root[tied]])})
 
-    return members.groupBy("grp", "i", "j").applyInArrow(links, "u long, v long")
+    return members.select(*PAIRED).groupBy("grp", "i", "j").applyInArrow(links, "u long, v long")
+
+
+def links_of_large(big: DataFrame, share: int, block: int) -> DataFrame:
+    """Links that connect the members (doc_id, grp, n_blocks, block, shingles) of groups of
+    several blocks.  What is known of a group is joined by group and block, so that a group
+    of any size spreads over many tasks."""
+    whole = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    flag = lambda k: F.lit(k).alias("side")
+    chosen = [F.min_by("doc_id", F.xxhash64("doc_id", F.lit(k))) for k in range(HUBS)]
+    hubs = big.groupBy("grp").agg(F.array_distinct(F.array(*chosen)).alias("hubs"), F.max("n_blocks").alias("n_blocks")).select("grp", "n_blocks", F.explode("hubs").alias("doc_id"))
+    right = hubs.join(big.select("doc_id", "shingles"), "doc_id").select("grp", whole("n_blocks").alias("i"), F.lit(-1).alias("j"), flag(1), "doc_id", "shingles")
+    left = big.select("grp", F.col("block").alias("i"), F.lit(-1).alias("j"), flag(0), "doc_id", "shingles")
+    first = stored(verify(left.unionByName(right), share), "links")
+
+    # the members outside the largest part of their group
+    label = components(first)
+    told = big.select("doc_id", "grp", "n_blocks", "block").join(label, F.col("doc_id") == F.col("node"), "left").withColumn("label", F.coalesce("root", "doc_id"))
+    told = stored(told.select("doc_id", "grp", "n_blocks", "block", "label"), "parts")
+    counts = told.groupBy("grp", "label").agg(F.count("*").alias("n"), F.max("n_blocks").alias("n_blocks"))
+    best = counts.groupBy("grp").agg(F.max_by("label", F.struct("n", "label")).alias("best"), F.sum("n").alias("all"), F.max("n").alias("most"), F.max("n_blocks").alias("n_blocks"))
+    known = best.where("most < all").select("grp", "best", F.ceil((F.col("all") - F.col("most")) / F.lit(block)).cast("int").alias("r_blocks"), whole("n_blocks").alias("block"))
+    known = stored(known, "rests")
+    rest = told.join(known, ["grp", "block"]).where("label <> best").select("doc_id", "grp", "n_blocks", F.expr("cast(pmod(xxhash64(doc_id, 7), r_blocks) as int)").alias("i"))
+    left = rest.join(big.select("doc_id", "shingles"), "doc_id").select("grp", "i", whole("n_blocks").alias("j"), flag(0), "doc_id", "shingles")
+    right = big.join(known, ["grp", "block"]).select("grp", whole("r_blocks").alias("i"), F.col("block").alias("j"), flag(1), "doc_id", "shingles")
+    return first.unionByName(verify(left.unionByName(right), share))
 
 
 def forest(near: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[list[int], list[int]]:
@@ -302,9 +333,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, share: int = 80, block: int
 
     # sorted on both sides at any size, so that what is moved grows with the input and no faster
     sets = docs.hint("merge").join(parts, "doc_id").select("doc_id", "grp", "n_blocks", "block", "text").mapInArrow(with_sets, "doc_id long, grp long, n_blocks int, block int, shingles binary")
-    dealt = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-    dealt = dealt.select("grp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "shingles")
-    roots = components(verify(dealt, share))
+    sets = stored(sets, "sets")
+    small = sets.where("n_blocks = 1").select("grp", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(2).alias("side"), "doc_id", "shingles")
+    links, big = verify(small, share), sets.where("n_blocks > 1")
+    if not big.isEmpty():
+        links = links.unionByName(links_of_large(big, share, block))
+    roots = components(links)
     named = classes.join(roots, classes.rep == roots.node, "left").select("f1", "f2", "n_shingles", F.coalesce("root", "rep").alias("class_root"))
     out = marked.drop("bands", "signature").join(named, ["f1", "f2", "n_shingles"], "left")
     return out.select("doc_id", "n_shingles", F.coalesce("class_root", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))

@@ -126,10 +126,38 @@ def test_near_duplicates(spark, docs, corpus, tmp_path):
     assert got == want
 
 
-def test_blocks_of_a_group(spark, docs, corpus):
-    """Blocks of three members give what one block gives."""
+@pytest.mark.parametrize("block", [1, 3])
+def test_blocks_of_a_group(spark, docs, corpus, block):
+    """Blocks of few members give what one block gives."""
     want = {d: c for d, (_, c, _) in near_truth(corpus).items()}
-    assert {r.doc_id: r.component_id for r in neardup.near_duplicates(docs, width=2, block=3).collect()} == want
+    assert {r.doc_id: r.component_id for r in neardup.near_duplicates(docs, width=2, block=block).collect()} == want
+
+
+def test_a_large_group_with_a_chain_and_a_part_of_its_own(spark):
+    """Near copies of one text, a chain of texts that leads away from it, and others that
+    are candidates only."""
+    rng = np.random.default_rng(8)
+    base = [f"w{k}" for k in range(120)]
+
+    def changed(text, m):
+        out = list(text)
+        for k in rng.choice(len(out), m, replace=False):
+            out[k] = f"x{rng.integers(10**6)}"
+        return out
+
+    rows = [(k, changed(base, 2)) for k in range(40)]
+    step = base
+    for k in range(40, 52):
+        step = changed(step, 4)
+        rows.append((k, step))
+    away = changed(base, 14)
+    rows += [(k, changed(away, 2)) for k in range(52, 70)]
+    corpus = [(k, " ".join(t)) for k, t in rows]
+    want = {d: c for d, (_, c, _) in near_truth(corpus).items()}
+    assert 1 < len(set(want.values())) < 40
+    df = spark.createDataFrame(corpus, "doc_id long, text string")
+    for block in (5, 1000):
+        assert {r.doc_id: r.component_id for r in neardup.near_duplicates(df, width=2, block=block).collect()} == want
 
 
 @pytest.mark.parametrize("share", range(20, 101, 5))
