@@ -301,9 +301,10 @@ def dedup_bytes(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, block_b
         base[seq] = np.cumsum(count[seq]) - count[seq]
         again = longest_previous_factor(data, where, spread(base, count), window) >= window
         stretch = np.repeat(np.arange(len(table)), count)
-        spots, mine = spread(table["at"].astype(np.int64), count), whose[stretch]
-        out = [packed(int(numbers[k]), -1, np.stack(runs_of(spots[again & (mine == k)]), axis=1).astype("<i4").tobytes()) for k in range(len(tables))]
-        out = [x for x in out if x[2]]
+        # places lie in the order of their blocks
+        hit = np.flatnonzero(again)
+        spots, cuts = spread(table["at"].astype(np.int64), count)[hit], np.searchsorted(whose[stretch[hit]], np.arange(len(tables) + 1))
+        out = [packed(int(numbers[k]), -1, np.stack(runs_of(spots[a:b]), axis=1).astype("<i4").tobytes()) for k, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if b > a]
         if not last:
             # what is left, in stretches again
             left = np.flatnonzero(~again)
