@@ -51,30 +51,43 @@ def sliding(values: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
     return pick(out[: len(values) - width + 1], out[width - span :]) if span < width else out
 
 
+def in_order(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places of keys of so many bits in the order of the keys, and these sorted.  Where a
+    place fits beside its key in 64 bits, whole numbers are sorted, which is much faster."""
+    room = max(1, (len(keys) - 1).bit_length())
+    if bits + room > 64:
+        order = np.argsort(keys)
+        return order, keys[order]
+    both = (keys << np.uint64(room)) | np.arange(len(keys), dtype=np.uint64)
+    both.sort()
+    return (both & np.uint64((1 << room) - 1)).astype(np.int64), both >> np.uint64(room)
+
+
+def dense(keys: np.ndarray, bits: int) -> np.ndarray:
+    """The rank of each key among the distinct ones."""
+    order, sorted_ = in_order(keys, bits)
+    step = np.zeros(len(keys), np.uint32)
+    np.not_equal(sorted_[1:], sorted_[:-1], out=step[1:], casting="unsafe")
+    out = np.empty(len(keys), np.uint32)
+    out[order] = np.cumsum(step, dtype=np.uint32)
+    return out
+
+
 def ranks(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
     """The rank of the first ``length`` bytes at each start among all of them, equal for
     equal strings, in suffix order.  Ranks of longer prefixes follow from those of shorter
     ones by sorting pairs.  ``data`` must hold ``length`` bytes after every start."""
     n = len(data)
-
-    def dense(keys: np.ndarray) -> np.ndarray:
-        order = np.argsort(keys)
-        sorted_ = keys[order]
-        step = np.zeros(len(keys), np.uint32)
-        np.not_equal(sorted_[1:], sorted_[:-1], out=step[1:], casting="unsafe")
-        out = np.empty(len(keys), np.uint32)
-        out[order] = np.cumsum(step, dtype=np.uint32)
-        return out
-
     span = 1
-    while 2 * span <= min(length, 8):
+    while 2 * span <= min(length, 4):
         span *= 2
-    wide = np.zeros(n + 16, np.uint8)
+    head = span
+    wide = np.zeros(n + 8, np.uint8)
     wide[:n] = data
-    first = np.empty(n, np.uint64)
-    for k in range(8):  # eight bytes from each place, the first one the most significant
-        part = first[k::8]
-        part[:] = wide[k : k + 8 * len(part)].view(">u8")
+    first = np.empty(n, np.uint32)
+    for k in range(4):  # four bytes from each place, the first one the most significant
+        part = first[k::4]
+        part[:] = wide[k : k + 4 * len(part)].view(">u4")
     steps = []  # spans of ranks and how far the second of a pair lies
     while span < length:
         steps.append((span, min(span, length - span)))
@@ -82,24 +95,19 @@ def ranks(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
     # which places' ranks the next longer ranks refer to, from the last step backwards
     wanted = np.zeros(n, bool)
     wanted[starts] = True
-    needs = []
+    needs = [starts]
     for _, step in steps[::-1]:
         wanted = wanted.copy()
         wanted[step:] |= wanted[:-step].copy()
         needs.append(np.flatnonzero(wanted))
-    needs = needs[::-1] or [starts]
-    rank = np.zeros(n, np.uint32)
-    rank[needs[0]] = dense(first[needs[0]] >> np.uint64(8 * (8 - (steps[0][0] if steps else length))))
-    for k, (_, step) in enumerate(steps):
-        at = needs[k + 1] if k + 1 < len(steps) else starts
-        pairs = rank[at].astype(np.uint64)
-        pairs <<= np.uint64(32)
-        pairs |= rank[at + step]
-        if k + 1 == len(steps):
-            return dense(pairs)
+    needs = needs[::-1]
+    now = dense((first[needs[0]] >> np.uint32(8 * (4 - head))).astype(np.uint64), 8 * head)
+    for (_, step), held, at in zip(steps, needs[:-1], needs[1:], strict=True):
         rank = np.zeros(n, np.uint32)
-        rank[at] = dense(pairs)
-    return rank[starts]
+        rank[held] = now
+        bits = max(1, int(now.max(initial=0)).bit_length())
+        now = dense((rank[at].astype(np.uint64) << np.uint64(bits)) | rank[at + step], 2 * bits)
+    return now
 
 
 def nearest_smaller(values: np.ndarray) -> np.ndarray:
@@ -117,11 +125,17 @@ def longest_previous_factor(data: np.ndarray, starts: np.ndarray, position: np.n
     """The longest previous factor of each start, cut off at ``most`` bytes.  position: the
     starts' order, all different and below 2**32.  Unless ``exact``, a factor shorter than ``most`` is 0."""
     rank = ranks(data, starts, most)
-    order = np.argsort((rank.astype(np.uint64) << np.uint64(32)) | position.astype(np.uint64))
+    high, low = (max(1, int(x.max(initial=0)).bit_length()) for x in (rank, position))
+    order, _ = in_order((rank.astype(np.uint64) << np.uint64(low)) | position.astype(np.uint64), high + low)
+    sorted_rank = rank[order]
+    if not exact:  # a string that no other start has can't reach ``most``
+        twin = np.zeros(len(order) + 1, bool)
+        np.equal(sorted_rank[1:], sorted_rank[:-1], out=twin[1:-1])
+        some = np.flatnonzero(twin[1:] | twin[:-1])
+        order, sorted_rank = order[some], sorted_rank[some]
     by_suffix = position[order]
     previous = nearest_smaller(by_suffix)
     following = len(order) - 1 - nearest_smaller(by_suffix[::-1])[::-1]
-    sorted_rank = rank[order]
     best = np.zeros(len(order), np.int64)
     for other in (previous, following):
         there = (other >= 0) & (other < len(order))
@@ -133,7 +147,7 @@ def longest_previous_factor(data: np.ndarray, starts: np.ndarray, position: np.n
                 a, b = starts[order[k]], starts[order[at[k]]]
                 unlike = data[a : a + most] != data[b : b + most]
                 best[k] = max(best[k], int(unlike.argmax()))
-    out = np.empty(len(order), np.int64)
+    out = np.zeros(len(starts), np.int64)
     out[order] = best
     return out
 
