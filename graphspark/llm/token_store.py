@@ -87,6 +87,13 @@ def joined(left: np.ndarray, right: np.ndarray, width: int) -> np.ndarray:
     return pair
 
 
+def counted(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values in order and how often each is found."""
+    values = np.sort(values)
+    first = np.flatnonzero(np.append(True, values[1:] != values[:-1])[: len(values)])
+    return values[first], np.diff(np.append(first, len(values)))
+
+
 def without_overlap(near: np.ndarray, rule: np.ndarray) -> np.ndarray:
     """Which of some ascending places to replace, given which of them are followed by the
     next one and their rules: of places in a row with one rule every second from the left,
@@ -111,12 +118,12 @@ def chosen(near: np.ndarray, pair: np.ndarray, twins: np.ndarray, floor: int, ro
     The most frequent pairs come first and keep their places where two compete, so that at
     least one pays if any is frequent.  A bin names one pair; others of it wait a round.
     """
-    found, times = np.unique(pair, return_counts=True)
+    found, times = counted(pair)
     if twins.any():  # of a symbol with itself only every second place counts
         rule = np.searchsorted(found, pair[twins])
         spots = np.flatnonzero(twins)
         times[rule] = 0
-        rule, uses = np.unique(rule[without_overlap((spots[1:] == spots[:-1] + 1) & near[spots[:-1]], rule)], return_counts=True)
+        rule, uses = counted(rule[without_overlap((spots[1:] == spots[:-1] + 1) & near[spots[:-1]], rule)])
         times[rule] = uses
     good = np.flatnonzero(times >= floor)
     pairs = found[good[np.argsort(-times[good], kind="stable")]]
@@ -183,7 +190,7 @@ def finish(seq: np.ndarray, offs: np.ndarray, hot: np.ndarray, form: Layout, mad
     hold a frequent pair."""
     n, rules = len(seq), []
     seq = np.append(seq, seq[:1])
-    after, before, alive = np.arange(1, n + 2), np.arange(-1, n), np.ones(n + 1, bool)
+    after, before, alive = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32), np.ones(n + 1, bool)
     after[offs[1:][offs[1:] > 0] - 1] = n  # no pair crosses documents
     before[offs[:-1]] = n
     while len(hot) and made < form.space:
