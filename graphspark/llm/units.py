@@ -7,7 +7,7 @@ as a unit of its own) and every distinct unit is encoded once.  Units are cut, t
 and looked up as arrays; only what was never seen reaches an encoder.
 
 The table of known units is kept by the Python worker, also from task to task: at most
-``CACHE`` units of about 40 bytes in 25 MB of slots.
+``CACHE`` units of about 40 bytes beside 50 MB of slots.
 """
 
 from __future__ import annotations
@@ -29,9 +29,9 @@ BARE = re.compile(f"[^{SPACE}]+")
 #: White space to str.split(), but not to Unicode.
 SEPARATORS = re.compile("[\x1c-\x1f]")
 WIDE = re.compile("[^\x00-\xff]")
-CACHE = 600_000
+CACHE = 1_000_000
 #: The table's slots, 2 ** BITS, stay at least two thirds free.
-BITS = 21
+BITS = 22
 #: A private-use character; units that hold it are encoded one by one.
 MARK = "\ue000"
 #: ASCII punctuation.
