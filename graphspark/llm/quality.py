@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-SAMPLE, REPEATS = 1000, 20
+SAMPLE, REPEATS = 1000, 4
 #: Fixed by the contract: words, and what counts as a symbol.
 GAP, WORD, SYMBOL = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]", "[#*$%&|<>]"
 WINDOW, FEWEST, MOST_REPEATED = 5, 10, 20
